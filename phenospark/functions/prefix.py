@@ -4,7 +4,7 @@ A plain ``Window.partitionBy(feature).orderBy(value)`` sorts a whole feature in
 
 1. rows are first collapsed to one row per (keys, value) with a map-side combined aggregate, so a hot value
    costs one row;
-2. each key's value range is cut into blocks of roughly ``ROWS_PER_BLOCK`` distinct values. The cut points come
+2. each key's value range is cut into blocks of roughly a million distinct values. The cut points come
    from a hash sample of the distinct values, so they are the same on every recomputation (lost executors
    included);
 3. a window runs inside (keys, block), and the totals of earlier blocks, a table of at most
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SAMPLE_ONE_IN = 4096
+SAMPLE_ONE_IN = 16384
 SAMPLE_PER_BLOCK = 64
 MAX_BLOCKS = 4096
 MAX_SAMPLE = MAX_BLOCKS * 32
@@ -34,7 +34,7 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str, measures: Mappi
     return (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, value)
-        .agg(*[F.sum(c).alias(m) for m, c in measures.items()])
+        .agg(*[F.sum(c).alias(m) for m, c in measures.items()], F.max(F.xxhash64(*keys, F.col(value))).alias("_h"))
     )
 
 
@@ -42,8 +42,12 @@ def with_blocks(vc: DataFrame, keys: Sequence[str], order: str, sample_one_in: i
                 sample_per_block: int = SAMPLE_PER_BLOCK) -> DataFrame:
     """Add ``_block``: monotone in ``order`` within each key, bounded in size for any key."""
     keys = list(keys)
-    h = F.xxhash64(*keys, F.col(order))
-    sample = vc.select(*keys, F.col(order).alias("_v"), h.alias("_h")).where(
+    # ``_h`` is an aggregate output, so the sample filter stays above the aggregation and every branch below reads
+    # the same shuffle instead of computing the input again
+    if "_h" not in vc.columns:
+        vc = vc.withColumn("_h", F.xxhash64(*keys, F.col(order)))
+    vc = vc.where(F.col("_h").isNotNull())
+    sample = vc.select(*keys, F.col(order).alias("_v"), "_h").where(
         (F.pmod(F.col("_h"), F.lit(sample_one_in)) == 0)
     )
     if not keys:
@@ -62,6 +66,9 @@ def with_blocks(vc: DataFrame, keys: Sequence[str], order: str, sample_one_in: i
     cuts = cuts.where(F.size("_cuts") > 0).select(
         *gk, "_cuts", F.expr(f"filter(_cuts, (v, i) -> (i + 1) % {FAN} = 0)").alias("_coarse")
     )
+    # The broadcast is bounded: one cut point (8 bytes) per SAMPLE_ONE_IN * SAMPLE_PER_BLOCK = 1M distinct values and
+    # never more than MAX_BLOCKS per key, so 100 TB of 16-byte (key, value) pairs give about 50 MB.
+    cuts = F.broadcast(cuts)
     o = F.col(order)
     coarse = F.size(F.filter("_coarse", lambda c: c < o))
     fine = F.size(F.filter(F.slice("_cuts", F.col("_cb") * FAN + 1, F.lit(FAN)), lambda c: c < o))
@@ -69,7 +76,7 @@ def with_blocks(vc: DataFrame, keys: Sequence[str], order: str, sample_one_in: i
         vc.join(cuts, gk, "left")
         .withColumn("_cb", F.when(F.col("_cuts").isNotNull(), coarse).otherwise(0))
         .withColumn("_block", F.when(F.col("_cuts").isNotNull(), F.col("_cb") * FAN + fine).otherwise(0))
-        .drop("_cuts", "_coarse", "_cb", *([] if keys else ["_k"]))
+        .drop("_cuts", "_coarse", "_cb", "_h", *([] if keys else ["_k"]))
     )
 
 
@@ -96,7 +103,7 @@ def prefix_sums(vc: DataFrame, keys: Sequence[str], order: str, measures: Sequen
     local = b.select("*", *[F.coalesce(F.sum(m).over(inside), F.lit(0)).alias(f"_i_{m}") for m in measures])
     joined = local.join(totals, [*keys, "_block"])
     return joined.select(
-        *vc.columns,
+        *[c for c in vc.columns if c != "_h"],
         *[(F.col(f"_e_{m}") + F.col(f"_i_{m}")).alias(f"before_{m}") for m in measures],
         *[F.col(f"total_{m}") for m in measures],
     )

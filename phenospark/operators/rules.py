@@ -68,9 +68,8 @@ def keyword_label(text: Column, terms: Sequence[str] = NSFC_TERMS) -> Column:
     return any_of(text, terms).cast("int")
 
 
-def first_note(hits: Sequence[tuple[Column, str]]) -> Column:
-    """Note of the first condition in list order that holds, else null."""
-    return reduce(lambda acc, h: acc.when(h[0], F.lit(h[1])), hits[1:], F.when(hits[0][0], F.lit(hits[0][1])))
+def _words(terms: Sequence[str]) -> Column:
+    return F.array(*[F.lit(t) for t in terms])
 
 
 def acute_rule(text: Column, reach: int = 6, exclude_term_from_window: bool = False) -> Column:
@@ -79,22 +78,27 @@ def acute_rule(text: Column, reach: int = 6, exclude_term_from_window: bool = Fa
     An acute term hits by itself; a chronic term needs a modifier within ``reach`` characters of its first occurrence.
     By default the window includes the term itself, as the labels in use do.
     """
-    hits = [(text.contains(t), f"急性关键词: {t}") for t in ACUTE_TERMS]
-    for t in CHRONIC_TERMS:
+    acute = F.get(F.filter(_words(ACUTE_TERMS), lambda t: text.contains(t)), F.lit(0))
+
+    def near(t):
         at = F.instr(text, t)
         start = F.greatest(at - reach, F.lit(1))
-        left = F.substring(text, start, at - start)
-        right = F.substring(text, at + len(t), F.lit(reach))
-        near = F.concat(left, F.lit("\u0001") if exclude_term_from_window else F.lit(t), right)
-        hits += [((at > 0) & near.contains(m), f"慢性词+修饰: {t}+{m}") for m in MODIFIERS]
-    return first_note(hits)
+        middle = F.lit("\u0001") if exclude_term_from_window else t
+        return F.concat(F.substring(text, start, at - start), middle, F.substring(text, at + F.length(t), F.lit(reach)))
+
+    pairs = F.transform(
+        F.filter(_words(CHRONIC_TERMS), lambda t: text.contains(t)),
+        lambda t: F.struct(t.alias("t"), F.get(F.filter(_words(MODIFIERS), lambda m: near(t).contains(m)), F.lit(0)).alias("m")))
+    first = F.get(F.filter(pairs, lambda p: p["m"].isNotNull()), F.lit(0))
+    return F.coalesce(F.concat(F.lit("急性关键词: "), acute), F.concat(F.lit("慢性词+修饰: "), first["t"], F.lit("+"), first["m"]))
 
 
 def comorbidity_rule(*cols: Column) -> Column:
     """Longest matching cardiovascular term over all diagnosis columns, null without one."""
     text = F.concat_ws(" ", *cols)
     terms = sorted(set(ACUTE_TERMS + CHRONIC_TERMS + COMORBIDITY_TERMS), key=lambda t: (-len(t), t))
-    return first_note([(text.contains(t), f"合并症: {t}") for t in terms])
+    hit = F.get(F.filter(_words(terms), lambda t: text.contains(t)), F.lit(0))
+    return F.concat(F.lit("合并症: "), hit)
 
 
 def troponin_ng_ml(value: Column, unit: Column) -> Column:

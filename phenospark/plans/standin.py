@@ -134,7 +134,7 @@ FROM {{lineitem}}
 """
 META = """
 SELECT s_suppkey AS patient_id, 0.5e0 + (s_suppkey % 3) / 4e0 AS dx, 0.5e0 + (s_suppkey % 3) / 4e0 AS dy,
-       1e0 + (s_suppkey % 2) AS dz, 16 AS nx, 16 AS ny, 12 AS nz
+       1e0 + (s_suppkey % 2) AS dz, 16 AS nx, 16 AS ny, 16 AS nz
 FROM {supplier}
 """
 # A sparser one: centre-line voxels, one 24^3 grid per supplier.
