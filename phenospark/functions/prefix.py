@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 SAMPLE_ONE_IN = 16384
 SAMPLE_PER_BLOCK = 64
 MAX_BLOCKS = 4096
-MAX_SAMPLE = MAX_BLOCKS * 32
+SAMPLE_SLOTS = 16384
 FAN = 64
 
 
@@ -54,15 +54,13 @@ def with_blocks(vc: DataFrame, keys: Sequence[str], order: str, sample_one_in: i
         sample = sample.withColumn("_k", F.lit(0))
         vc = vc.withColumn("_k", F.lit(0))
     gk = keys or ["_k"]
-    size = sample.groupBy(*gk).agg((F.least(F.lit(1.0), F.lit(float(MAX_SAMPLE)) / F.count("*"))).alias("_rate"))
-    thin = sample.join(size, gk).where(
-        F.pmod(F.shiftright("_h", 20), F.lit(1 << 20)) < F.col("_rate") * F.lit(float(1 << 20))
-    )
-    cuts = thin.groupBy(*gk).agg(F.array_sort(F.collect_set("_v")).alias("_s"), F.max("_rate").alias("_rate"))
-    step = F.greatest(F.ceil(F.size("_s") / F.lit(MAX_BLOCKS - 1)), F.ceil(F.lit(sample_per_block) * F.col("_rate")))
-    cuts = cuts.select(
-        *gk, "_s", step.cast("int").alias("_step")
-    ).select(*gk, F.expr("filter(_s, (v, i) -> (i + 1) % _step = 0)").alias("_cuts"))
+    # at most SAMPLE_SLOTS sampled values per key: the one with the smallest hash in each slot
+    slots = sample.groupBy(*gk, F.pmod(F.shiftright("_h", 24), F.lit(SAMPLE_SLOTS)).alias("_slot")).agg(
+        F.min_by("_v", "_h").alias("_v"), F.count("*").alias("_c"))
+    cuts = slots.groupBy(*gk).agg(F.array_sort(F.collect_set("_v")).alias("_s"), F.sum("_c").alias("_c"))
+    blocks = F.least(F.floor(F.col("_c") / sample_per_block), F.lit(MAX_BLOCKS))
+    cuts = cuts.where(blocks > 1).select(*gk, "_s", F.ceil(F.size("_s") / blocks).cast("int").alias("_step")).select(
+        *gk, F.expr("filter(_s, (v, i) -> (i + 1) % _step = 0)").alias("_cuts"))
     cuts = cuts.where(F.size("_cuts") > 0).select(
         *gk, "_cuts", F.expr(f"filter(_cuts, (v, i) -> (i + 1) % {FAN} = 0)").alias("_coarse")
     )
