@@ -1 +1,8 @@
 """PySpark-native cohort phenotyping and risk analytics."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Task functions travel by value, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from phenospark.functions.prefix import average_rank, exact_quantiles, prefix_sums, value_counts, with_blocks
+from phenospark.session import spread
 from phenospark.functions.special import chi2_tail_sql, normal_two_sided_sql, student_two_sided
 
 
@@ -218,7 +219,7 @@ def bootstrap_replicas(scores: DataFrame, keys: Sequence[str], replicas: int = 2
             out[k] = pdf[k].iloc[0]
         return out[[*keys, "_block", "replica", "pos", "neg", "u"]]
 
-    blk = b.groupBy(*keys, "_block").applyInPandas(draw, schema)
+    blk = spread(b, *keys, "_block").groupBy(*keys, "_block").applyInPandas(draw, schema)
     earlier = W.partitionBy(*keys, "replica").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     blk = blk.withColumn("_e", F.coalesce(F.sum("neg").over(earlier), F.lit(0.0)))
     return blk.groupBy(*keys, "replica").agg(

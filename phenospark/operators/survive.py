@@ -100,8 +100,8 @@ def cox_univariate(facts: DataFrame, key: str = "feature", value: str = "value",
     x = facts.where(F.col(value).isNotNull())
     st = x.groupBy(key).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s")).where("_s > 0")
     x = x.join(st, key).select(key, time, status, ((F.col(value) - F.col("_m")) / F.col("_s")).alias("_x"))
+    x = x.persist()  # read once per round; given back below
     beta = st.select(key, "_s", F.lit(0.0).alias("b"))
-    sums = None
     for i in range(rounds):
         rows = x.join(beta.select(key, "b"), key).withColumn("_bx", F.col("b") * F.col("_x")).withColumn("_w", F.exp("_bx"))
         sums = _newton_sums(_risk_sums(rows, [key], ["_x"], time, status, None), [key], 1, ties)
@@ -110,6 +110,7 @@ def cox_univariate(facts: DataFrame, key: str = "feature", value: str = "value",
         beta = checkpointed(step)
         if (beta.agg(F.max("_d")).first()[0] or 0.0) < 1e-9:
             break
+    x.unpersist()
     se = 1 / F.sqrt("h_0_0")
     out = beta.select(key, "events", (F.col("b") / F.col("_s")).alias("coef"), (se / F.col("_s")).alias("se"), (F.abs(F.col("b")) / se / math.sqrt(2)).alias("_z"))
     out = out.select(key, "events", "coef", "se", F.exp("coef").alias("hr"), F.exp(F.col("coef") - 1.96 * F.col("se")).alias("hr_lo"),

@@ -287,7 +287,7 @@ def skeleton_nodes(skel: DataFrame, meta: DataFrame) -> DataFrame:
         ln.alias("Vessel_Skeleton_Length_mm"), (F.col("Vessel_Junction_Count") / ln).alias("Vessel_Branching_Density_per_mm"))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def leading_axis(zz: pd.Series, yy: pd.Series, xx: pd.Series, zy: pd.Series, zx: pd.Series, yx: pd.Series) -> pd.Series:
     """Leading eigenvector of 3x3 covariance matrices, one per segment row."""
     m = np.stack([zz, zy, zx, zy, yy, yx, zx, yx, xx], axis=1).reshape(-1, 3, 3)

@@ -34,3 +34,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
         folder = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash-partition by the grouping columns of a following ``applyInPandas`` with the full partition count.
+
+    Adaptive execution merges partitions by bytes; numpy work per byte is high, so merged partitions would run block after
+    block in one task. The grouping reuses this partitioning, so it is still one shuffle.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *cols)
