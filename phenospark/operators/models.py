@@ -23,6 +23,7 @@ from phenospark.operators.keys import to_long, to_wide
 from phenospark.operators.profile import fit_medians
 from phenospark.operators.screen import pool_binary, select_features, training_rows
 from phenospark.operators.stats import rank_auc
+from phenospark.session import checkpointed
 
 C_GRID = (0.001, 0.003, 0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0, 30.0, 100.0, 300.0)
 
@@ -127,16 +128,14 @@ def _total(df: DataFrame, w: str) -> float:
 
 def logit_l2(train: DataFrame, c: float = 1.0, w: str = "w"):
     """Ridge logistic regression with the objective sum(w*loss) + |b|^2/(2c), intercept unpenalised."""
-    return LogisticRegression(labelCol="y", weightCol=w, regParam=_reg(c, _total(train, w)), elasticNetParam=0.0, standardization=False, maxIter=100, tol=1e-8).fit(train)
+    return LogisticRegression(labelCol="y", weightCol=w, regParam=_reg(c, _total(train, w)), elasticNetParam=0.0, standardization=False, maxIter=100).fit(train)
 
 
 def _cv(est, grid, evaluator, train: DataFrame, folds: int, parallelism: int = 4):
     f = stratified_folds(train, folds, 7) if "fold_in" not in train.columns else train.withColumnRenamed("fold_in", "fold")
-    f = f.persist()
-    try:
-        return CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=evaluator, numFolds=folds, foldCol="fold", parallelism=parallelism).fit(f)
-    finally:
-        f.unpersist()
+    # the few selected columns are cut from their lineage once; every candidate model then reads this small table
+    f = checkpointed(f.select("patient_id", "y", "w", "fold", *[c for c in ("features", "rff") if c in f.columns]))
+    return CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=evaluator, numFolds=folds, foldCol="fold", parallelism=parallelism).fit(f)
 
 
 def lasso_logit_cv(train: DataFrame, cs: Sequence[float] = C_GRID, l1_ratios: Sequence[float] = (1.0,), folds: int = 3, scoring: str = "log_loss",
@@ -145,6 +144,7 @@ def lasso_logit_cv(train: DataFrame, cs: Sequence[float] = C_GRID, l1_ratios: Se
 
     Kept: |coefficient| > 1e-7 in any class, or the three largest. ``one_se`` takes the strongest penalty whose mean score is
     within one standard error of the best."""
+    train = checkpointed(train.select("patient_id", "y", w, "features"))
     tot = _total(train, w)
     est = LogisticRegression(labelCol="y", weightCol=w, standardization=False, maxIter=60, family=family)
     grid = ParamGridBuilder().addGrid(est.regParam, [_reg(c, tot) for c in cs]).addGrid(est.elasticNetParam, list(l1_ratios)).build()
@@ -170,6 +170,7 @@ def multinomial_lasso(train: DataFrame, cs: Sequence[float] = C_GRID, folds: int
 
 def linear_svm_cv(train: DataFrame, cs: Sequence[float] = (0.01, 0.1, 1, 10, 100), folds: int = 3, w: str = "w"):
     """Linear SVM; inner score is balanced accuracy, which is accuracy under balanced weights. Returns (model, c, scores)."""
+    train = checkpointed(train.select("patient_id", "y", w, "features"))
     tot = _total(train, w)
     est = LinearSVC(labelCol="y", weightCol=w, standardization=False, maxIter=40)
     grid = ParamGridBuilder().addGrid(est.regParam, [_reg(c, tot) for c in cs]).build()
@@ -196,6 +197,7 @@ def rbf_svm_cv(train: DataFrame, cs: Sequence[float] = (0.1, 1, 10, 100), gammas
                classes: int = 2, size: int = 128):
     """RBF support vector machine through random Fourier features. Returns (model, gamma, c, scores); several classes use
     one-versus-rest."""
+    train = checkpointed(train.select("patient_id", "y", w, "features"))
     tot, best, scores = _total(train, w), None, []
     for gamma in gammas:
         f = fourier_features(train, gamma, size)
@@ -253,7 +255,7 @@ def _scores(model, df: DataFrame, ids: Sequence[str]) -> DataFrame:
 def cross_validate(df: DataFrame, fit: Fit = logit_l2, fold: str = "fold", ids: Sequence[str] = ("patient_id",), workers: int = 4):
     """Per fold: prepare and fit on the other folds, score this one. Returns (out-of-fold rows, coefficient rows)."""
     cols = feature_columns(df)
-    df = df.persist()
+    df = checkpointed(df)
     folds = [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()]
 
     def one(k):
@@ -282,6 +284,7 @@ def cv_summary(metrics: DataFrame) -> DataFrame:
 def external_validate(df: DataFrame, train_cohort: str, fit: Fit = logit_l2, ids: Sequence[str] = ("patient_id", "cohort")) -> DataFrame:
     """Fit once on one cohort, AUC on every other."""
     cols = feature_columns(df)
+    df = checkpointed(df)
     train = df.where(F.col("cohort") == train_cohort)
     prep = Preparation.fit(train, cols)
     model = fit(balanced_weights(prep.apply(train)))
@@ -304,14 +307,15 @@ def nested_loco(facts: DataFrame, ids: Sequence[str], cohort: str = "cohort", ke
 
     Returns (out-of-fold rows, selection rows (fold, feature)). ``score_all`` adds rows outside the task (y null) to score."""
     spark = facts.sparkSession
-    f = group_folds(facts, cohort).persist()
+    f = checkpointed(group_folds(facts, cohort))
     names = [r[0] for r in f.select("fold").distinct().orderBy("fold").collect()]
-    pools = pool_binary(training_rows(f, "fold", names), ["_fold"]).persist()
+    pools = pool_binary(training_rows(f, "fold", names), ["_fold"])
+    pools = checkpointed(pools)
     oof, chosen = None, []
     for k in names:
         train = f.where(F.col("fold") != k)
         sel = select_features(train, pools.where(F.col("_fold") == k), keep, protected=protected)
-        frame = model_frame(f, [*ids, "fold"], sel)
+        frame = checkpointed(model_frame(f, [*ids, "fold"], sel))
         cols = feature_columns(frame)
         tr, te = frame.where(F.col("fold") != k), frame.where(F.col("fold") == k)
         prep = Preparation.fit(tr, cols)
@@ -336,7 +340,7 @@ def bootstrap_model_auc(df: DataFrame, replicas: int, fit: Fit = logit_l2, k: in
     """AUC of cross-validated models under resampling. Folds go by patient before resampling and a resampled row is a weight,
     so no copy of a patient is on both sides. One row per replica."""
     cols = feature_columns(df)
-    base = balanced_weights(stratified_folds(df, k, seed)).persist()
+    base = checkpointed(balanced_weights(stratified_folds(df, k, seed)))
     rows = []
     for b in range(replicas):
         d = base.withColumn("_b", poisson_weight(F.col("patient_id"), b, seed)).where("_b > 0")
@@ -369,6 +373,7 @@ def final_model(df: DataFrame, path: str, fit: Fit = logit_l2) -> DataFrame:
     """Refit on all labelled rows, save with Spark ML persistence, read back and score everything."""
     from pyspark.ml.classification import LogisticRegressionModel
 
+    df = checkpointed(df)
     prep = Preparation.fit(df.where("y is not null"), feature_columns(df))
     x = prep.apply(df)
     model = fit(balanced_weights(x.where("y is not null")))
@@ -379,7 +384,7 @@ def final_model(df: DataFrame, path: str, fit: Fit = logit_l2) -> DataFrame:
 def bootstrap_optimism(df: DataFrame, replicas: int, threshold: float = 0.3, fit: Fit = logit_l2, seed: int = 42) -> DataFrame:
     """Apparent minus test performance of models refitted on resampled weights: discrimination slope and net benefit."""
     prep = Preparation.fit(df, feature_columns(df))
-    x = prep.apply(df).persist()
+    x = checkpointed(prep.apply(df))
     out = None
     for b in range(replicas):
         d = x.withColumn("w", poisson_weight(F.col("patient_id"), b, seed))

@@ -13,6 +13,7 @@ from phenospark.plans import standin as S
 from phenospark.plans.q_profile import rounded
 from phenospark.plans.q_stats import FEAT, KW, P3, P_SQL, PAIRS3, RANKS, mw_sql
 from phenospark.plans.registry import query
+from phenospark.session import checkpointed
 from phenospark.sources import sinks
 from phenospark.streaming import incremental as I
 
@@ -32,7 +33,7 @@ def _frame(spark, sf, k=3):
 def _prepared(spark, sf):
     f = _frame(spark, sf)
     x = M.Preparation.fit(f, M.feature_columns(f)).apply(f)
-    return M.balanced_weights(x).select("patient_id", "cohort", "y", "w", "features")
+    return checkpointed(M.balanced_weights(x).select("patient_id", "cohort", "y", "w", "features"))
 
 
 # ---- screening -------------------------------------------------------------------------------------------------------------------
@@ -87,7 +88,7 @@ def _coefs(spark, model):
 
 @query("F-06")
 def f_ridge(spark, sf):
-    return _coefs(spark, M.logit_l2(_prepared(spark, sf).persist()))
+    return _coefs(spark, M.logit_l2(_prepared(spark, sf)))
 
 
 @query("F-07")
