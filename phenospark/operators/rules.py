@@ -86,9 +86,9 @@ def acute_rule(text: Column, reach: int = 6, exclude_term_from_window: bool = Fa
         middle = F.lit("\u0001") if exclude_term_from_window else t
         return F.concat(F.substring(text, start, at - start), middle, F.substring(text, at + F.length(t), F.lit(reach)))
 
-    pairs = F.transform(
-        F.filter(_words(CHRONIC_TERMS), lambda t: text.contains(t)),
-        lambda t: F.struct(t.alias("t"), F.get(F.filter(_words(MODIFIERS), lambda m: near(t).contains(m)), F.lit(0)).alias("m")))
+    # the window of a term is cut out once, then searched for every modifier
+    windows = F.transform(F.filter(_words(CHRONIC_TERMS), lambda t: text.contains(t)), lambda t: F.struct(t.alias("t"), near(t).alias("w")))
+    pairs = F.transform(windows, lambda s: F.struct(s["t"].alias("t"), F.get(F.filter(_words(MODIFIERS), lambda m: s["w"].contains(m)), F.lit(0)).alias("m")))
     first = F.get(F.filter(pairs, lambda p: p["m"].isNotNull()), F.lit(0))
     return F.coalesce(F.concat(F.lit("急性关键词: "), acute), F.concat(F.lit("慢性词+修饰: "), first["t"], F.lit("+"), first["m"]))
 

@@ -175,7 +175,8 @@ def _blocks(vox: DataFrame) -> DataFrame:
     out = vox
     for a in ("z", "y", "x"):
         ids = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor((F.col(a) + d) / BLOCK).cast("int")))
-        out = out.withColumn(f"b{a}", F.explode(ids))
+        # image indices start at 0, so there is no block before the first
+        out = out.withColumn(f"b{a}", F.explode(F.filter(ids, lambda v: v >= 0)))
     own = None
     for a in ("z", "y", "x"):
         c = F.col(f"b{a}") == F.floor(F.col(a) / BLOCK)
