@@ -58,7 +58,7 @@ def io_patient_number(spark, sf):
                                "max(patient_id * 2) AS num_measured FROM branch GROUP BY 1"))
 def io_branches(spark, sf):
     root = sinks.scratch_dir(spark, "branches")
-    b = S.branch(spark, sf).withColumn("folder", F.concat(F.col("patient_id"), F.lit("_airquant")))
+    b = S.branch(spark, sf).withColumn("folder", F.concat(F.col("patient_id"), F.lit("_branches")))
     b.select("folder", "generation", "WA_pct").repartition("folder").write.partitionBy("folder").csv(root, header=True)
     side = S.table(spark, sf, "supplier").select(
         F.col("s_suppkey").cast("string").alias("patient"), (F.col("s_suppkey") * 2).alias("num_measured"))

@@ -75,7 +75,7 @@ def size_sql(src, keys, size, voxels, small, big, nu, pct):
  f AS (SELECT {k}, sum(n / tt / (1e0 * {size} * {size})) AS {small}Emphasis, sum(n / tt * {size} * {size}) AS {big}Emphasis, sum(n / tt / (i * i)) AS LowGrayLevelEmphasis, sum(n / tt * i * i) AS HighGrayLevelEmphasis, sum(n / tt * pow(i - mi, 2)) AS GrayLevelVariance,
   sum(n / tt * pow({size} - ms, 2)) AS {nu}Variance, -sum(n / tt * log2(n / tt)) AS {nu}Entropy, any_value(g2) / any_value(tt) AS GrayLevelNonUniformity, any_value(s2) / any_value(tt) AS {nu}NonUniformity, any_value(tt) / any_value(vv) AS {pct}
   FROM {src} JOIN tot USING ({k}) JOIN gl USING ({k}) JOIN sz USING ({k}) GROUP BY {k})
- SELECT patient_id, 'body' AS roi, """ + ", ".join(f"round(avg({c}), 6) AS {c}" for c in (
+ SELECT patient_id, 'body' AS roi, """ + ", ".join(f"round(avg({c}), 9) AS {c}" for c in (
         f"{small}Emphasis", f"{big}Emphasis", "LowGrayLevelEmphasis", "HighGrayLevelEmphasis", "GrayLevelVariance", f"{nu}Variance", f"{nu}Entropy", "GrayLevelNonUniformity",
         f"{nu}NonUniformity", pct)) + " FROM f GROUP BY 1"
 
@@ -85,7 +85,7 @@ def size_sql(src, keys, size, voxels, small, big, nu, pct):
  rn AS (SELECT patient_id, dir, g AS i, len, count(*) AS n FROM (SELECT patient_id, dir, g, count(*) AS len FROM e GROUP BY patient_id, dir, lz, ly, lx, g, grp) GROUP BY 1, 2, 3, 4)"""
                     + size_sql("rn", ["patient_id", "dir"], "len", "sum(n * len)", "ShortRun", "LongRun", "RunLength", "RunPercentage")))
 def x_glrlm(spark, sf):
-    return rounded(X.glrlm(X.run_lengths(_grey(spark, sf))))
+    return rounded(X.glrlm(X.run_lengths(_grey(spark, sf))), 9)
 
 
 @query("X-05", S.cte("ct", G_SQL.replace("+,", "+/*RECURSE*/,") + """, v AS (SELECT *, z * 1048576 + y * 1024 + x AS k FROM g),
@@ -94,13 +94,13 @@ def x_glrlm(spark, sf):
  comp AS (SELECT p AS patient_id, a AS k, min(b) AS c FROM reach GROUP BY 1, 2), z0 AS (SELECT patient_id, c, any_value(g) AS i, count(*) AS size FROM comp JOIN v USING (patient_id, k) GROUP BY 1, 2), zn AS (SELECT patient_id, i, size, count(*) AS n FROM z0 GROUP BY 1, 2, 3)"""
                     + size_sql("zn", ["patient_id"], "size", "sum(n * size)", "SmallArea", "LargeArea", "SizeZone", "ZonePercentage")))
 def x_glszm(spark, sf):
-    return rounded(X.glszm(X.zones(_grey(spark, sf))))
+    return rounded(X.glszm(X.zones(_grey(spark, sf))), 9)
 
 
 @query("X-06", S.cte("ct", G_SQL + DIRS + ALL26 + """, dn AS (SELECT patient_id, z, y, x, g, 1 + coalesce(c, 0) AS dep FROM g LEFT JOIN (SELECT patient_id, z, y, x, count(*) FILTER (g = h) AS c FROM nb GROUP BY 1, 2, 3, 4) USING (patient_id, z, y, x)),
  dm AS (SELECT patient_id, g AS i, dep, count(*) AS n FROM dn GROUP BY 1, 2, 3)""" + size_sql("dm", ["patient_id"], "dep", "sum(n)", "SmallDependence", "LargeDependence", "Dependence", "DependencePercentage")))
 def x_gldm(spark, sf):
-    return rounded(X.gldm(X.dependences(_grey(spark, sf))))
+    return rounded(X.gldm(X.dependences(_grey(spark, sf))), 9)
 
 
 @query("X-07", S.cte("ct", G_SQL + DIRS + ALL26 + """, av AS (SELECT patient_id, z, y, x, any_value(g) AS g, avg(h) AS m FROM nb GROUP BY 1, 2, 3, 4), lv AS (SELECT patient_id, g AS i, count(*) AS n, sum(abs(g - m)) AS s FROM av GROUP BY 1, 2),

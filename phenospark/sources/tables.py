@@ -65,7 +65,7 @@ def patient_number(info: Column) -> Column:
 
 
 def read_branch_metrics(spark: SparkSession, root: str, schema: str, sidecars: DataFrame | None = None,
-                        glob: str = "*.csv", pattern: str = r"([^/=]+)_airquant/[^/]*$") -> DataFrame:
+                        glob: str = "*.csv", pattern: str = r"([^/=]+?)(?:_[a-z]+)?/[^/]*$") -> DataFrame:
     """Per-patient branch tables below ``root``; the patient comes from the path, side information joins left."""
     df = (
         spark.read.schema(schema)

@@ -24,7 +24,7 @@ def test_feature_json(spark, tmp_path):
 
 
 def test_csv_bom_and_branch_files(spark, tmp_path):
-    d = tmp_path / "p7_airquant"
+    d = tmp_path / "p7_branches"
     d.mkdir()
     (d / "p7_full_metrics.csv").write_text("﻿generation,WA_pct\n1,50.5\n2,\n", encoding="utf-8")
     df = tables.read_branch_metrics(spark, str(tmp_path), "generation INT, WA_pct DOUBLE", glob="*_full_metrics.csv")
