@@ -212,37 +212,38 @@ def bronchus_artery_ratio(airway: DataFrame, artery: DataFrame, bronchus: str, d
     return airway.join(artery, "patient_id").select("patient_id", F.when(r > 0, r).alias("BronchoArtery_Ratio"))
 
 
-def tree_walk(edges: DataFrame, max_depth: int = 64, every: int = 5) -> DataFrame:
-    """(id, parent) -> generation from the root and subtree size, per patient.
+def _doubled(edges: DataFrame) -> DataFrame:
+    """(patient_id, id, dist, n): steps up to the root and branches below and including each branch.
 
-    Pointer doubling on the parent links: depth d needs log2(d) joins, each an equi-join on (patient, id).
+    Pointer doubling: after round k a branch knows its ancestor 2**k steps up and has counted all branches less than 2**k
+    steps below, so a tree of any depth d takes log2(d) rounds of equi-joins on (patient, id). A cycle never reaches a root
+    and raises as soon as the steps exceed the number of branches.
     """
     keys = ["patient_id"]
-    up = edges.select(*keys, "id", F.col("parent").alias("anc"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("dist"))
-    rounds = max(1, math.ceil(math.log2(max_depth)))
-    for i in range(rounds):
-        nxt = up.select(*keys, F.col("id").alias("anc"), F.col("anc").alias("anc2"), F.col("dist").alias("dist2"))
-        up = up.join(nxt, [*keys, "anc"], "left").select(
-            *keys, "id", F.col("anc2").alias("anc"), (F.col("dist") + F.coalesce("dist2", F.lit(0))).alias("dist"))
-        if (i + 1) % every == 0:
-            up = checkpointed(up)
-    return up.select(*keys, "id", F.col("dist").alias("generation"))
-
-
-def subtree_sizes(edges: DataFrame, generation: DataFrame, max_depth: int = 64) -> DataFrame:
-    """Branches below and including each branch: every branch is handed up the tree once per level."""
-    keys = ["patient_id"]
-    level = edges.select(*keys, "id", "parent")
-    link = level.select(*keys, F.col("id").alias("node"), F.col("parent").alias("next"))
-    depth = generation.agg(F.max("generation")).first()[0] or 0
-    if depth > max_depth:
-        raise ValueError(f"tree depth {depth} exceeds {max_depth}")
-    frontier = level.groupBy(*keys, F.col("id").alias("node")).agg(F.count("*").alias("n"))
-    total = frontier
-    for i in range(int(depth)):
-        frontier = frontier.join(link, [*keys, "node"]).where("next is not null").groupBy(
-            *keys, F.col("next").alias("node")).agg(F.sum("n").alias("n"))
-        if (i + 1) % 5 == 0:
-            frontier = checkpointed(frontier)
-        total = total.unionByName(frontier)
-    return total.groupBy(*keys, F.col("node").alias("id")).agg(F.sum("n").alias("subtree"))
+    cur = checkpointed(edges.select(*keys, "id", F.col("parent").alias("anc"), F.col("parent").isNotNull().cast("bigint").alias("dist"), F.lit(1).cast("bigint").alias("n")))
+    total, reach = cur.count(), 1
+    while not cur.where("anc is not null").isEmpty():
+        if reach > total:
+            raise ValueError("parent links form a cycle")
+        below = cur.where("anc is not null").groupBy(*keys, F.col("anc").alias("id")).agg(F.sum("n").alias("_more"))
+        above = cur.select(*keys, F.col("id").alias("anc"), F.col("anc").alias("_anc"), F.col("dist").alias("_dist"))
+        cur = checkpointed(cur.join(below, [*keys, "id"], "left").join(above, [*keys, "anc"], "left").select(
+            *keys, "id", F.col("_anc").alias("anc"), (F.col("dist") + F.coalesce("_dist", F.lit(0))).alias("dist"),
+            (F.col("n") + F.coalesce("_more", F.lit(0))).alias("n")))
+        reach *= 2
+    return cur
+
+
+def tree_walk(edges: DataFrame) -> DataFrame:
+    """(id, parent) -> steps from the root, per patient, for trees of any depth."""
+    return _doubled(edges).select("patient_id", "id", F.col("dist").alias("generation"))
+
+
+def subtree_sizes(edges: DataFrame) -> DataFrame:
+    """Branches below and including each branch."""
+    return _doubled(edges).select("patient_id", "id", F.col("n").alias("subtree"))
+
+
+def tree_measures(edges: DataFrame) -> DataFrame:
+    """Generation and subtree size in one walk."""
+    return _doubled(edges).select("patient_id", "id", F.col("dist").alias("generation"), F.col("n").alias("subtree"))

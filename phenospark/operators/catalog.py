@@ -148,15 +148,14 @@ def align_to_standard(facts: DataFrame, standard: DataFrame) -> DataFrame:
     return facts.join(standard.select("feature").distinct(), "feature", "left_semi")
 
 
-def alignment_drops(facts: DataFrame, standard: DataFrame, top: int = 15) -> DataFrame:
-    """Dropped features per structure, largest first; ``non_chest`` counts those with no chest keyword."""
+def alignment_drops(facts: DataFrame, standard: DataFrame) -> DataFrame:
+    """Dropped features of every structure, largest first; ``non_chest`` counts those with no chest keyword."""
     dropped = facts.select("feature").distinct().join(standard.select("feature").distinct(), "feature", "left_anti")
     f = F.col("feature")
     return (
         dropped.groupBy(F.substring_index(f, "::", 1).alias("block"))
         .agg(F.count("*").alias("dropped"), F.count_if(~_has(f, CHEST_KEYWORDS)).alias("non_chest"))
         .orderBy(F.desc("dropped"), "block")
-        .limit(top)
     )
 
 

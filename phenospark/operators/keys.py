@@ -52,8 +52,12 @@ def to_long(df: DataFrame, ids: Sequence[str], features: Sequence[str]) -> DataF
 
 
 def to_wide(facts: DataFrame, ids: Sequence[str], features: Sequence[str]) -> DataFrame:
-    """Long to wide for an explicit feature list."""
-    return facts.groupBy(*ids).pivot("feature", list(features)).agg(F.first("value"))
+    """Long to wide for an explicit feature list; only its rows are read, ids without any of them come back as nulls."""
+    rows = facts.where(F.col("feature").isin(*features))
+    wide = rows.groupBy(*ids).pivot("feature", list(features)).agg(F.first("value"))
+    known = facts.select(*ids).distinct().alias("_i")
+    same = [F.col(f"_i.`{c}`").eqNullSafe(F.col(f"_w.`{c}`")) for c in ids]
+    return known.join(wide.alias("_w"), same, "left").select(*[F.col(f"_i.`{c}`") for c in ids], *[F.col(f"_w.`{c}`") for c in features])
 
 
 def coerce_mostly_numeric(texts: DataFrame, share: float = 0.8) -> DataFrame:

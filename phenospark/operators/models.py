@@ -70,9 +70,10 @@ def holdout(id_: Column, frac: float = 0.2, seed: int = 42) -> Column:
 def poisson_weight(id_: Column, replica: int, seed: int = 42) -> Column:
     """Poisson(1) resampling count of a row in a replica, by inverse distribution of a hash."""
     u = F.pmod(F.xxhash64(F.lit(seed), F.lit(replica), id_), F.lit(2**40)) / float(2**40)
-    out, cum = F.lit(10), 0.0
+    last = 16  # beyond it the tail is under the resolution of the hash, 2**-40
+    out, cum = F.lit(last), 0.0
     steps = []
-    for i in range(10):
+    for i in range(last):
         cum += math.exp(-1) / math.factorial(i)
         steps.append((i, cum))
     for i, c in reversed(steps):
@@ -305,7 +306,8 @@ def nested_loco(facts: DataFrame, ids: Sequence[str], cohort: str = "cohort", ke
                 protected: Sequence[str] = (), score_all: DataFrame | None = None):
     """Leave one cohort out: screen on the training cohorts (all folds in one job), tune and fit L1 there, score the rest.
 
-    Returns (out-of-fold rows, selection rows (fold, feature)). ``score_all`` adds rows outside the task (y null) to score."""
+    Returns (out-of-fold rows, selection rows (fold, feature)). ``score_all`` adds rows outside the task (y null), each scored
+    in the fold that holds out its cohort; rows of a cohort without a fold are not scored."""
     spark = facts.sparkSession
     f = checkpointed(group_folds(facts, cohort))
     names = [r[0] for r in f.select("fold").distinct().orderBy("fold").collect()]
@@ -323,7 +325,9 @@ def nested_loco(facts: DataFrame, ids: Sequence[str], cohort: str = "cohort", ke
         chosen += [(int(k), sel[i]) for i in kept]
         part = _scores(model, prep.apply(te), [*ids[:2], "fold"]).withColumn("in_train", F.lit(True))
         if score_all is not None:
-            extra = model_frame(score_all, [c for c in ids if c != "y"], sel).withColumns({"fold": F.lit(k), "y": F.lit(None).cast("int")})
+            # a row outside the task is scored once, by the models that never saw its cohort
+            left_out = f.where(F.col("fold") == k).select(cohort).distinct()
+            extra = model_frame(score_all.join(left_out, cohort, "left_semi"), [c for c in ids if c != "y"], sel).withColumns({"fold": F.lit(k), "y": F.lit(None).cast("int")})
             part = part.unionByName(_scores(model, prep.apply(extra), [*ids[:2], "fold"]).withColumn("in_train", F.lit(False)))
         oof = part if oof is None else oof.unionByName(part)
     return oof, spark.createDataFrame(chosen, "fold int, feature string")

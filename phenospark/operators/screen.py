@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from phenospark.functions.text import clean_double
+from phenospark.operators.profile import fit_medians
 from phenospark.operators.stats import bh_fdr, correlation, kruskal_wallis, mann_whitney, pairwise_auc_macro
 
 POOL, KEEP, CUT, ALPHA = 250, 30, 0.90, 0.05
@@ -57,30 +59,42 @@ def pool_multiclass(facts: DataFrame, label: str, classes: Sequence[int], by: Se
     return _pool(st, by, pool)
 
 
+def median_filled(facts: DataFrame, features: Sequence[str]) -> DataFrame:
+    """(patient_id, feature, value) with one row per patient and listed feature; gaps hold the median of the feature, or 0."""
+    f = facts.where(F.col("feature").isin(*features)).select("patient_id", "feature", clean_double("value").alias("value"))
+    med = fit_medians(f).select("feature", F.col("median").alias("_m"))
+    grid = facts.select("patient_id").distinct().withColumn("feature", F.explode(F.array(*[F.lit(n) for n in features])))
+    seen = f.groupBy("patient_id", "feature").agg(F.first("value", ignorenulls=True).alias("value"))
+    return grid.join(seen, ["patient_id", "feature"], "left").join(med, "feature", "left").select(
+        "patient_id", "feature", F.coalesce("value", "_m", F.lit(0.0)).alias("value"))
+
+
 def greedy_decorrelate(order: Sequence[str], corr: Iterable[tuple[str, str, float]], cut: float = CUT, keep: int = KEEP,
                        protected: Sequence[str] = ()) -> list[str]:
-    """Keep a feature if its largest |rho| with those kept is below ``cut``. Inherently sequential over <= pool names."""
+    """Keep a feature if its largest |rho| with those kept is below ``cut``. Inherently sequential over <= pool names. A pair
+    without a correlation is an error."""
     rho = {}
     for a, b, r in corr:
-        rho[a, b] = rho[b, a] = r if r is not None else 0.0
+        rho[a, b] = rho[b, a] = r if r is not None else 0.0  # a constant feature goes with nothing
     kept = list(dict.fromkeys(protected))
     for f in order:
         if len(kept) >= max(keep, len(protected)):
             break
-        if f not in kept and all(rho.get((f, g), 0.0) < cut for g in kept):
+        if f not in kept and all(rho[f, g] < cut for g in kept):
             kept.append(f)
     return kept
 
 
 def select_features(facts: DataFrame, pool: DataFrame, keep: int = KEEP, cut: float = CUT, protected: Sequence[str] = ()) -> list[str]:
-    """Pool (one fold) -> the decorrelated list; below five features the top of the pool is used as it is."""
+    """Pool (one fold) -> the decorrelated list. Correlations are taken over all rows, with gaps filled by the feature's median.
+    If fewer than ``min(5, keep)`` features survive, the top ``keep`` of the pool are used as they are."""
     order = [r["feature"] for r in pool.orderBy("rank").select("feature").collect()]
     names = list(dict.fromkeys([*protected, *order]))
     if len(names) < 2:
         return names
-    corr = [(r["a"], r["b"], r["rho"]) for r in correlation(facts.where("value is not null"), names).collect()]
+    corr = [(r["a"], r["b"], r["rho"]) for r in correlation(median_filled(facts, names), names).collect()]
     kept = greedy_decorrelate(order, corr, cut, keep, protected)
-    return kept if len(kept) >= 5 else list(dict.fromkeys([*protected, *order[:5]]))
+    return kept if len(kept) >= min(5, keep) else list(dict.fromkeys([*protected, *order[:keep]]))
 
 
 def protect(selected: Sequence[str], protected: Sequence[str]) -> list[str]:

@@ -294,8 +294,7 @@ def _tree(spark, sf):
  SELECT g.id, g.generation, s.subtree FROM (SELECT id, CAST(max(d) AS INTEGER) AS generation FROM up GROUP BY 1) g JOIN (SELECT node AS id, count(*) AS subtree FROM up GROUP BY 1) s USING (id)""")
 def a_tree(spark, sf):
     e = _tree(spark, sf)
-    g = A.tree_walk(e)
-    return g.join(A.subtree_sizes(e, g), ["patient_id", "id"]).select("id", F.col("generation").cast("int").alias("generation"), "subtree")
+    return A.tree_measures(e).select("id", F.col("generation").cast("int").alias("generation"), "subtree")
 
 
 REACH = """, reach(p, a, b) AS (SELECT v.patient_id, v.k, v.k FROM v UNION

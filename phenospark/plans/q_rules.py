@@ -98,7 +98,7 @@ def g_align(spark, sf):
 
 @query("G-07b", S.cte("obs", f"""+, std AS ({STANDARD}) SELECT split_part(feature, '::', 1) AS block, count(DISTINCT feature) AS dropped,
  count(DISTINCT CASE WHEN NOT {_has(G.CHEST_KEYWORDS)} THEN feature END) AS non_chest
- FROM obs WHERE feature NOT IN (SELECT feature FROM std) GROUP BY 1 ORDER BY dropped DESC, block LIMIT 15"""))
+ FROM obs WHERE feature NOT IN (SELECT feature FROM std) GROUP BY 1"""))
 def g_drops(spark, sf):
     o = S.obs(spark, sf)
     std = o.where("cohort = 'ASIA' AND feature NOT LIKE 'liver%' AND feature NOT LIKE 'info%' AND feature NOT LIKE 'heart%'")

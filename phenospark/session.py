@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,16 +27,23 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of an iterative job through the reliable checkpoint folder.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only when the
-    session has none (tests) is a temporary folder set.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a local session without
+    one (tests) gets a temporary folder.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or local_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def local_folder(spark: SparkSession) -> str:
+    """A temporary folder of this machine, for local sessions only: executors elsewhere could not share it."""
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise RuntimeError(f"spark.checkpoint.dir must name a shared folder under master {master}")
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
 def spread(df: DataFrame, *cols: str) -> DataFrame:
     """Hash-partition by the grouping columns of a following ``applyInPandas`` with the full partition count.
 

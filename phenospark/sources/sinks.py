@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phenospark.session import local_folder
+
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder in the shared folder of the cluster; a local one only where the session names none (tests)."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if shared:
         return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp") + f"/{name}"
+    return f"{local_folder(spark)}/{name}"
 
 
 def write_table(df: DataFrame, root: str, version: str) -> str:

@@ -30,10 +30,15 @@ def parse_records(df: DataFrame, json_col: str) -> DataFrame:
 
 
 def record_facts(parsed: DataFrame, *ids: str) -> DataFrame:
-    """Long facts of good records; null and text values become null."""
+    """Long facts of good records; null and text values become null. Of a repeated key the last value counts."""
+    keys = F.map_keys("record")
+    entries = F.map_entries("record")
+    last = F.filter(entries, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"]))
+    once = F.when(F.size(F.array_distinct(keys)) == F.size(keys), entries).otherwise(last)
     return (
         parsed.where(F.col("record").isNotNull())
-        .select(*ids, F.explode("record").alias("feature", "text"))
+        .select(*ids, F.explode(once).alias("e"))
+        .select(*ids, F.col("e.key").alias("feature"), F.col("e.value").alias("text"))
         .select(*ids, "feature", clean_double(F.col("text").try_cast("double")).alias("value"))
     )
 

@@ -88,7 +88,7 @@ def test_branches(spark):
     assert (r.n_terminal_total, r.n_terminal_gen5plus, r.pruning_ratio_gen5) == (4, 0, 0.0)
     g = A.tree_walk(b)
     assert {x.id: x.generation for x in g.collect()} == {i: rows[i][3] for i in range(7)}
-    assert {x.id: x.subtree for x in A.subtree_sizes(b, g).collect()} == {0: 7, 1: 3, 2: 3, 3: 1, 4: 1, 5: 1, 6: 1}
+    assert {x.id: x.subtree for x in A.subtree_sizes(b).collect()} == {0: 7, 1: 3, 2: 3, 3: 1, 4: 1, 5: 1, 6: 1}
     per = [("a", float(x), 1 + 0.2 * x) for x in (4, 6, 8, 10, 12, 14)] + [("b", float(x), 1.0) for x in range(1, 6)]
     p = {x.patient_id: x.Pi10 for x in A.pi10(spark.createDataFrame(per, "patient_id string, Pi_Perimeter_mm double, Sqrt_WallArea double")).collect()}
     assert abs(p["a"] - 3.0) < 1e-9 and p["b"] is None
