@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from phenospark.llm import bpe, decontaminate, language, linededup, multiindex, pii, quality, secrets, simhash, toxicity
 from phenospark.llm.common import held_out, table
+from phenospark.llm.oracle import ORACLE  # noqa: F401
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -65,4 +66,3 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_toxicity, op3_multiindex, op4_linededup, op5_simhash, op6_language, op7_bpe, op8_pii, op9_decontaminate, op10_secrets)}
-ORACLE: dict[str, str] = {}
