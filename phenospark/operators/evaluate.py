@@ -201,13 +201,17 @@ def calibration_groups(df: DataFrame, groups: int = 10, y: str = "y", score: str
     return g.withColumns({"lo": F.greatest(F.col("observed") - half, F.lit(0.0)), "hi": F.least(F.col("observed") + half, F.lit(1.0))})
 
 
-def smooth_calibration(df: DataFrame, y: str = "y", score: str = "proba") -> DataFrame:
-    """Monotone calibration curve and its mean absolute distance from the score (isotonic in place of local regression)."""
+def smooth_calibration(df: DataFrame, y: str = "y", score: str = "proba", points: int = 100_000) -> DataFrame:
+    """Monotone calibration curve and its mean absolute distance from the score (isotonic in place of local regression).
+
+    Scores are first pooled in at most ``points`` blocks of equal rank width, a bound on what the fit gathers; up to so many
+    rows every distinct score is a block of its own."""
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.regression import IsotonicRegression
 
-    # pooled per distinct score: the same fit on far fewer rows
-    d = df.groupBy(F.col(score).alias("p")).agg(F.avg(F.col(y).cast("double")).alias("label"), F.count("*").cast("double").alias("w"))
+    t = prefix_sums(value_counts(df, [], score, {"n": F.lit(1), "pos": F.col(y)}), [], score, ["n"])
+    block = F.floor(F.col("before_n") * F.lit(float(points)) / F.greatest(F.col("total_n"), F.lit(float(points))))
+    d = t.groupBy(block.alias("_b")).agg((F.sum(F.col(score) * F.col("n")) / F.sum("n")).alias("p"), (F.sum("pos") / F.sum("n")).alias("label"), F.sum("n").cast("double").alias("w"))
     d = d.withColumn("features", array_to_vector(F.array("p")))
     model = IsotonicRegression(weightCol="w").fit(d)
     return model.transform(d).agg((F.sum(F.abs(F.col("prediction") - F.col("p")) * F.col("w")) / F.sum("w")).alias("eavg"), F.count("*").alias("points"))

@@ -8,8 +8,10 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
@@ -112,6 +114,12 @@ class Preparation:
         v = F.array(*[(F.coalesce(F.col(c), F.lit(float(self.median[c]))) - float(self.mean[c])) / float(self.scale[c]) for c in self.cols])
         return df.withColumn("features", array_to_vector(v))
 
+    def pipeline(self, model) -> PipelineModel:
+        """The preparation and a fitted model as one saved unit that scores new rows of the same columns."""
+        ready = [f"(coalesce({c}, {float(self.median[c])!r}D) - {float(self.mean[c])!r}D) / {float(self.scale[c])!r}D AS _{c}" for c in self.cols]
+        sql = SQLTransformer(statement=f"SELECT *, {', '.join(ready)} FROM __THIS__")
+        return PipelineModel([sql, VectorAssembler(inputCols=[f"_{c}" for c in self.cols], outputCol="features"), model])
+
 
 def feature_columns(df: DataFrame) -> list[str]:
     return sorted((c for c in df.columns if c[0] == "f" and c[1:].isdigit()), key=lambda c: int(c[1:]))
@@ -194,11 +202,17 @@ def fourier_features(df: DataFrame, gamma: float, size: int = 128, seed: int = 7
     return df.withColumn(out, array_to_vector(project(vector_to_array(col))))
 
 
-def rbf_svm_cv(train: DataFrame, cs: Sequence[float] = (0.1, 1, 10, 100), gammas: Sequence[float] = (0.01, 0.1, 1.0), folds: int = 3, w: str = "w",
+def rbf_svm_cv(train: DataFrame, cs: Sequence[float] = (0.1, 1, 10, 100), gammas: Sequence[float | str] = ("scale", 0.01, 0.1, 1.0), folds: int = 3, w: str = "w",
                classes: int = 2, size: int = 128):
     """RBF support vector machine through random Fourier features. Returns (model, gamma, c, scores); several classes use
-    one-versus-rest."""
+    one-versus-rest. The gamma ``scale`` is one over the number of features times the variance of all their values."""
     train = checkpointed(train.select("patient_id", "y", w, "features"))
+    if "scale" in gammas:
+        a = vector_to_array("features")
+        s = train.select(F.size(a).alias("k"), F.aggregate(a, F.lit(0.0), lambda t, v: t + v).alias("s"), F.aggregate(a, F.lit(0.0), lambda t, v: t + v * v).alias("q")).agg(
+            F.max("k").alias("k"), F.sum("k").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).first()
+        var = s["q"] / s["n"] - (s["s"] / s["n"]) ** 2
+        gammas = [1 / (s["k"] * var) if g == "scale" and var > 0 else 1.0 if g == "scale" else g for g in gammas]
     tot, best, scores = _total(train, w), None, []
     for gamma in gammas:
         f = fourier_features(train, gamma, size)
@@ -224,7 +238,7 @@ def rbf_svm_cv(train: DataFrame, cs: Sequence[float] = (0.1, 1, 10, 100), gammas
     return best[1], best[2], best[3], scores
 
 
-def margin(df: DataFrame, col: str = "rawPrediction") -> Column:
+def margin(df: DataFrame | None = None, col: str = "rawPrediction") -> Column:
     return vector_to_array(col)[1]
 
 
@@ -302,12 +316,36 @@ def ablation(facts: DataFrame, ids: Sequence[str], sets: Mapping[str, Sequence[s
     return out
 
 
+def svm_chain(train: DataFrame, kept: Sequence[int], cs: Sequence[float] = (0.1, 1, 10, 100), gammas: Sequence[float | str] = ("scale", 0.01, 0.1, 1.0), folds: int = 3,
+              size: int = 128):
+    """RBF support vector machine on the features at ``kept``, tuned on the training rows, with Platt's scaling fitted on margins
+    of inner folds. Returns a function that scores prepared rows: svm_score, svm_proba and svm_pred are added."""
+    at = F.array(*[F.lit(int(i)) for i in kept])
+    small = lambda d: d.withColumn("features", array_to_vector(F.transform(at, lambda i: F.get(vector_to_array("features"), i))))
+    tr = checkpointed(small(train).select("patient_id", "y", "w", "features"))
+    model, gamma, c, _ = rbf_svm_cv(tr, cs, gammas, folds, size=size)
+    f = checkpointed(fourier_features(stratified_folds(tr, folds, 7), gamma, size))
+    svc = LinearSVC(labelCol="y", weightCol="w", featuresCol="rff", standardization=False, maxIter=30, regParam=_reg(c, _total(tr, "w")))
+    inner = None
+    for j in range(folds):
+        part = svc.fit(f.where(F.col("fold") != j)).transform(f.where(F.col("fold") == j)).select("y", margin().alias("score"))
+        inner = part if inner is None else inner.unionByName(part)
+    inner = checkpointed(inner)
+
+    def score(rows: DataFrame) -> DataFrame:
+        out = model.transform(fourier_features(small(rows), gamma, size)).withColumn("score", margin())
+        return platt_proba(inner, out).withColumnsRenamed({"score": "svm_score", "proba": "svm_proba"}).withColumn("svm_pred", F.col("prediction").cast("int"))
+
+    return score
+
+
 def nested_loco(facts: DataFrame, ids: Sequence[str], cohort: str = "cohort", keep: int = 30, cs: Sequence[float] = C_GRID, folds: int = 3,
-                protected: Sequence[str] = (), score_all: DataFrame | None = None):
+                protected: Sequence[str] = (), score_all: DataFrame | None = None, svm: Mapping | None = None):
     """Leave one cohort out: screen on the training cohorts (all folds in one job), tune and fit L1 there, score the rest.
 
     Returns (out-of-fold rows, selection rows (fold, feature)). ``score_all`` adds rows outside the task (y null), each scored
-    in the fold that holds out its cohort; rows of a cohort without a fold are not scored."""
+    in the fold that holds out its cohort; rows of a cohort without a fold are not scored. ``svm`` (options of
+    :func:`svm_chain`) adds a support vector machine on the features that the LASSO keeps: svm_score, svm_proba, svm_pred."""
     spark = facts.sparkSession
     f = checkpointed(group_folds(facts, cohort))
     names = [r[0] for r in f.select("fold").distinct().orderBy("fold").collect()]
@@ -323,12 +361,19 @@ def nested_loco(facts: DataFrame, ids: Sequence[str], cohort: str = "cohort", ke
         prep = Preparation.fit(tr, cols)
         model, kept, _ = lasso_logit_cv(balanced_weights(prep.apply(tr)).drop("fold"), cs, folds=folds)
         chosen += [(int(k), sel[i]) for i in kept]
-        part = _scores(model, prep.apply(te), [*ids[:2], "fold"]).withColumn("in_train", F.lit(True))
+        chain = None if svm is None else svm_chain(balanced_weights(prep.apply(tr)).drop("fold"), kept, **svm)
+
+        def scored(rows: DataFrame, inside: bool) -> DataFrame:
+            key = [*ids[:2], "fold"]
+            out = _scores(model, rows, key).withColumn("in_train", F.lit(inside))
+            return out if chain is None else out.join(chain(rows).select(*key, "svm_score", "svm_proba", "svm_pred"), key, "left")
+
+        part = scored(prep.apply(te), True)
         if score_all is not None:
             # a row outside the task is scored once, by the models that never saw its cohort
             left_out = f.where(F.col("fold") == k).select(cohort).distinct()
             extra = model_frame(score_all.join(left_out, cohort, "left_semi"), [c for c in ids if c != "y"], sel).withColumns({"fold": F.lit(k), "y": F.lit(None).cast("int")})
-            part = part.unionByName(_scores(model, prep.apply(extra), [*ids[:2], "fold"]).withColumn("in_train", F.lit(False)))
+            part = part.unionByName(scored(prep.apply(extra), False))
         oof = part if oof is None else oof.unionByName(part)
     return oof, spark.createDataFrame(chosen, "fold int, feature string")
 
@@ -374,15 +419,14 @@ def remaining_configs(configs: DataFrame, results: DataFrame, keys: Sequence[str
 
 
 def final_model(df: DataFrame, path: str, fit: Fit = logit_l2) -> DataFrame:
-    """Refit on all labelled rows, save with Spark ML persistence, read back and score everything."""
-    from pyspark.ml.classification import LogisticRegressionModel
-
+    """Refit on all labelled rows, save preparation and model with Spark ML persistence, read back and score everything. ``fit``
+    may return any Spark ML model with a probability."""
     df = checkpointed(df)
     prep = Preparation.fit(df.where("y is not null"), feature_columns(df))
     x = prep.apply(df)
     model = fit(balanced_weights(x.where("y is not null")))
-    model.write().overwrite().save(path)
-    return _scores(LogisticRegressionModel.load(path), x, ["patient_id"])
+    prep.pipeline(model).write().overwrite().save(path)
+    return _scores(PipelineModel.load(path), df, ["patient_id"])
 
 
 def bootstrap_optimism(df: DataFrame, replicas: int, threshold: float = 0.3, fit: Fit = logit_l2, seed: int = 42) -> DataFrame:

@@ -72,22 +72,28 @@ def _words(terms: Sequence[str]) -> Column:
     return F.array(*[F.lit(t) for t in terms])
 
 
-def acute_rule(text: Column, reach: int = 6, exclude_term_from_window: bool = False) -> Column:
+def acute_rule(text: Column, reach: int = 6, exclude_term_from_window: bool = False, all_occurrences: bool = False) -> Column:
     """Note of the first acute hit in a text column, null without one.
 
     An acute term hits by itself; a chronic term needs a modifier within ``reach`` characters of its first occurrence.
-    By default the window includes the term itself, as the labels in use do.
+    By default the window includes the term itself, as the labels in use do. With ``all_occurrences`` a modifier near any
+    occurrence of the chronic term counts.
     """
     acute = F.get(F.filter(_words(ACUTE_TERMS), lambda t: text.contains(t)), F.lit(0))
 
-    def near(t):
-        at = F.instr(text, t)
+    def near(t, at):
         start = F.greatest(at - reach, F.lit(1))
         middle = F.lit("\u0001") if exclude_term_from_window else t
         return F.concat(F.substring(text, start, at - start), middle, F.substring(text, at + F.length(t), F.lit(reach)))
 
     # the window of a term is cut out once, then searched for every modifier
-    windows = F.transform(F.filter(_words(CHRONIC_TERMS), lambda t: text.contains(t)), lambda t: F.struct(t.alias("t"), near(t).alias("w")))
+    def places(t):
+        if all_occurrences:
+            return F.filter(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substring(text, i, F.length(t)) == t)
+        return F.array(F.instr(text, t))
+
+    windows = F.flatten(F.transform(F.filter(_words(CHRONIC_TERMS), lambda t: text.contains(t)), lambda t: F.transform(
+        places(t), lambda at: F.struct(t.alias("t"), near(t, at).alias("w")))))
     pairs = F.transform(windows, lambda s: F.struct(s["t"].alias("t"), F.get(F.filter(_words(MODIFIERS), lambda m: s["w"].contains(m)), F.lit(0)).alias("m")))
     first = F.get(F.filter(pairs, lambda p: p["m"].isNotNull()), F.lit(0))
     return F.coalesce(F.concat(F.lit("急性关键词: "), acute), F.concat(F.lit("慢性词+修饰: "), first["t"], F.lit("+"), first["m"]))
@@ -110,6 +116,12 @@ def troponin_rule(value: Column, unit: Column) -> Column:
     return F.coalesce(troponin_ng_ml(value, unit) > TNI_LIMIT, F.lit(False))
 
 
+def troponin_note(value: Column, unit: Column) -> Column:
+    """Note with the value in ng/mL, null without a hit."""
+    v = troponin_ng_ml(value, unit)
+    return F.when(v > TNI_LIMIT, F.format_string("肌钙蛋白升高(%.3fng/mL)", F.bround(v, 3)))
+
+
 def bnp_limit(age: Column) -> Column:
     return threshold(parse_number(age), BNP_STEPS, BNP_DEFAULT)
 
@@ -118,15 +130,18 @@ def bnp_rule(value: Column, age: Column) -> Column:
     return F.coalesce(parse_number(value) > bnp_limit(age), F.lit(False))
 
 
+def bnp_note(value: Column, age: Column) -> Column:
+    """Note with the value and the limit of the age, null without a hit."""
+    v, limit = parse_number(value), bnp_limit(age)
+    return F.when(v > limit, F.format_string("NT-ProBNP升高(%.0f>%.0fpg/mL)", F.bround(v, 0), limit.cast("double")))
+
+
 def combine_rules(df: DataFrame, note: Column, tni: Column, bnp: Column) -> DataFrame:
-    """OR of text, troponin and NT-proBNP rules, with a joined note."""
-    df = df.withColumns({"hit_text": note.isNotNull(), "hit_tni": tni, "hit_bnp": bnp, "_note": note})
-    joined = F.concat_ws(
-        " | ", F.col("_note"), F.when(F.col("hit_tni"), F.lit("肌钙蛋白升高")),
-        F.when(F.col("hit_bnp"), F.lit("NT-ProBNP升高")),
-    )
+    """OR of the text, troponin and NT-proBNP rules, given by their notes (null without a hit), with the notes joined."""
+    df = df.withColumns({"_note": note, "_tni": tni, "_bnp": bnp})
+    df = df.withColumns({"hit_text": F.col("_note").isNotNull(), "hit_tni": F.col("_tni").isNotNull(), "hit_bnp": F.col("_bnp").isNotNull()})
     label = (F.col("hit_text") | F.col("hit_tni") | F.col("hit_bnp")).cast("int")
-    return df.withColumns({"label": label, "note": joined}).drop("_note")
+    return df.withColumns({"label": label, "note": F.concat_ws(" | ", "_note", "_tni", "_bnp")}).drop("_note", "_tni", "_bnp")
 
 
 def rule_counts(df: DataFrame) -> DataFrame:

@@ -190,38 +190,57 @@ COMORB = sorted(set(C.ACUTE_TERMS + C.CHRONIC_TERMS + C.COMORBIDITY_TERMS), key=
 COMORB_SQL = "CASE " + " ".join(f"WHEN contains(t, '{w}') THEN '合并症: {w}'" for w in COMORB) + " END"
 
 
+def _near_sql(t: str) -> str:
+    """First modifier near any occurrence of a chronic term."""
+    at = f"list_filter(range(1, length(t) + 1), lambda i: substring(t, i, {len(t)}) = '{t}')"
+    win = f"list_transform({at}, lambda i: substring(t, greatest(i - 6, 1), i - greatest(i - 6, 1) + {len(t) + 6}))"
+    mods = "[" + ", ".join(f"'{m}'" for m in C.MODIFIERS) + "]"
+    return f"list_filter(list_transform({win}, lambda w: list_filter({mods}, lambda m: contains(w, m))[1]), lambda m: m IS NOT NULL)[1]"
+
+
+NEAR_SQL = "CASE " + " ".join(f"WHEN contains(t, '{a}') THEN '急性关键词: {a}'" for a in C.ACUTE_TERMS) + " ELSE coalesce(" + ", ".join(
+    f"'慢性词+修饰: {c}+' || {_near_sql(c)}" for c in C.CHRONIC_TERMS) + ") END"
+
+
+@query("C-05b", S.cte("clinical", f"+, x AS (SELECT k, {TEXT_SQL} AS t FROM clinical) SELECT k, {NEAR_SQL} AS note FROM x"))
+def c_acute_all(spark, sf):
+    return _text(S.clinical(spark, sf)).select("k", C.acute_rule(F.col("t"), all_occurrences=True).alias("note"))
+
+
 @query("C-06", S.cte("clinical", f"+, x AS (SELECT k, main_diagnosis || ' ' || other_diagnosis AS t FROM clinical) SELECT k, {COMORB_SQL} AS note FROM x"))
 def c_comorbid(spark, sf):
     return S.clinical(spark, sf).select("k", C.comorbidity_rule(F.col("main_diagnosis"), F.col("other_diagnosis")).alias("note"))
 
 
 TNI_SQL = f"{NUM_SQL.format('tni')} * CASE tni_unit WHEN 'ng/L' THEN 0.001e0 ELSE 1e0 END"
-BNP_SQL = (f"{NUM_SQL.format('bnp')} > CASE WHEN CAST(age AS DOUBLE) <= 50 THEN 450 WHEN CAST(age AS DOUBLE) <= 75 THEN 900 "
-           "WHEN CAST(age AS DOUBLE) <= 200 THEN 1800 ELSE 450 END")
+BNP_LIMIT_SQL = "CASE WHEN CAST(age AS DOUBLE) <= 50 THEN 450e0 WHEN CAST(age AS DOUBLE) <= 75 THEN 900e0 WHEN CAST(age AS DOUBLE) <= 200 THEN 1800e0 ELSE 450e0 END"
+BNP_SQL = f"{NUM_SQL.format('bnp')} > {BNP_LIMIT_SQL}"
+TNI_NOTE_SQL = f"CASE WHEN {TNI_SQL} > 0.047e0 THEN '肌钙蛋白升高(' || format('{{:.3f}}', {TNI_SQL}) || 'ng/mL)' END"
+BNP_NOTE_SQL = f"CASE WHEN {BNP_SQL} THEN 'NT-ProBNP升高(' || format('{{:.0f}}', {NUM_SQL.format('bnp')}) || '>' || format('{{:.0f}}', {BNP_LIMIT_SQL}) || 'pg/mL)' END"
 
 
-@query("C-07", S.cte("clinical", f"SELECT k, round({TNI_SQL}, 9) AS ng_ml, coalesce({TNI_SQL} > 0.047e0, FALSE) AS hit FROM clinical"))
+@query("C-07", S.cte("clinical", f"SELECT k, round({TNI_SQL}, 9) AS ng_ml, coalesce({TNI_SQL} > 0.047e0, FALSE) AS hit, {TNI_NOTE_SQL} AS note FROM clinical"))
 def c_troponin(spark, sf):
     return S.clinical(spark, sf).select("k", F.round(C.troponin_ng_ml(F.col("tni"), F.col("tni_unit")), 9).alias("ng_ml"),
-                                        C.troponin_rule(F.col("tni"), F.col("tni_unit")).alias("hit"))
+                                        C.troponin_rule(F.col("tni"), F.col("tni_unit")).alias("hit"), C.troponin_note(F.col("tni"), F.col("tni_unit")).alias("note"))
 
 
-@query("C-08", S.cte("clinical", f"SELECT k, coalesce({BNP_SQL}, FALSE) AS hit FROM clinical"))
+@query("C-08", S.cte("clinical", f"SELECT k, coalesce({BNP_SQL}, FALSE) AS hit, {BNP_NOTE_SQL} AS note FROM clinical"))
 def c_bnp(spark, sf):
-    return S.clinical(spark, sf).select("k", C.bnp_rule(F.col("bnp"), F.col("age")).alias("hit"))
+    return S.clinical(spark, sf).select("k", C.bnp_rule(F.col("bnp"), F.col("age")).alias("hit"), C.bnp_note(F.col("bnp"), F.col("age")).alias("note"))
 
 
 RULES_CTE = f"""+, x AS (SELECT *, {TEXT_SQL} AS t FROM clinical),
- h AS (SELECT k, {_acute_sql('t')} AS note, coalesce({TNI_SQL} > 0.047e0, FALSE) AS hit_tni, coalesce({BNP_SQL}, FALSE) AS hit_bnp FROM x)"""
+ h AS (SELECT k, {_acute_sql('t')} AS note, coalesce({TNI_SQL} > 0.047e0, FALSE) AS hit_tni, coalesce({BNP_SQL}, FALSE) AS hit_bnp, {TNI_NOTE_SQL} AS note_tni, {BNP_NOTE_SQL} AS note_bnp FROM x)"""
 
 
 def _combined(spark, sf):
     return C.combine_rules(_text(S.clinical(spark, sf)), C.acute_rule(F.col("t")),
-                           C.troponin_rule(F.col("tni"), F.col("tni_unit")), C.bnp_rule(F.col("bnp"), F.col("age")))
+                           C.troponin_note(F.col("tni"), F.col("tni_unit")), C.bnp_note(F.col("bnp"), F.col("age")))
 
 
 @query("C-09", S.cte("clinical", RULES_CTE + """ SELECT k, CASE WHEN note IS NOT NULL OR hit_tni OR hit_bnp THEN 1 ELSE 0 END AS label,
- concat_ws(' | ', note, CASE WHEN hit_tni THEN '肌钙蛋白升高' END, CASE WHEN hit_bnp THEN 'NT-ProBNP升高' END) AS note FROM h"""))
+ concat_ws(' | ', note, note_tni, note_bnp) AS note FROM h"""))
 def c_combined(spark, sf):
     return _combined(spark, sf).select("k", "label", "note")
 

@@ -5,7 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from phenospark.operators import airway as A
+from phenospark.operators import evaluate as E
 from phenospark.operators import filters as L
+from phenospark.operators import models as M
+from phenospark.operators import rules as C
 from phenospark.operators import screen as Z
 from phenospark.operators.keys import to_wide
 from phenospark.sources import tables as R
@@ -90,3 +93,48 @@ def test_a_replayed_batch_changes_nothing(spark, tmp_path):
 def test_wide_keeps_ids_without_the_features(spark):
     f = spark.createDataFrame([("p1", "a", 1.0), ("p2", "b", 2.0)], "patient_id string, feature string, value double")
     assert sorted((r.patient_id, r.a) for r in to_wide(f, ["patient_id"], ["a"]).collect()) == [("p1", 1.0), ("p2", None)]
+
+
+def cohort_facts(spark, n=90):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(n, 4))
+    y = (x[:, 0] + x[:, 1] ** 2 + 0.3 * rng.normal(size=n) > 0.8).astype(int)
+    rows = [(i, "ABC"[i % 3], int(y[i]), f"g{k}", float(x[i, k])) for i in range(n) for k in range(4)]
+    return spark.createDataFrame(rows, "patient_id int, cohort string, y int, feature string, value double")
+
+
+def test_nested_folds_with_svm_and_extra_rows(spark):
+    f = cohort_facts(spark)
+    extra = f.where("patient_id < 9").withColumn("patient_id", F.col("patient_id") + 1000).drop("y")
+    other = extra.where("cohort = 'A'").withColumns({"patient_id": F.col("patient_id") + 1000, "cohort": F.lit("Z")})
+    oof, chosen = M.nested_loco(f, ["patient_id", "cohort", "y"], keep=3, cs=(1.0,), folds=2, score_all=extra.unionByName(other),
+                                svm={"cs": (1.0,), "gammas": ("scale",), "folds": 2, "size": 32})
+    p = oof.toPandas()
+    assert len(p[p.in_train]) == 90 and len(p[~p.in_train]) == 9  # once each, and none of a cohort without a fold
+    assert p.svm_proba.between(0, 1).all() and p.svm_score.notna().all() and set(p.svm_pred) <= {0, 1}
+    assert chosen.count() >= 3
+
+
+def test_saved_models_score_new_rows(spark, tmp_path):
+    f = M.model_frame(cohort_facts(spark), ["patient_id", "cohort", "y"], ["g0", "g1", "g2", "g3"])
+    for name, fit in {"logit": M.logit_l2, "mlp": lambda d: M.mlp(d, (3,), max_iter=5)}.items():
+        got = {r.patient_id: r.proba for r in M.final_model(f, str(tmp_path / name), fit).collect()}
+        prep = M.Preparation.fit(f, M.feature_columns(f))
+        x = prep.apply(f)
+        want = {r.patient_id: r.proba for r in M._scores(fit(M.balanced_weights(x)), x, ["patient_id"]).collect()}
+        assert len(got) == 90 and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_modifier_near_a_later_occurrence(spark):
+    term, mod = C.CHRONIC_TERMS[0], C.MODIFIERS[0]
+    t = spark.createDataFrame([(f"{term}，{'x' * 20}{term}{mod}",)], "t string")
+    r = t.select(C.acute_rule(F.col("t"), exclude_term_from_window=True).alias("a"), C.acute_rule(F.col("t"), exclude_term_from_window=True, all_occurrences=True).alias("b")).first()
+    assert r.a is None and r.b == f"慢性词+修饰: {term}+{mod}"
+
+
+def test_smooth_calibration_in_blocks(spark):
+    rng = np.random.default_rng(3)
+    p = rng.random(3000)
+    d = spark.createDataFrame([(float(a), int(rng.random() < a)) for a in p], "proba double, y int")
+    a, b = E.smooth_calibration(d).first(), E.smooth_calibration(d, points=200).first()
+    assert a.points == 3000 and b.points <= 200 and abs(a.eavg - b.eavg) < 0.02
