@@ -18,6 +18,7 @@ from phenospark.llm.common import Roller, groups, labelled_sample, lower_bytes,
 
 BITS = 20
 HEADS = (4, 5)
+CHUNK = 1 << 21
 SCHEMA = "score double, n_offending bigint, offending array<struct<start:bigint,end:bigint,score:double>>"
 
 _WORD = np.zeros(256, bool)
@@ -80,35 +81,49 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     w, b = np.zeros(1 << BITS, np.float32), -8.0
     if not rows or len(sizes) < 2:
         return {"w": w, "b": float(b)}
-    sent, feat, bag, y, n_sent = [], [], [], [], 0
-    last = None
-    for r in rows:
+    # documents that hold a term, then only the terms that are common enough, in 32 bits
+    held = np.zeros(1 << BITS, np.int32)
+    at = 0
+    while at < len(rows):
+        end = at + 1
+        while end < len(rows) and rows[end]["doc_id"] == rows[at]["doc_id"]:
+            end += 1
+        held[np.unique(np.concatenate([np.frombuffer(r["feat"], "<i4") for r in rows[at:end]]))] += 1
+        at = end
+    known = held >= min_bags
+    used = np.flatnonzero(known)
+    place = (np.cumsum(known) - 1).astype(np.int32)
+    sent, col, bag, y, n_sent, last = [], [], [], [], 0, None
+    for i, r in enumerate(rows):
         if r["doc_id"] != last:
             last = r["doc_id"]
             y.append(r["y"])
-        s = np.frombuffer(r["sent"], "<i4")
+        s, f = np.frombuffer(r["sent"], "<i4"), np.frombuffer(r["feat"], "<i4")
+        rows[i] = None
         if len(s):
-            sent.append(s.astype(np.int64) + n_sent)
-            feat.append(np.frombuffer(r["feat"], "<i4"))
+            ok = known[f]
+            sent.append(s[ok] + np.int32(n_sent))
+            col.append(place[f[ok]])
             bag.append(np.full(int(s.max()) + 1, len(y) - 1))
             n_sent += int(s.max()) + 1
     if not sent:
         return {"w": w, "b": float(b)}
-    sent, feat, bag, y = np.concatenate(sent), np.concatenate(feat).astype(np.int64), np.concatenate(bag).astype(np.int64), np.array(y, float)
-    bags = np.unique(bag[sent] << BITS | feat) & ((1 << BITS) - 1)
-    known = np.bincount(bags, minlength=1 << BITS) >= min_bags
-    sent, feat = sent[known[feat]], feat[known[feat]]
-    used, col = np.unique(feat, return_inverse=True)
+    sent, col, bag, y = np.concatenate(sent), np.concatenate(col), np.concatenate(bag).astype(np.int64), np.array(y, float)
+    cuts = range(0, len(sent), CHUNK)
     share = np.array([sizes[0], sizes[1]]) / np.maximum(np.bincount(y.astype(int), minlength=2), 1)
     weight = share[y.astype(int)] / share[y.astype(int)].sum()
     v, m, s2, mb, sb = np.zeros(len(used)), np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     for t in range(1, epochs + 1):
-        z = b + np.bincount(sent, v[col], minlength=n_sent)
+        z = np.full(n_sent, b)
+        for c in cuts:
+            z += np.bincount(sent[c: c + CHUNK], v[col[c: c + CHUNK]], minlength=n_sent)
         miss = np.bincount(bag, _softplus(z), minlength=len(y))
         # d loss / d miss: 1 for a negative bag, -exp(-miss) / (1 - exp(-miss)) for a positive one
         g_miss = np.where(y == 1, -1 / np.maximum(np.expm1(np.minimum(miss, 700)), 1e-4), 1.0) * weight
         g_z = g_miss[bag] / (1 + np.exp(-z))
-        g, gb = np.bincount(col, g_z[sent], minlength=len(used)), g_z.sum()
+        g, gb = np.zeros(len(used)), g_z.sum()
+        for c in cuts:
+            g += np.bincount(col[c: c + CHUNK], g_z[sent[c: c + CHUNK]], minlength=len(used))
         g = np.where(v != 0, g + l1 * np.sign(v), np.sign(g) * np.maximum(np.abs(g) - l1, 0))
         m, s2, mb, sb = 0.9 * m + 0.1 * g, 0.98 * s2 + 0.02 * g * g, 0.9 * mb + 0.1 * gb, 0.98 * sb + 0.02 * gb * gb
         c1, c2 = 1 - 0.9**t, 1 - 0.98**t
