@@ -93,7 +93,7 @@ def f_ridge(spark, sf):
 
 @query("F-07")
 def f_lasso(spark, sf):
-    model, kept, table = M.lasso_logit_cv(_prepared(spark, sf), (0.01, 0.1, 1.0), folds=3)
+    model, kept, table = M.lasso_logit_cv(_prepared(spark, sf), folds=3)
     return spark.createDataFrame([(float(round(c, 6)), r, float(a), i in kept) for i, (c, r, a, _) in enumerate(table)], "c double, l1_ratio double, score double, kept_position boolean")
 
 
@@ -107,18 +107,18 @@ def f_enet(spark, sf):
 def f_multinomial(spark, sf):
     f = M.model_frame(_facts(spark, sf), ["patient_id", "label3"], MODEL_FEATURES).withColumnRenamed("label3", "y")
     x = M.balanced_weights(M.Preparation.fit(f, M.feature_columns(f)).apply(f)).select("patient_id", "y", "w", "features")
-    return _coefs(spark, M.multinomial_lasso(x, (0.1, 1.0))[0])
+    return _coefs(spark, M.multinomial_lasso(x)[0])
 
 
 @query("F-10")
 def f_svm(spark, sf):
-    _, _, scores = M.linear_svm_cv(_prepared(spark, sf), (0.1, 1.0))
+    _, _, scores = M.linear_svm_cv(_prepared(spark, sf))
     return spark.createDataFrame([(float(c), float(s)) for c, s in scores], "c double, balanced_accuracy double")
 
 
 @query("F-11")
 def f_rbf(spark, sf):
-    _, _, _, scores = M.rbf_svm_cv(_prepared(spark, sf), (1.0,), (0.1,), size=32)
+    _, _, _, scores = M.rbf_svm_cv(_prepared(spark, sf))
     return spark.createDataFrame([(float(g), float(c), float(s)) for g, c, s in scores], "gamma double, c double, balanced_accuracy double")
 
 
@@ -203,7 +203,7 @@ def f_final(spark, sf):
 @query("F-25")
 def f_mlp(spark, sf):
     x = _prepared(spark, sf)
-    return M.mlp(x, (4,), max_iter=30).transform(x).groupBy("y", F.col("prediction").cast("int").alias("pred")).agg(F.count("*").alias("n"))
+    return M.mlp(x).transform(x).groupBy("y", F.col("prediction").cast("int").alias("pred")).agg(F.count("*").alias("n"))
 
 
 @query("F-26")
