@@ -18,7 +18,8 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-CACHE = 400_000
+CACHE = 120_000
+ROWS = 500
 CACHED_BYTES = 64
 SCHEMA = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
@@ -75,7 +76,7 @@ class Vocabulary:
         key = a << 32 | b
         ok = self.pairs.get(key)
         if ok is None:
-            if len(self.pairs) >= 4 * CACHE:
+            if len(self.pairs) >= 2 * CACHE:
                 self.pairs.clear()
             ok = self.pairs[key] = self._fit(a, b)
         return ok
@@ -234,7 +235,8 @@ def encoded(spark, tokens: list[bytes], pattern: str, text: Column | str = "text
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         e = _encoder(held.value)
         for texts in batches:
-            yield _digested(e, texts, True)
+            for at in range(0, len(texts), ROWS):
+                yield _digested(e, texts.iloc[at: at + ROWS], True)
 
     return encode(F.col(text) if isinstance(text, str) else text)
 
@@ -257,6 +259,7 @@ def digests(spark, tokens: list[bytes], pattern: str, text: Column | str = "text
     def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         e = _encoder(held.value)
         for texts in batches:
-            yield _digested(e, texts, False)
+            for at in range(0, len(texts), ROWS):
+                yield _digested(e, texts.iloc[at: at + ROWS], False)
 
     return digest(F.col(text) if isinstance(text, str) else text)
