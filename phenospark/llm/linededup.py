@@ -16,6 +16,9 @@ from phenospark.session import checkpointed
 FIELDS = 4
 VARIABLE = "<*>"
 NUMBERED = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
+# Scripts written without blanks; so many of their characters count as one more token in the length of a line.
+SPACED = r"[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]++"
+PER_TOKEN = 3
 
 
 def text_key(text: Column) -> Column:
@@ -23,29 +26,45 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def parsed(docs: DataFrame, depth: int, id_col: str, text_col: str) -> DataFrame:
-    """(key, doc_id, pos, n, leaf, f0..f3): one row per line with a token, everything but the id as hashes."""
+def line_length(line: Column, n: Column) -> Column:
+    """Number of tokens, plus one for every ``PER_TOKEN`` characters of a script without blanks. Such characters have three
+    bytes or more, so plain lines are not searched."""
+    wide = F.octet_length(line) - F.length(line) >= 2 * PER_TOKEN
+    return n + F.when(wide, F.floor(F.length(F.regexp_replace(line, SPACED, "")) / PER_TOKEN).cast("int")).otherwise(0)
+
+
+def parsed(docs: DataFrame, depth: int, min_tokens: int, long_tokens: int | None, id_col: str, text_col: str) -> DataFrame:
+    """(key, doc_id, pos, n, leaf, f0..f3, raw): one row per line of ``min_tokens`` tokens or more in length, everything but
+    the id as hashes. raw is the line as it stands, for lines of ``long_tokens`` or more (none without it)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("key"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
     masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", NUMBERED, VARIABLE)).otherwise(F.col("line"))
-    toks = lines.select("key", "doc_id", "pos", F.split(F.trim(F.regexp_replace(masked, r"\s++", " ")), " ").alias("t")).where(F.col("t")[0] != "")
+    toks = lines.select("key", "doc_id", "pos", "line", tokens(masked).alias("t")).where(F.col("t")[0] != "")
+    toks = toks.withColumn("length", line_length(F.col("line"), F.size("t"))).where(F.col("length") >= min_tokens)
     n = F.size("t")
+    raw = F.lit(None).cast("bigint") if long_tokens is None else F.when(F.col("length") >= long_tokens, F.xxhash64(tokens(F.col("line"))))
     rest = F.greatest(n - depth, F.lit(0))
     fields = []
     for k in range(FIELDS):
         a, b = F.floor(rest * k / FIELDS).cast("int"), F.floor(rest * (k + 1) / FIELDS).cast("int")
         fields.append(F.when(b > a, F.xxhash64(F.slice("t", depth + 1 + a, b - a))).alias(f"f{k}"))
-    return toks.select("key", "doc_id", "pos", n.alias("n"), F.xxhash64(n, F.slice("t", 1, depth)).alias("leaf"), *fields)
+    return toks.select("key", "doc_id", "pos", n.alias("n"), F.xxhash64(n, F.slice("t", 1, depth)).alias("leaf"), *fields, raw.alias("raw"))
+
 
+def tokens(line: Column) -> Column:
+    return F.split(F.trim(F.regexp_replace(line, r"\s++", " ")), " ")
 
-def recurring(docs: DataFrame, depth: int = 3, min_docs: int = 3, min_tokens: int = 3, min_constant: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def recurring(docs: DataFrame, depth: int = 3, min_docs: int = 3, min_tokens: int = 3, min_constant: int = 8, long_docs: int | None = None, long_tokens: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, pos): lines to drop, by the hash of the text they stand in.
 
-    Documents are counted by text, so exact copies are one document. Lines under ``min_tokens`` tokens stay. A line may have
+    Documents are counted by text, so exact copies are one document. Lines under ``min_tokens`` tokens stay; a script without
+    blanks is measured by its characters. Lines of ``long_tokens`` or more go from ``long_docs`` texts on if they are the same
+    token for token; no template is generalised for them, since two texts are too few to tell what varies. A line may have
     one variable field if at least ``min_constant`` of its tokens are constant. All shuffles carry hashes only; every count
     combines before it shuffles, so that a line that a third of all documents hold costs one row per task.
     """
-    lines = checkpointed(parsed(docs, depth, id_col, text_col).where(F.col("n") >= min_tokens))
+    lines = checkpointed(parsed(docs, depth, min_tokens, None if long_docs is None else long_tokens, id_col, text_col))
     fs = [f"f{k}" for k in range(FIELDS)]
     hot = lines.groupBy("leaf").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("leaf")
     # distinct lines of the leaves that several texts share, with the number of their texts
@@ -66,9 +85,17 @@ def recurring(docs: DataFrame, depth: int = 3, min_docs: int = 3, min_tokens: in
     template = F.xxhash64("leaf", *[F.when(loose & (F.col("at") == k), F.lit(k).cast("bigint")).otherwise(F.coalesce(f, F.lit(-1))) for k, f in enumerate(fs)])
     named = whole.select("line", template.alias("template"))
     placed = checkpointed(shared.select("key", "doc_id", "pos", F.xxhash64("leaf", *fs).alias("line")).join(named, "line").select("key", "doc_id", "pos", "template"))
-    count = placed.groupBy("template", "key").agg(F.min("doc_id").alias("low")).groupBy("template").agg(
-        F.count("*").alias("texts"), F.min_by("key", F.struct("low", "key")).alias("first")).where(F.col("texts") >= min_docs).select("template", "first")
-    return placed.join(count, "template").where("key <> first").groupBy("key").agg(F.array_sort(F.collect_set("pos")).alias("drop"))
+    gone = repeats(placed, "template", min_docs)
+    if long_docs is not None:
+        gone = gone.unionByName(repeats(lines.where("raw is not null"), "raw", long_docs))
+    return gone.groupBy("key").agg(F.array_sort(F.collect_set("pos")).alias("drop"))
+
+
+def repeats(lines: DataFrame, name: str, min_docs: int) -> DataFrame:
+    """(key, pos) of lines whose ``name`` stands in at least ``min_docs`` texts, without those of the first text."""
+    count = lines.groupBy(name, "key").agg(F.min("doc_id").alias("low")).groupBy(name).agg(
+        F.count("*").alias("texts"), F.min_by("key", F.struct("low", "key")).alias("first")).where(F.col("texts") >= min_docs).select(name, "first")
+    return lines.join(count, name).where("key <> first").select("key", "pos")
 
 
 def dedup(docs: DataFrame, drop_empty: bool = False, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -85,6 +85,33 @@ def test_lines_of_hard_rows(spark):
     assert out == {0: "same line in all"} | {i: f"own{'x' * i} a b" for i in range(1, 5)}
 
 
+def test_long_lines_of_two_texts(spark):
+    rng = random.Random(5)
+    passage, short = words(rng, 50), words(rng, 12)
+    paragraph = "".join(rng.choice("的一是了我不人在他有这上们来到时大地为子中你说生国年着就那和要") for _ in range(120))
+    varied = f"{words(rng, 30)} 17 {words(rng, 30)}"
+    docs = {1: [passage, short, "first own line"], 2: [short, passage, "second own line"], 3: [paragraph, varied, "third own line"],
+            4: ["fourth own line", paragraph, varied.replace("17", "18")], 5: [paragraph[:9], "fifth own line"], 6: [paragraph[:9], "sixth own line"]}
+    d = spark.createDataFrame([(i, "\n".join(t)) for i, t in docs.items()], "doc_id bigint, text string")
+    out = {r.doc_id: r.text.split("\n") for r in linededup.dedup(d, long_docs=2).collect()}
+    assert out == docs | {2: [short, "second own line"], 4: ["fourth own line", varied.replace("17", "18")]}
+
+
+def test_lines_without_blanks(spark):
+    line = "本网站使用必要的小型文字档案以便提供服务"
+    docs = spark.createDataFrame([(i, f"{line}\nown line {'x' * i} here") for i in range(4)] + [(9, "的一"), (10, "的一 "), (11, " 的一")], "doc_id bigint, text string")
+    assert {r.doc_id: r.n_dropped for r in linededup.report(docs).collect()} == {0: 0, 1: 1, 2: 1, 3: 1, 9: 0, 10: 0, 11: 0}
+
+
+def test_pipeline_drops_long_lines_of_two_texts(spark):
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    passage = words(rng, 60)
+    d = spark.createDataFrame([(1, f"{passage}\nfirst own line"), (2, f"second own line\n{passage}")], "doc_id bigint, text string")
+    assert {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, d, "").collect()} == {1: f"{passage}\nfirst own line", 2: "second own line"}
+
+
 def bench(spark, rows):
     return spark.createDataFrame(rows, "item_id bigint, text string")
 
