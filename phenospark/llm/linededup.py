@@ -2,7 +2,7 @@
 
 A line goes down a tree of fixed depth: by its number of tokens, then by its leading tokens. At the leaf the rest of the
 line is cut into a few fields. A field whose value recurs over the texts of the leaf is constant, any other is variable;
-tokens with a digit are variable everywhere. The leaf and the constant fields are the line's template. A template that
+tokens with a digit are variable in lines that mostly consist of other tokens. The leaf and the constant fields are the line's template. A template that
 recurs over the documents is boilerplate: only the first document that holds it keeps its lines.
 """
 
@@ -11,10 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from phenospark.llm.common import let
 from phenospark.session import checkpointed
 
 FIELDS = 4
 VARIABLE = "<*>"
+# Share of the tokens of a line that may be generalised because they hold a digit.
+MASKED = 1 / 3
 NUMBERED = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
 # Scripts written without blanks; so many of their characters count as one more token in the length of a line.
 SPACED = r"[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]++"
@@ -38,8 +41,10 @@ def parsed(docs: DataFrame, depth: int, min_tokens: int, long_tokens: int | None
     the id as hashes. raw is the line as it stands, for lines of ``long_tokens`` or more (none without it)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("key"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
-    masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", NUMBERED, VARIABLE)).otherwise(F.col("line"))
-    toks = lines.select("key", "doc_id", "pos", "line", tokens(masked).alias("t")).where(F.col("t")[0] != "")
+    # a line of which numbers are the content is compared as it stands, so only its exact repeats recur
+    few = lambda t: F.when(F.size(F.filter(t, lambda x: x == VARIABLE)) <= MASKED * F.size(t), t).otherwise(tokens(F.col("line")))
+    masked = F.when(F.col("line").rlike("[0-9]"), let(tokens(F.regexp_replace("line", NUMBERED, VARIABLE)), few)).otherwise(tokens(F.col("line")))
+    toks = lines.select("key", "doc_id", "pos", "line", masked.alias("t")).where(F.col("t")[0] != "")
     toks = toks.withColumn("length", line_length(F.col("line"), F.size("t"))).where(F.col("length") >= min_tokens)
     n = F.size("t")
     raw = F.lit(None).cast("bigint") if long_tokens is None else F.when(F.col("length") >= long_tokens, F.xxhash64(tokens(F.col("line"))))

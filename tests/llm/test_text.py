@@ -103,6 +103,15 @@ def test_lines_without_blanks(spark):
     assert {r.doc_id: r.n_dropped for r in linededup.report(docs).collect()} == {0: 0, 1: 1, 2: 1, 3: 1, 9: 0, 10: 0, 11: 0}
 
 
+def test_number_rows_are_no_template(spark):
+    docs = {i: [f"{1990 + i} {i}.5 {3 * i}", f"total {i} of 9{i}", "7 8 9", f"read page {i} of this file"] for i in range(1, 6)}
+    docs[6] = [f"第{6}章有許多不同的內容和故事在裡面等待着你們來閱讀"]
+    docs[7], docs[8] = [docs[6][0].replace("6", "7")], [docs[6][0].replace("6", "8")]
+    d = spark.createDataFrame([(i, "\n".join(t)) for i, t in docs.items()], "doc_id bigint, text string")
+    out = {r.doc_id: r.text.split("\n") for r in linededup.dedup(d, drop_empty=True).collect()}
+    assert out == {i: t if i in (1, 6, 7, 8) else t[:2] for i, t in docs.items()}
+
+
 def test_pipeline_drops_long_lines_of_two_texts(spark):
     import corpus_pipeline
 
