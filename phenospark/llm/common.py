@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +56,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     return d.join(F.broadcast(picked.drop("_h")), "_id").select(F.col("_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "y"), sizes
 
 
+def rows_of(column: pa.Array, width: int) -> np.ndarray:
+    """A column of lists of ``width`` numbers as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
+
+
 def pieces(raw: bytes, size: int = PIECE) -> Iterator[bytes]:
     """Cut a very long text after the last line end, full stop or blank before ``size`` bytes, never inside a character."""
     at = 0

@@ -64,4 +64,24 @@ j AS (SELECT v.doc_id, v.item_id, sum(v.n) AS n_slots, sum(v.n) FILTER (theirs <
 SELECT doc_id, item_id, n_windows, n_windows / total AS share, CAST(coalesce(n_slots, 0) AS BIGINT) AS n_slots, CAST(coalesce(n_changed, 0) AS BIGINT) AS n_changed
 FROM whole LEFT JOIN j USING (doc_id, item_id) WHERE n_slots IS NULL OR least(a, c) >= 0.9 * n_slots"""
 
-ORACLE = {"op4_linededup": LINES, "op9_decontaminate": DECONTAMINATE}
+
+
+def _bisector(k: int = 8, rounds: int = 10) -> str:
+    """Integer k-means by plain distances to all centroids, one round after the other."""
+    nearest = """SELECT id, n, x, arg_min(num, (d, num)) AS cluster, min(d) AS distance FROM (
+ SELECT p.id, p.n, p.x, c.num, list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM p CROSS JOIN c{r} c) GROUP BY ALL"""
+    parts = ["""p AS MATERIALIZED (SELECT vec_id AS id, row_number() OVER () AS n, list_transform(embedding, lambda v: CAST(floor(1024 * CAST(v AS DOUBLE)) AS HUGEINT)) AS x FROM embeddings
+ WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda v: v IS NOT NULL AND isfinite(v))) = 64)""",
+             f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h NULLS LAST, x) - 1 AS num, x FROM (SELECT sha256('3:' || CAST(id AS VARCHAR)) AS h, x FROM p ORDER BY 1 NULLS LAST, 2 LIMIT {k}))"]
+    for r in range(rounds):
+        parts.append(f"""c{r + 1} AS MATERIALIZED (WITH a AS ({nearest.format(r=r)}),
+ m AS (SELECT cluster, i, sum(v) AS s, count(*) AS n FROM (SELECT cluster, unnest(x) AS v, unnest(range(64)) AS i FROM a) GROUP BY 1, 2),
+ f AS (SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM m GROUP BY 1)
+ SELECT c.num, coalesce(f.x, c.x) AS x FROM c{r} c LEFT JOIN f ON f.cluster = c.num)""")
+    return "WITH " + ",\n".join(parts) + f""",
+a AS ({nearest.format(r=rounds)})
+SELECT a.id AS vec_id, CAST(a.cluster AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance, CAST(sum(distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia,
+ CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c{rounds}.x, ',')) AS centroid_sha256 FROM a JOIN c{rounds} ON c{rounds}.num = a.cluster"""
+
+
+ORACLE = {"op4_linededup": LINES, "op9_decontaminate": DECONTAMINATE, "op11_bisector": _bisector()}

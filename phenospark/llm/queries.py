@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phenospark.llm import bpe, decontaminate, language, linededup, multiindex, pii, quality, secrets, simhash, toxicity
+from phenospark.llm import bisector, bpe, decontaminate, language, licenses, linededup, multiindex, pii, quality, secrets, simhash, toxicity, whitening
 from phenospark.llm.common import held_out, table
 from phenospark.llm.oracle import ORACLE  # noqa: F401
 
@@ -65,4 +65,19 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_toxicity, op3_multiindex, op4_linededup, op5_simhash, op6_language, op7_bpe, op8_pii, op9_decontaminate, op10_secrets)}
+def op11_bisector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bisector.report(table(spark, sf_dir, "embeddings"), k=8, rounds=10, salt=3)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(table(spark, sf_dir, "embeddings"), components=4)
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = licenses.report(table(spark, sf_dir, "documents"))
+    listed = F.transform("spans", lambda s: F.concat_ws(":", s["label"], s["start"], s["end"]))
+    return r.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.array_join(listed, ",").alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_toxicity, op3_multiindex, op4_linededup, op5_simhash, op6_language, op7_bpe, op8_pii, op9_decontaminate, op10_secrets,
+                               op11_bisector, op12_whitening, op13_licenses)}

@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_registered():
     q = entry.queries()
-    assert "pipeline" in q and {k.split("_")[0] for k in q if k.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert "pipeline" in q and {k.split("_")[0] for k in q if k.startswith("op")} == {f"op{i}" for i in range(1, 14)}
 
 
 def test_stages(spark):
