@@ -8,6 +8,9 @@ recurs over the documents is boilerplate: only the first document that holds it
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,9 +21,11 @@ FIELDS = 4
 VARIABLE = "<*>"
 # Share of the tokens of a line that may be generalised because they hold a digit.
 MASKED = 1 / 3
-NUMBERED = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
 # Scripts written without blanks; so many of their characters count as one more token in the length of a line.
-SPACED = r"[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]++"
+SCRIPTS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+SPACED = f"[^{SCRIPTS}]++"
+# Ranges that hold all of these scripts: a quick test before the slow one.
+MAYBE = r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u19E0-\u19FF\u2E80-\uD7FF\uF900-\uFAFF\uFF66-\uFF9F\x{10000}-\x{3FFFF}]"
 PER_TOKEN = 3
 
 
@@ -29,38 +34,54 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def line_length(line: Column, n: Column) -> Column:
-    """Number of tokens, plus one for every ``PER_TOKEN`` characters of a script without blanks. Such characters have three
-    bytes or more, so plain lines are not searched."""
-    wide = F.octet_length(line) - F.length(line) >= 2 * PER_TOKEN
-    return n + F.when(wide, F.floor(F.length(F.regexp_replace(line, SPACED, "")) / PER_TOKEN).cast("int")).otherwise(0)
+def wide_tokens(line: Column) -> Column:
+    """Tokens that a line counts besides its blank-separated ones: one for every ``PER_TOKEN`` characters of a script without
+    blanks."""
+    return F.floor(F.length(F.regexp_replace(line, SPACED, "")) / PER_TOKEN).cast("int")
+
+
+def generalised(t: Column, line: Column) -> Column:
+    """Tokens with a digit become ``VARIABLE``, unless they are more than ``MASKED`` of a line: one of which numbers are the content
+    is compared as it stands, so only its exact repeats recur."""
+    few = lambda m: F.when(F.size(F.filter(m, lambda x: x == VARIABLE)) <= MASKED * F.size(m), m).otherwise(t)
+    return F.when(line.rlike("[0-9]"), let(F.transform(t, lambda x: F.when(x.rlike("[0-9]"), VARIABLE).otherwise(x)), few)).otherwise(t)
 
 
 def parsed(docs: DataFrame, depth: int, min_tokens: int, long_tokens: int | None, id_col: str, text_col: str) -> DataFrame:
     """(key, doc_id, pos, n, leaf, f0..f3, raw): one row per line of ``min_tokens`` tokens or more in length, everything but
-    the id as hashes. raw is the line as it stands, for lines of ``long_tokens`` or more (none without it)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("key"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
-    # a line of which numbers are the content is compared as it stands, so only its exact repeats recur
-    few = lambda t: F.when(F.size(F.filter(t, lambda x: x == VARIABLE)) <= MASKED * F.size(t), t).otherwise(tokens(F.col("line")))
-    masked = F.when(F.col("line").rlike("[0-9]"), let(tokens(F.regexp_replace("line", NUMBERED, VARIABLE)), few)).otherwise(tokens(F.col("line")))
-    toks = lines.select("key", "doc_id", "pos", "line", masked.alias("t")).where(F.col("t")[0] != "")
-    toks = toks.withColumn("length", line_length(F.col("line"), F.size("t"))).where(F.col("length") >= min_tokens)
-    n = F.size("t")
-    raw = F.lit(None).cast("bigint") if long_tokens is None else F.when(F.col("length") >= long_tokens, F.xxhash64(tokens(F.col("line"))))
-    rest = F.greatest(n - depth, F.lit(0))
-    fields = []
-    for k in range(FIELDS):
-        a, b = F.floor(rest * k / FIELDS).cast("int"), F.floor(rest * (k + 1) / FIELDS).cast("int")
-        fields.append(F.when(b > a, F.xxhash64(F.slice("t", depth + 1 + a, b - a))).alias(f"f{k}"))
-    return toks.select("key", "doc_id", "pos", n.alias("n"), F.xxhash64(n, F.slice("t", 1, depth)).alias("leaf"), *fields, raw.alias("raw"))
-
-
-def tokens(line: Column) -> Column:
-    return F.split(F.trim(F.regexp_replace(line, r"\s++", " ")), " ")
-
-
-def recurring(docs: DataFrame, depth: int = 3, min_docs: int = 3, min_tokens: int = 3, min_constant: int = 8, long_docs: int | None = None, long_tokens: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    the id as hashes. raw is the line as it stands, for lines of ``long_tokens`` or more (none without it).
+
+    Blanks are evened out once per text; a line is tokenised once, inside the array that is exploded, because a filter on a
+    column would be pushed below its computation and repeat it.
+    """
+    given = F.coalesce(F.col(text_col), F.lit(""))
+    # per text and not per line: its hash, and whether it holds a script without blanks (three bytes a character or more)
+    wide = (F.octet_length(given) - F.length(given) >= 2 * PER_TOKEN) & given.rlike(MAYBE)
+    keyed = docs.select(text_key(F.col(text_col)).alias("key"), F.col(id_col).alias("doc_id"), given.alias("text"), wide.alias("wide"))
+    odd = reduce(or_, [F.contains("text", F.lit(x)) for x in ("  ", "\t", "\r", "\x0b", "\x0c")])
+    text = F.when(odd, F.regexp_replace("text", r"[ \t\x0B\f\r]++", " ")).otherwise(F.col("text"))
+    lines = F.transform(F.split(text, "\n", -1), lambda line, i: F.struct(i.alias("pos"), line.alias("line"), F.split(F.trim(line), " ").alias("t")))
+    sized = F.transform(lines, lambda x: F.struct(x["pos"].alias("pos"), x["line"].alias("line"), x["t"].alias("t"), (F.size(x["t"]) + F.when(F.col("wide"), wide_tokens(x["line"])).otherwise(0)).alias("length")))
+    kept = F.filter(sized, lambda x: (x["t"][0] != "") & (x["length"] >= min_tokens))
+
+    def row(x: Column) -> Column:
+        n = F.size(x["t"])
+        raw = F.lit(None).cast("bigint") if long_tokens is None else F.when(x["length"] >= long_tokens, F.xxhash64(x["t"]))
+        rest = F.greatest(n - depth, F.lit(0))
+
+        def hashed(t: Column) -> Column:
+            fields = []
+            for k in range(FIELDS):
+                a, b = F.floor(rest * k / FIELDS).cast("int"), F.floor(rest * (k + 1) / FIELDS).cast("int")
+                fields.append(F.when(b > a, F.xxhash64(F.slice(t, depth + 1 + a, b - a))).alias(f"f{k}"))
+            return F.struct(x["pos"].alias("pos"), n.alias("n"), F.xxhash64(n, F.slice(t, 1, depth)).alias("leaf"), *fields, raw.alias("raw"))
+
+        return let(generalised(x["t"], x["line"]), hashed)
+
+    return keyed.select("key", "doc_id", F.explode(F.transform(kept, row)).alias("x")).select("key", "doc_id", "x.*")
+
+
+def recurring(docs: DataFrame, depth: int = 3, min_docs: int = 3, min_tokens: int = 3, min_constant: int = 8, long_docs: int | None = 2, long_tokens: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, pos): lines to drop, by the hash of the text they stand in.
 
     Documents are counted by text, so exact copies are one document. Lines under ``min_tokens`` tokens stay; a script without

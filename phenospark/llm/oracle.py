@@ -11,8 +11,11 @@ _LOOSE = ", ".join(f"CASE WHEN open = 1 AND n - ({_WIDTH}) >= 8 AND spot = {k} T
 LINES = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
-k AS (SELECT doc_id, text, pos, list_transform(list_filter(string_split_regex(line, '\\s+'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t FROM l),
-p AS (SELECT doc_id, text, pos, len(t) AS n, t[1:3] AS head, greatest(len(t) - 3, 0) AS r, t FROM k WHERE len(t) >= 3),
+w AS (SELECT doc_id, text, pos, line, list_filter(string_split_regex(line, '\\s+'), lambda x: x <> '') AS w FROM l),
+z AS (SELECT *, len(w) + length(regexp_replace(line, '[^\\p{{Han}}\\p{{Hiragana}}\\p{{Katakana}}\\p{{Thai}}\\p{{Lao}}\\p{{Khmer}}\\p{{Myanmar}}]+', '', 'g')) // 3 AS size,
+ list_transform(w, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS m FROM w WHERE len(w) > 0),
+k AS MATERIALIZED (SELECT doc_id, text, pos, size, w, CASE WHEN 3 * len(list_filter(m, lambda x: x = '<*>')) <= len(m) THEN m ELSE w END AS t FROM z WHERE size >= 3),
+p AS (SELECT doc_id, text, pos, len(t) AS n, t[1:3] AS head, greatest(len(t) - 3, 0) AS r, t FROM k),
 s AS (SELECT doc_id, text, pos, n, r, head, {_FIELDS} FROM p),
 kinds AS (SELECT n, r, head, f0, f1, f2, f3, count(DISTINCT text) AS c FROM s GROUP BY ALL),
 v AS (SELECT n, r, head, f0, f1, f2, f3, c, unnest([0, 1, 2, 3]) AS k, unnest([f0, f1, f2, f3]) AS v FROM kinds),
@@ -23,7 +26,9 @@ g AS (SELECT n, head, f0, f1, f2, f3, {_LOOSE} FROM m),
 placed AS (SELECT s.doc_id, s.text, s.pos, g.n, g.head, g0, g1, g2, g3 FROM s JOIN g ON s.n = g.n AND s.head = g.head AND {" AND ".join(f"s.f{k} IS NOT DISTINCT FROM g.f{k}" for k in range(4))}),
 low AS (SELECT n, head, g0, g1, g2, g3, text, min(doc_id) AS low FROM placed GROUP BY ALL),
 again AS (SELECT n, head, g0, g1, g2, g3, arg_min(text, low) AS first FROM low GROUP BY ALL HAVING count(*) >= 3),
-gone AS (SELECT DISTINCT p.text, p.pos FROM placed p JOIN again a ON p.n = a.n AND p.head = a.head AND {" AND ".join(f"p.g{k} IS NOT DISTINCT FROM a.g{k}" for k in range(4))} WHERE p.text <> a.first),
+gone AS (SELECT DISTINCT p.text, p.pos FROM placed p JOIN again a ON p.n = a.n AND p.head = a.head AND {" AND ".join(f"p.g{k} IS NOT DISTINCT FROM a.g{k}" for k in range(4))} WHERE p.text <> a.first
+ UNION SELECT k.text, k.pos FROM k JOIN (SELECT w, arg_min(text, low) AS first FROM (SELECT w, text, min(doc_id) AS low FROM k WHERE size >= 20 GROUP BY ALL) GROUP BY 1 HAVING count(*) >= 2) o ON k.w = o.w
+  WHERE k.size >= 20 AND k.text <> o.first),
 per AS (SELECT text, list(pos) AS pos FROM gone GROUP BY 1)
 SELECT doc_id, len(string_split(d.text, chr(10))) AS n_lines, coalesce(len(per.pos), 0) AS n_dropped,
  CASE WHEN per.pos IS NULL THEN d.text ELSE array_to_string(list_filter(string_split(d.text, chr(10)), lambda x, i: NOT list_contains(per.pos, i)), chr(10)) END AS text

@@ -234,3 +234,28 @@ def test_ownership(spark):
     assert (got[5].n_live, got[5].n_access) == (2, 1) and "mixed:" in got[5].spans and got[7].n_live == 1
     held = spark.createDataFrame([("h", 1, "a"), ("h", 1, "a"), ("h", 2, "a"), ("h", 3, None), ("g", None, None)], "h string, repo bigint, owner string")
     assert {(r.h, r.n_repos, r.n_owners) for r in secrets.ownership(held).collect()} == {("h", 3, 2), ("g", 1, 1)}
+
+
+def test_line_twin_has_the_same_rules(spark):
+    import duckdb
+    from phenospark.llm.oracle import ORACLE
+
+    rng = random.Random(12)
+    long_line, varied, chinese = words(rng, 40), words(rng, 14).split(), "本网站使用必要的小型文字档案以便提供服务" * 4
+    docs = {}
+    for i in range(12):
+        docs[i] = [f"{1990 + i} {i}.5 {3 * i}", "7 8 9", f"read page {i} of this file", words(rng, 6), " ".join(varied[:9] + [f"v{i}" * (i % 2) or "w"] + varied[10:]),
+                   "tab\tand  blanks\r here", f"第{i}章有許多不同的內容和故事在裡面等待着你們來閱讀"]
+    docs[3].append(long_line)
+    docs[4] += [long_line.replace(" ", "  ", 3), chinese]
+    docs[7] += [chinese, "short line twice"]
+    docs[8].append("short line twice")
+    rows = [(i, "\n".join(t)) for i, t in docs.items()] + [(20, None), (21, ""), (22, "\n".join(docs[3]))]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = sorted(con.execute(f"SELECT doc_id, n_lines, n_dropped, text FROM ({ORACLE['op4_linededup']})").fetchall())
+    got = sorted(tuple(r) for r in linededup.report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == want
+    dropped = {r[0]: r[2] for r in got}
+    assert dropped[0] == 0 and dropped[1] >= 3 and long_line not in dict((r[0], r[3]) for r in got)[4] and chinese not in dict((r[0], r[3]) for r in got)[7]
