@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from phenospark.llm.common import checked, let, pieces
@@ -198,7 +199,8 @@ def shingle_set(text: Column, width: int) -> Column:
 def near_links(docs: DataFrame, similarity: float = 0.8, width: int = 5, tables: int = 4, distance: int = 4, text_col: str = "text") -> DataFrame:
     """(u, v), u > v: text hashes of near-duplicates whose sets of ``width``-word shingles have a Jaccard similarity of at least
     ``similarity``. Candidates are the ball-hashing links of any of ``tables`` word fingerprints; texts with equal
-    fingerprints are linked through the one with the smallest hash; each candidate is verified on whole texts."""
+    fingerprints are linked through the one with the smallest hash; each candidate is verified on whole texts. Where a
+    candidate fails, the texts that it should have connected are matched anew (:func:`rematched`)."""
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     texts = docs.select(key.alias("key"), F.col(text_col).alias("text"))
     rows = checkpointed(texts.select("key", word_fingerprints("text", tables).alias("fps")).groupBy("key").agg(F.first("fps").alias("fps")))
@@ -214,11 +216,72 @@ def near_links(docs: DataFrame, similarity: float = 0.8, width: int = 5, tables:
     pairs = checkpointed(found.distinct())
     asked = pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct()
     sets = checkpointed(texts.join(checked(asked), "key", "left_semi").dropDuplicates(["key"]).select("key", shingle_set(F.coalesce("text", F.lit("")), width).alias("s")))
+    good = checkpointed(verified(pairs, sets, similarity))
+    return rematched(pairs, good, sets, similarity)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sets have a Jaccard similarity of at least ``similarity``."""
     j = pairs.join(sets.select(F.col("key").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("key").alias("v"), F.col("s").alias("b")), "v")
     both = F.size(F.array_intersect("a", "b"))
     return j.where(both >= similarity * (F.size("a") + F.size("b") - both)).select("u", "v")
 
 
+def prefixes(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(component, h, key, n, slots): the shingles by which similar texts of a candidate component must meet.
+
+    With shingles in order of their texts in the component, rarest first, two sets of that similarity share one among the first
+    n - ceil(similarity * n) + 1 of either. Shingles of one text alone come first and meet nobody, so only their number
+    counts. slots is the power of two from the number of texts that a shingle has.
+    """
+    all_ = members.select("component", "key").join(sets, "key").select("component", "key", F.size("s").alias("n"), F.explode("s").alias("h"))
+    shared = all_.groupBy("component", "h").agg(F.count("*").alias("c")).where("c > 1")
+    mine = all_.join(shared, ["component", "h"])
+    w = W.partitionBy("component", "key")
+    ranked = mine.withColumn("at", F.row_number().over(w.orderBy("c", "h"))).withColumn("own", F.col("n") - F.count("*").over(w))  # one text a window
+    reach = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1
+    return ranked.where(F.col("at") + F.col("own") <= reach).select("component", "h", "key", "n", F.pow(2.0, F.ceil(F.log2("c"))).cast("bigint").alias("slots"))
+
+
+def rematched(pairs: DataFrame, good: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``good`` and links that the stars of ``pairs`` missed because the head of a star was dissimilar to two similar members.
+
+    Candidate components whose texts are linked to one another already are done. Texts of the others meet by prefix shingles;
+    of the texts under a shingle ever more become heads, by the hash of their key, twice as many each round, until all are
+    linked or each has been head. A round compares heads with texts of other linked groups only, so a large group of near copies,
+    which the first heads connect, never emits its pairs.
+    """
+    nodes = spread_labels(pairs, []).withColumnRenamed("node", "key")
+    nodes = checkpointed(nodes.unionByName(nodes.select(F.col("component").alias("key"), "component").distinct()))
+
+    def parts(links_: DataFrame) -> DataFrame:
+        return nodes.join(spread_labels(links_, []).select(F.col("node").alias("key"), F.col("component").alias("part")), "key", "left").withColumn("part", F.coalesce("part", "key"))
+
+    split = lambda df, by: df.groupBy(*by).agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select(*by)
+    now = checkpointed(parts(good))
+    members = now.join(split(now, ["component"]), "component", "left_semi")
+    if members.isEmpty():
+        return good
+    index = checkpointed(prefixes(members, sets, similarity))
+    most = index.agg(F.max("slots")).first()[0]
+    first, wide = 0, 1
+    while most is not None and first < most:
+        entries = index.join(now.select("key", "part"), "key")
+        active = entries.join(split(entries, ["component", "h"]), ["component", "h"], "left_semi").withColumn("slot", F.pmod(F.xxhash64("key", "h"), F.col("slots")))
+        heads = active.where(F.col("slot").between(first, first + wide - 1))
+        meet = heads.select("component", "h", F.col("key").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na")).join(
+            active.select("component", "h", F.col("key").alias("b"), F.col("part").alias("pb"), F.col("n").alias("nb")), ["component", "h"])
+        meet = meet.where((F.col("pa") != F.col("pb")) & (F.least("na", "nb") >= similarity * F.greatest("na", "nb")))
+        fresh = checkpointed(verified(meet.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), sets, similarity))
+        first, wide = first + wide, 2 * wide
+        if not fresh.isEmpty():
+            good = checkpointed(good.unionByName(fresh))
+            now = checkpointed(parts(good))
+        elif active.isEmpty():
+            break
+    return good
+
+
 def one_of_each(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near-duplicates, columns as they are: the smallest id (a null one only if there is
     no other), then the smallest text hash. Null and empty texts are one group; of rows with equal id and text one stays."""
