@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from phenospark.functions.prefix import prefix_sums, value_counts
+from phenospark.operators.batched import penalty_path
 from phenospark.operators.evaluate import binary_metrics
 from phenospark.operators.keys import to_long, to_wide
 from phenospark.operators.profile import fit_medians
@@ -69,20 +70,6 @@ def holdout(id_: Column, frac: float = 0.2, seed: int = 42) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), id_), F.lit(1_000_000)) < int(frac * 1_000_000)
 
 
-def poisson_weight(id_: Column, replica: int, seed: int = 42) -> Column:
-    """Poisson(1) resampling count of a row in a replica, by inverse distribution of a hash."""
-    u = F.pmod(F.xxhash64(F.lit(seed), F.lit(replica), id_), F.lit(2**40)) / float(2**40)
-    last = 16  # beyond it the tail is under the resolution of the hash, 2**-40
-    out, cum = F.lit(last), 0.0
-    steps = []
-    for i in range(last):
-        cum += math.exp(-1) / math.factorial(i)
-        steps.append((i, cum))
-    for i, c in reversed(steps):
-        out = F.when(u < c, F.lit(i)).otherwise(out)
-    return out.cast("double")
-
-
 # ---- preparation ------------------------------------------------------------------------------------------------------------------
 
 def model_frame(facts: DataFrame, ids: Sequence[str], features: Sequence[str]) -> DataFrame:
@@ -359,13 +346,15 @@ def nested_loco(facts: DataFrame, ids: Sequence[str], cohort: str = "cohort", ke
         cols = feature_columns(frame)
         tr, te = frame.where(F.col("fold") != k), frame.where(F.col("fold") == k)
         prep = Preparation.fit(tr, cols)
-        model, kept, _ = lasso_logit_cv(balanced_weights(prep.apply(tr)).drop("fold"), cs, folds=folds)
+        inner = stratified_folds(tr.drop("fold"), folds, 7, id_=ids[0])
+        path = penalty_path(inner, cols, cs, id_=ids[0])
+        kept = [cols.index(c) for c in path.kept]
         chosen += [(int(k), sel[i]) for i in kept]
         chain = None if svm is None else svm_chain(balanced_weights(prep.apply(tr)).drop("fold"), kept, **svm)
 
         def scored(rows: DataFrame, inside: bool) -> DataFrame:
             key = [*ids[:2], "fold"]
-            out = _scores(model, rows, key).withColumn("in_train", F.lit(inside))
+            out = path.scored(rows).select(*key, "y", "score", "proba", "pred").withColumn("in_train", F.lit(inside))
             return out if chain is None else out.join(chain(rows).select(*key, "svm_score", "svm_proba", "svm_pred"), key, "left")
 
         part = scored(prep.apply(te), True)
@@ -385,34 +374,6 @@ def selection_frequency(chosen: DataFrame, features: DataFrame, folds: int) -> D
         "feature", F.coalesce("times", F.lit(0)).alias("times"), (F.coalesce("times", F.lit(0)) / folds).alias("frequency"))
 
 
-def bootstrap_model_auc(df: DataFrame, replicas: int, fit: Fit = logit_l2, k: int = 5, seed: int = 42) -> DataFrame:
-    """AUC of cross-validated models under resampling. Folds go by patient before resampling and a resampled row is a weight,
-    so no copy of a patient is on both sides. One row per replica."""
-    cols = feature_columns(df)
-    base = checkpointed(balanced_weights(stratified_folds(df, k, seed)))
-    rows = []
-    for b in range(replicas):
-        d = base.withColumn("_b", poisson_weight(F.col("patient_id"), b, seed)).where("_b > 0")
-        part = None
-        for f in range(k):
-            tr, te = d.where(F.col("fold") != f), d.where(F.col("fold") == f)
-            prep = Preparation.fit(tr, cols)
-            m = fit(prep.apply(tr).withColumn("w", F.col("w") * F.col("_b")))
-            s = _scores(m, prep.apply(te), ["patient_id", "_b"])
-            part = s if part is None else part.unionByName(s)
-        rows.append(weighted_auc(part, "_b").withColumn("replica", F.lit(b)))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
-
-
-def weighted_auc(df: DataFrame, w: str, y: str = "y", score: str = "proba") -> DataFrame:
-    vc = value_counts(df, [], score, {"pos": F.when(F.col(y) == 1, F.col(w)).otherwise(0.0), "neg": F.when(F.col(y) == 0, F.col(w)).otherwise(0.0)})
-    t = prefix_sums(vc, [], score, ["neg"])
-    return t.agg(F.try_divide(F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg")).alias("auc"))
-
-
 def remaining_configs(configs: DataFrame, results: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Configurations without a stored result."""
     return configs.join(results.select(*keys).distinct(), list(keys), "left_anti")
@@ -429,29 +390,5 @@ def final_model(df: DataFrame, path: str, fit: Fit = logit_l2) -> DataFrame:
     return _scores(PipelineModel.load(path), df, ["patient_id"])
 
 
-def bootstrap_optimism(df: DataFrame, replicas: int, threshold: float = 0.3, fit: Fit = logit_l2, seed: int = 42) -> DataFrame:
-    """Apparent minus test performance of models refitted on resampled weights: discrimination slope and net benefit."""
-    prep = Preparation.fit(df, feature_columns(df))
-    x = checkpointed(prep.apply(df))
-    out = None
-    for b in range(replicas):
-        d = x.withColumn("w", poisson_weight(F.col("patient_id"), b, seed))
-        m = fit(d.where("w > 0"))
-        s = _scores(m, d, ["patient_id", "w"])
-
-        def perf(rows: DataFrame, w: Column) -> DataFrame:
-            pos, neg = F.col("y") == 1, F.col("y") == 0
-            mean = lambda c: F.try_divide(F.sum(F.when(c, w * F.col("proba"))), F.sum(F.when(c, w)))
-            hit = F.col("proba") >= threshold
-            tp, fp = F.sum(F.when(pos & hit, w).otherwise(0.0)), F.sum(F.when(neg & hit, w).otherwise(0.0))
-            return rows.agg((mean(pos) - mean(neg)).alias("slope"), ((tp - fp * threshold / (1 - threshold)) / F.sum(w)).alias("nb"))
-
-        a, t = perf(s, F.col("w")), perf(s, F.lit(1.0))
-        r = a.select(F.lit(b).alias("replica"), F.col("slope").alias("slope_apparent"), F.col("nb").alias("nb_apparent")).join(
-            t.select(F.lit(b).alias("replica"), F.col("slope").alias("slope_test"), F.col("nb").alias("nb_test")), "replica")
-        out = r if out is None else out.unionByName(r)
-    return out.withColumns({"slope_optimism": F.col("slope_apparent") - F.col("slope_test"), "nb_optimism": F.col("nb_apparent") - F.col("nb_test")})
-
-
 def misclassification(scored: DataFrame) -> DataFrame:
     return scored.agg(F.count("*").alias("n"), F.avg((F.col("pred") != F.col("y")).cast("double")).alias("error_rate"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from phenospark.functions.special import chi2_tail_sql
+from phenospark.operators import batched as B
 from phenospark.operators import models as M
 from phenospark.operators import screen as Z
 from phenospark.operators import stats as P
@@ -19,6 +21,7 @@ from phenospark.streaming import incremental as I
 
 IDS = ["patient_id", "cohort", "y"]
 MODEL_FEATURES = ["Pi10", "TD_ratio_all", "Vessel_BV5_pct", "EpiFat_Mean_HU", "CAC_Agatston", "BronchoArtery_Ratio"]
+ALL_FEATURES = list(S.FEATURES)
 IN6 = "('" + "','".join(MODEL_FEATURES) + "')"
 
 
@@ -91,16 +94,65 @@ def f_ridge(spark, sf):
     return _coefs(spark, M.logit_l2(_prepared(spark, sf)))
 
 
+GRID = "(SELECT unnest([0.001, 0.003, 0.01, 0.03, 0.1, 0.3, 1, 3, 10, 30, 100, 300]) AS c)"
+
+
+def _stationary(spark, path):
+    """(c, l1_ratio, sets, stationary): the optimality conditions of every model of a path, with gradients recomputed from the
+    coefficients by Spark SQL over the stored rows, model by model and column by column."""
+    m = path.models
+    cols, coef, fill = m.rows.cols, m.coefficients(), m.medians()
+    rows = m.rows.df.select("y", "fold", *cols)
+    out = []
+    for s, held in enumerate(m.rows.held):
+        mine = [i for i in range(len(m.set)) if m.set[i] == s]
+        train = rows.where(F.col("fold") != held)
+        fills = {c: F.coalesce(F.col(c), F.lit(float(fill[mine[0]][j]))) for j, c in enumerate(cols)}
+        z = train.select("y", *[((e - float(m.mean[mine[0]][j] * m.rows.spread[j] + m.rows.center[j])) / float(m.scale[mine[0]][j] * m.rows.spread[j])).alias(c) for j, (c, e) in enumerate(fills.items())])
+        size = z.agg(F.count("*").alias("n"), F.sum("y").alias("p")).first()
+        w = F.when(F.col("y") == 1, size["n"] / (2 * size["p"])).otherwise(size["n"] / (2 * (size["n"] - size["p"])))
+        miss = {i: w * (1 / (1 + F.exp(-sum((F.col(c) * float(v) for c, v in zip(cols, m.beta[i][1:])), F.lit(float(m.beta[i][0]))))) - F.col("y")) for i in mine}
+        z = z.select(*cols, *[e.alias(f"r{i}") for i, e in miss.items()])
+        g = z.agg(*[F.sum(F.col(f"r{i}") * (F.lit(1.0) if c is None else F.col(c))).alias(f"g{i}_{j}") for i in mine for j, c in enumerate([None, *cols])]).first()
+        for i in mine:
+            l1, l2, ok = m.l1[i], m.l2[i], abs(g[f"g{i}_0"]) <= 1e-6 * size["n"]
+            for j in range(len(cols)):
+                v, b = g[f"g{i}_{j + 1}"], m.beta[i][j + 1]
+                ok &= abs(v + l2 * b + l1 * (1 if b > 0 else -1)) <= 1e-6 * size["n"] if b else abs(v) <= l1 + 1e-6 * size["n"]
+            out.append((float(m.c[i]), float(m.l1_ratio[i]), bool(ok)))
+    return spark.createDataFrame(out, "c double, l1_ratio double, ok boolean").groupBy("c", "l1_ratio").agg(F.count("*").alias("sets"), F.every("ok").alias("stationary"))
+
+
+def _path(spark, sf, folds, **options):
+    f = M.stratified_folds(M.model_frame(_facts(spark, sf), IDS, ALL_FEATURES), folds, 7)
+    return B.penalty_path(f, M.feature_columns(f), M.C_GRID, **options)
+
+
+def _table(spark, path):
+    return spark.createDataFrame([(float(c), float(r), float(a), float(s), i == path.best) for i, (c, r, a, s) in enumerate(path.table)],
+                                 "c double, l1_ratio double, score double, sd double, best boolean")
+
+
 @query("F-07")
 def f_lasso(spark, sf):
-    model, kept, table = M.lasso_logit_cv(_prepared(spark, sf), folds=3)
-    return spark.createDataFrame([(float(round(c, 6)), r, float(a), i in kept) for i, (c, r, a, _) in enumerate(table)], "c double, l1_ratio double, score double, kept_position boolean")
+    path = _path(spark, sf, 3)
+    kept = [ALL_FEATURES[int(c[1:])] for c in path.kept]
+    return _table(spark, path).withColumn("kept", F.lit(",".join(kept)))
+
+
+@query("F-07b", f"SELECT CAST(c AS DOUBLE) AS c, CAST(1 AS DOUBLE) AS l1_ratio, CAST(4 AS BIGINT) AS sets, TRUE AS stationary FROM {GRID}")
+def f_lasso_stationary(spark, sf):
+    return _stationary(spark, _path(spark, sf, 3))
 
 
 @query("F-08")
 def f_enet(spark, sf):
-    _, _, table = M.lasso_logit_cv(_prepared(spark, sf), (0.1, 1.0), (0.5, 1.0), 3, "auc", one_se=True)
-    return spark.createDataFrame([(float(round(c, 6)), r, float(a), float(s)) for c, r, a, s in table], "c double, l1_ratio double, auc double, sd double")
+    return _table(spark, _path(spark, sf, 3, l1_ratios=(0.5, 0.8, 1.0), scoring="auc", one_se=True))
+
+
+@query("F-08b", f"SELECT CAST(c AS DOUBLE) AS c, CAST(r AS DOUBLE) AS l1_ratio, CAST(4 AS BIGINT) AS sets, TRUE AS stationary FROM {GRID}, (SELECT unnest([0.5, 0.8, 1]) AS r)")
+def f_enet_stationary(spark, sf):
+    return _stationary(spark, _path(spark, sf, 3, l1_ratios=(0.5, 0.8, 1.0), scoring="auc"))
 
 
 @query("F-09")
@@ -183,9 +235,43 @@ def f_downsample(spark, sf):
     return M.downsample_majority(S.wide(spark, sf).select("patient_id", "y")).groupBy("y").agg(F.count("*").alias("n"))
 
 
+def _mix32(x):
+    """The mixing function of :func:`batched.mix32` in SQL; lists bind a value to a name."""
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        x = f"list_transform([{x}], lambda v: CAST((CAST(xor(v, v >> {shift}) AS UHUGEINT) * {factor}) % 4294967296 AS UBIGINT))[1]"
+    return f"list_transform([{x}], lambda v: xor(v, v >> 16))[1]"
+
+
+# ids under 2**32, so the upper half of the key is zero
+DRAWS = f""", r AS (SELECT unnest(range(200)) AS replica), k AS (SELECT y, {_mix32("xor(CAST(patient_id AS UBIGINT) % 4294967296, {high})")} AS k FROM wide),
+ h AS (SELECT replica, y, {_mix32("CAST((k + CAST(replica AS UBIGINT) * 2654435769) % 4294967296 AS UBIGINT)")} AS h FROM k, r),
+ d AS (SELECT replica, y, len(list_filter({B.STEPS}, lambda s: s <= h)) AS w FROM h)"""
+HIGH = int(B.mix32(np.array([42], np.uint64))[0])
+
+
+def _resampled(models, replicas=200):
+    """(replica, n, n_pos, settled): size and positives of a replica from its class totals, over all its sets."""
+    whole = [int(round(v)) for v in models.class_n.sum(axis=1)], [int(round(v)) for v in models.class_n[:, 1]]
+    sets = len(models.rows.held)
+    per = max(sets - 1, 1)  # a row trains in all sets but one
+    rows = []
+    for b in range(replicas):
+        mine = [i for i in range(len(models.set)) if models.replica[i] == b]
+        rows.append((b, sum(whole[0][i] for i in mine) // per, sum(whole[1][i] for i in mine) // per, bool((models.residual[mine] <= 1e-9).all())))
+    return rows
+
+
 @query("F-22")
 def f_boot(spark, sf):
-    return rounded(M.bootstrap_model_auc(M.model_frame(_facts(spark, sf), IDS, ["Pi10", "TD_ratio_all", "EpiFat_Mean_HU"]), 2, k=2))
+    f = M.stratified_folds(M.model_frame(_facts(spark, sf), IDS, ALL_FEATURES), 5)
+    return rounded(B.bootstrap_model_auc(f, M.feature_columns(f), 200)[0])
+
+
+@query("F-22b", S.cte("wide", "+" + DRAWS.replace("{high}", str(HIGH)) + " SELECT CAST(replica AS INTEGER) AS replica, CAST(sum(w) AS BIGINT) AS n, CAST(coalesce(sum(w) FILTER (y = 1), 0) AS BIGINT) AS n_pos, TRUE AS settled FROM d WHERE y IS NOT NULL GROUP BY 1"))
+def f_boot_settled(spark, sf):
+    f = M.stratified_folds(M.model_frame(_facts(spark, sf), IDS, ALL_FEATURES), 5)
+    models = B.Models(B.Rows(f, M.feature_columns(f)), 200).fit()
+    return spark.createDataFrame(_resampled(models), "replica int, n bigint, n_pos bigint, settled boolean")
 
 
 @query("F-23", "SELECT DISTINCT o_custkey % 50 AS config, o_orderpriority AS strategy FROM orders EXCEPT SELECT o_custkey % 50, o_orderpriority FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 400000")
@@ -208,7 +294,15 @@ def f_mlp(spark, sf):
 
 @query("F-26")
 def f_optimism(spark, sf):
-    return rounded(M.bootstrap_optimism(M.model_frame(_facts(spark, sf), IDS, MODEL_FEATURES), 2))
+    f = M.model_frame(_facts(spark, sf), IDS, ALL_FEATURES)
+    return rounded(B.bootstrap_optimism(f, M.feature_columns(f), 200)[0])
+
+
+@query("F-26b", S.cte("wide", "+" + DRAWS.replace("{high}", str(HIGH)) + " SELECT CAST(replica AS INTEGER) AS replica, CAST(sum(w) AS BIGINT) AS n, CAST(coalesce(sum(w) FILTER (y = 1), 0) AS BIGINT) AS n_pos, TRUE AS settled FROM d WHERE y IS NOT NULL GROUP BY 1"))
+def f_optimism_settled(spark, sf):
+    f = M.model_frame(_facts(spark, sf), IDS, ALL_FEATURES)
+    models = B.bootstrap_optimism(f, M.feature_columns(f), 200)[1]
+    return spark.createDataFrame(_resampled(models), "replica int, n bigint, n_pos bigint, settled boolean")
 
 
 @query("F-27")
