@@ -5,17 +5,19 @@ Rank-based measures start from the (group, value) count table of ``functions.pre
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from phenospark.functions.prefix import average_rank, exact_quantiles, prefix_sums, value_counts, with_blocks
-from phenospark.session import spread
+from phenospark.session import checkpointed, spread
 from phenospark.functions.special import chi2_tail_sql, normal_two_sided_sql, student_two_sided
 
 
@@ -151,39 +153,113 @@ def to_ranks(facts: DataFrame, keys: Sequence[str] = ("feature",)) -> DataFrame:
 
 
 def correlation(facts: DataFrame, features: Sequence[str], method: str = "spearman") -> DataFrame:
-    """Absolute pairwise correlations of a bounded feature list over complete rows: (a, b, rho).
+    """Absolute pairwise correlations of a bounded feature list: (a, b, rho), each pair over the rows that hold both.
 
-    Each row becomes one vector of at most a few hundred numbers; tasks add up partial cross-product matrices with
-    numpy and only those (features squared per partition) are summed. No pair of features is emitted per patient.
+    Each row becomes one vector of values and one of presence; tasks add up partial cross-product matrices of both with numpy
+    and only those (features squared per partition) are summed. No pair of features is emitted per patient. Ranks are taken
+    over all present values of a feature. A pair without two common rows, or constant on them, has a null rho.
     """
     names = sorted(features)
     k = len(names)
-    f = facts.where(F.col("feature").isin(*names) & F.col("value").isNotNull())
-    full = f.groupBy("patient_id").agg(F.count("*").alias("_c")).where(F.col("_c") == k).select("patient_id")
-    f = f.join(full, "patient_id", "left_semi").select("patient_id", "feature", "value")
+    f = facts.where(F.col("feature").isin(*names) & F.col("value").isNotNull()).select("patient_id", "feature", "value")
     if method == "spearman":
         f = to_ranks(f)
     # centred on the feature mean, so that the sums of squares keep their digits
-    mean = f.groupBy("feature").agg(F.avg("value").alias("_m"))
-    f = f.join(mean, "feature").select("patient_id", "feature", (F.col("value") - F.col("_m")).alias("value"))
-    rows = f.groupBy("patient_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("feature", "value"))), lambda s: s["value"]).alias("v"))
+    mean = {r["feature"]: r["m"] for r in f.groupBy("feature").agg(F.avg("value").alias("m")).collect()}
+    center = np.array([mean.get(n, 0.0) for n in names])
+    at = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)])
+    rows = f.groupBy("patient_id").agg(F.collect_list(F.struct(at[F.col("feature")].alias("i"), "value")).alias("v"))
 
     def partial(batches):
-        total = np.zeros((k, k))
+        total = np.zeros((4, k, k))
         for b in batches:
-            if len(b):
-                m = np.vstack(b["v"].to_numpy())
-                total += m.T @ m
-        i, j = np.triu_indices(k)
-        yield pd.DataFrame({"i": i.astype("int32"), "j": j.astype("int32"), "s": total[i, j]})
-
-    g = rows.select("v").mapInPandas(partial, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
-    diag = g.where("i = j").select(F.col("i").alias("_i"), F.col("s").alias("_s"))
+            cells = b.column(0)
+            row = np.repeat(np.arange(len(cells)), np.diff(cells.offsets.to_numpy()))
+            col, val = (cells.flatten().field(n).to_numpy() for n in ("i", "value"))
+            x, m = np.zeros((len(cells), k)), np.zeros((len(cells), k))
+            x[row, col], m[row, col] = val - center[col], 1.0
+            total += np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
+        i, j = np.triu_indices(k, 1)
+        cells = {"i": i.astype("int32"), "j": j.astype("int32")} | {c: v for c, v in zip(
+            ("n", "x", "y", "xx", "yy", "xy"), (total[0][i, j], total[1][i, j], total[1][j, i], total[2][i, j], total[2][j, i], total[3][i, j]))}
+        yield pa.RecordBatch.from_pydict(cells)
+
+    sums = ("n", "x", "y", "xx", "yy", "xy")
+    g = rows.select("v").mapInArrow(partial, "i int, j int, " + ", ".join(f"{c} double" for c in sums)).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in sums])
     nm = F.array(*[F.lit(n) for n in names])
-    out = g.where("i < j").join(diag.select(F.col("_i").alias("i"), F.col("_s").alias("si")), "i").join(
-        diag.select(F.col("_i").alias("j"), F.col("_s").alias("sj")), "j")
-    return out.select(nm[F.col("i")].alias("a"), nm[F.col("j")].alias("b"),
-                      F.abs(F.try_divide("s", F.sqrt(F.col("si") * F.col("sj")))).alias("rho"))
+    cov, vx, vy = F.col("xy") - F.col("x") * F.col("y") / F.col("n"), F.col("xx") - F.col("x") ** 2 / F.col("n"), F.col("yy") - F.col("y") ** 2 / F.col("n")
+    # a constant column leaves rounding noise of its sum of squares
+    varies = (vx > 1e-12 * F.col("xx")) & (vy > 1e-12 * F.col("yy"))
+    return g.where("n > 0").select(nm[F.col("i")].alias("a"), nm[F.col("j")].alias("b"), F.when((F.col("n") > 1) & varies, F.abs(cov / F.sqrt(vx * vy))).alias("rho"))
+
+
+def split_counts(rng: np.random.Generator, total: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Replicas x cells: each replica's ``total`` draws dealt to cells in proportion to ``sizes``, by conditional binomials cell after
+    cell, so every row adds up to its total exactly."""
+    out = np.zeros((len(total), len(sizes)), np.int64)
+    rest, mass = total.astype(np.int64).copy(), float(sizes.sum())
+    for j, size in enumerate(sizes):
+        out[:, j] = rng.binomial(rest, min(1.0, size / mass)) if mass > 0 else 0
+        rest -= out[:, j]
+        mass -= float(size)
+    return out
+
+
+def stratified_replicas(scores: DataFrame, keys: Sequence[str], replicas: int = 200, seed: int = 42, y: str = "y", score: str = "score") -> DataFrame:
+    """(keys, replica, pos, neg, auc) of a bootstrap within classes: each replica draws as many rows of a class, with replacement,
+    as the class has.
+
+    Draws go down a tree: a class total is split over the score blocks of a key (bounded in number), a block's share over its
+    chunks and distinct scores, each time by conditional binomials. No row is copied per replica, a hot score is one row, and
+    the class totals are exact. Draws are seeded by key and block, so a recomputed task repeats them.
+    """
+    keys = list(keys)
+    vc = value_counts(scores.where(F.col(y).isNotNull()), keys, score, {"pos": (F.col(y) == 1).cast("bigint"), "neg": (F.col(y) == 0).cast("bigint")})
+    b = checkpointed(with_blocks(vc, keys, score).select(*keys, F.col("_block").cast("bigint").alias("_block"), F.col(score).cast("double").alias("_s"), "pos", "neg"))
+    types = dict(scores.dtypes)
+    kind = "".join(f"{k} {types[k]}, " for k in keys)
+    whole = b.groupBy(*keys, "_block").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).withColumn("_seed", F.xxhash64(F.lit(seed), *keys))
+
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_block")
+        rng = np.random.default_rng(int(pdf["_seed"].iloc[0]) & (2**63 - 1))
+        parts = [split_counts(rng, np.full(replicas, pdf[c].sum()), pdf[c].to_numpy()) for c in ("pos", "neg")]
+        out = pd.DataFrame({"_block": pdf["_block"].to_numpy(), "p": list(parts[0].T), "q": list(parts[1].T)})
+        for k in keys:
+            out[k] = pdf[k].iloc[0]
+        return out[[*keys, "_block", "p", "q"]]
+
+    gk = keys or [F.lit(0)]
+    shares = whole.groupBy(*gk).applyInPandas(deal, f"{kind}_block bigint, p array<bigint>, q array<bigint>")
+    schema = f"{kind}_block bigint, replica int, pos bigint, neg bigint, u double"
+
+    def draw(rows: pd.DataFrame, share: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_s")
+        rng = np.random.default_rng([seed, int(rows["_block"].iloc[0]) + 1, *(abs(hash_of(rows[k].iloc[0])) for k in keys)])
+        p, q = rows["pos"].to_numpy(), rows["neg"].to_numpy()
+        edges = np.arange(0, len(rows), 1024)
+        mine = [split_counts(rng, np.asarray(share[c].iloc[0]), np.add.reduceat(v, edges)) for c, v in (("p", p), ("q", q))]
+        before, u = np.zeros(replicas), np.zeros(replicas)
+        for i, a in enumerate(edges):
+            wp, wn = (split_counts(rng, m[:, i], v[a:a + 1024]) for m, v in zip(mine, (p, q)))
+            run = np.cumsum(wn, axis=1)
+            u += (wp * (before[:, None] + run - wn / 2)).sum(axis=1)
+            before += wn.sum(axis=1)
+        out = pd.DataFrame({"replica": np.arange(replicas, dtype="int32"), "pos": mine[0].sum(axis=1), "neg": mine[1].sum(axis=1), "u": u})
+        for k in [*keys, "_block"]:
+            out[k] = rows[k].iloc[0]
+        return out[[*keys, "_block", "replica", "pos", "neg", "u"]]
+
+    on = [*keys, "_block"]
+    blk = spread(b, *on).groupBy(*on).cogroup(shares.groupBy(*on)).applyInPandas(draw, schema)
+    earlier = W.partitionBy(*keys, "replica").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)  # one row per block
+    blk = blk.withColumn("_e", F.coalesce(F.sum("neg").over(earlier), F.lit(0)))
+    return blk.groupBy(*keys, "replica").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum(F.col("u") + F.col("pos") * F.col("_e")).alias("_u")).select(
+        *keys, "replica", "pos", "neg", F.try_divide("_u", F.col("pos") * F.col("neg")).alias("auc"))
+
+
+def hash_of(value) -> int:
+    return int.from_bytes(hashlib.sha256(repr(value).encode()).digest()[:6], "big")
 
 
 def bootstrap_replicas(scores: DataFrame, keys: Sequence[str], replicas: int = 200, seed: int = 42,
@@ -226,10 +302,11 @@ def bootstrap_replicas(scores: DataFrame, keys: Sequence[str], replicas: int = 2
         F.try_divide(F.sum(F.col("u") + F.col("pos") * F.col("_e")), F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
-def bootstrap_auc(scores: DataFrame, keys: Sequence[str], replicas: int = 200, seed: int = 42, **cols) -> DataFrame:
-    """Point AUC with the 2.5 and 97.5 percent points over replicas (one row per replica: small) and their number."""
+def bootstrap_auc(scores: DataFrame, keys: Sequence[str], replicas: int = 200, seed: int = 42, stratified: bool = False, **cols) -> DataFrame:
+    """Point AUC with the 2.5 and 97.5 percent points over replicas (one row per replica: small) and their number. ``stratified``
+    keeps the class sizes of every replica."""
     keys = list(keys)
-    reps = bootstrap_replicas(scores, keys, replicas, seed, **cols)
+    reps = (stratified_replicas if stratified else bootstrap_replicas)(scores, keys, replicas, seed, **cols)
     ci = reps.groupBy(*keys).agg(F.percentile("auc", 0.025).alias("lo"), F.percentile("auc", 0.975).alias("hi"), F.count("auc").alias("used"))
     point = rank_auc(scores, keys, cols.get("y", "y"), cols.get("score", "score")).select(*keys, "auc")
     if keys:

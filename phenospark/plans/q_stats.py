@@ -132,15 +132,12 @@ def s_fdr(spark, sf):
     return rounded(P.bh_fdr(P.mann_whitney(_obs(spark, sf)).select("feature", "p")))
 
 
-CORR_FEATURES = ["Pi10", "TD_ratio_all", "Vessel_BV5_pct", "EpiFat_Mean_HU", "Lung_Perc15_HU", "BronchoArtery_Ratio", "aorta::wavelet-LLH_glcm_Contrast"]
-IN7 = "('" + "','".join(CORR_FEATURES) + "')"
 
 
-@query("S-11", S.cte("obs", f"""+, f AS (SELECT patient_id, feature, value FROM obs WHERE feature IN {IN7} AND patient_id IN (SELECT patient_id FROM obs WHERE feature IN {IN7} GROUP BY 1 HAVING count(*) = 7)),
- r AS (SELECT patient_id, feature, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2e0 AS r FROM f)
- SELECT x.feature AS a, y.feature AS b, round(abs(corr(x.r, y.r)), 8) AS rho FROM r x JOIN r y ON x.patient_id = y.patient_id AND x.feature < y.feature GROUP BY 1, 2"""))
+@query("S-11", S.cte("obs", """+, r AS (SELECT patient_id, feature, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2e0 AS r FROM obs)
+ SELECT x.feature AS a, y.feature AS b, CASE WHEN count(*) > 1 AND min(x.r) < max(x.r) AND min(y.r) < max(y.r) THEN round(abs(corr(x.r, y.r)), 8) END AS rho FROM r x JOIN r y ON x.patient_id = y.patient_id AND x.feature < y.feature GROUP BY 1, 2"""))
 def s_corr(spark, sf):
-    return rounded(P.correlation(_obs(spark, sf), CORR_FEATURES), 8)
+    return rounded(P.correlation(_obs(spark, sf), list(S.FEATURES)), 8)
 
 
 @query("S-12")
@@ -148,6 +145,19 @@ def s_bootstrap(spark, sf):
     return P.bootstrap_auc(S.oof(spark, sf), ["cohort"], 200, score="proba")
 
 
+@query("S-12b")
+def s_bootstrap_stratified(spark, sf):
+    return P.bootstrap_auc(S.oof(spark, sf), ["cohort"], 200, stratified=True, score="proba")
+
+
+@query("S-12c", S.cte("oof", """+, c AS (SELECT cohort, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg FROM oof GROUP BY 1)
+ SELECT cohort, CAST(range AS INTEGER) AS replica, pos, neg, pos > 0 AND neg > 0 AS scored FROM c, range(200)"""))
+def s_strata(spark, sf):
+    """Class sizes of every replica, which a bootstrap within classes must keep."""
+    r = P.stratified_replicas(S.oof(spark, sf), ["cohort"], 200, score="proba")
+    return r.select("cohort", "replica", "pos", "neg", F.col("auc").isNotNull().alias("scored"))
+
+
 @query("S-13")
 def s_direction(spark, sf):
     o = _obs(spark, sf)
@@ -191,8 +201,8 @@ def s_hist(spark, sf):
 
 @query("S-19")
 def s_mrmr(spark, sf):
-    o = _obs(spark, sf).where(F.col("feature").isin(*CORR_FEATURES))
-    names = P.mrmr(P.label_relevance(o), P.correlation(o, CORR_FEATURES, "pearson"), 4)
+    o = _obs(spark, sf).where(F.col("feature").isin(*list(S.FEATURES)))
+    names = P.mrmr(P.label_relevance(o), P.correlation(o, list(S.FEATURES), "pearson"), 8)
     return spark.createDataFrame([(i + 1, n) for i, n in enumerate(names)], "position int, feature string")
 
 
@@ -380,12 +390,12 @@ def r_ph(spark, sf):
     return rounded(R.ph_check(s, R.cox_multivariate(s, ["x1", "x2"])), 7)
 
 
-@query("R-06", S.cte("surv", """+, p AS (SELECT 'x2' AS feature, patient_id, time, status, x2 AS v FROM surv UNION ALL SELECT 'x3', patient_id, time, status, x3 FROM surv), t AS (SELECT feature, v, time, sum(status) AS e, count(*) - sum(status) AS c FROM p GROUP BY 1, 2, 3),
+@query("R-06", S.cte("surv", """+, p AS (SELECT 'x1' AS feature, patient_id, time, status, x1 AS v FROM surv UNION ALL SELECT 'x2', patient_id, time, status, x2 FROM surv UNION ALL SELECT 'x3', patient_id, time, status, x3 FROM surv), t AS (SELECT feature, v, time, sum(status) AS e, count(*) - sum(status) AS c FROM p GROUP BY 1, 2, 3),
  q AS (SELECT a.feature, CASE WHEN a.v > b.v THEN 'c' WHEN a.v < b.v THEN 'd' ELSE 't' END AS k, sum(a.e * CASE WHEN b.time > a.time THEN b.e + b.c ELSE b.c END) AS n FROM t a JOIN t b ON a.feature = b.feature AND b.time >= a.time GROUP BY 1, 2)
  SELECT feature, CAST(sum(n) FILTER (k = 'c') AS BIGINT) AS concordant, CAST(sum(n) FILTER (k = 'd') AS BIGINT) AS discordant, CAST(sum(n) FILTER (k = 't') AS BIGINT) AS tied,
  round((sum(n) FILTER (k = 'c') + sum(n) FILTER (k = 't') / 2) / sum(n), 8) AS c_index FROM q GROUP BY 1"""))
 def r_concordance(spark, sf):
-    return rounded(R.concordance_index(_surv_long(spark, sf).where("feature <> 'x1'"), ["feature"], "value"), 8)
+    return rounded(R.concordance_index(_surv_long(spark, sf), ["feature"], "value"), 8)
 
 
 @query("R-07", S.cte("surv", "SELECT patient_id, CASE WHEN x1 > 2.5 THEN 1 ELSE -1 END AS risk_group FROM surv"))

@@ -1,6 +1,9 @@
 import math
+import random
 
 import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from phenospark.operators import evaluate as E
@@ -118,3 +121,54 @@ def test_folds_and_ridge_optimum(spark):
     assert np.abs(z.T @ (w * (p - y)) + m.coefficients.toArray()).max() < 1e-2 and abs((w * (p - y)).sum()) < 1e-2
     oof, _ = M.cross_validate(folds)
     assert oof.count() == 300 and P.rank_auc(oof.withColumn("k", F.lit(1)), ["k"], "y", "proba").first()["auc"] > 0.6
+
+
+def test_correlation_over_common_rows(spark):
+    rng = random.Random(8)
+    wide = {f"f{j}": [rng.gauss(1000 * j, 1) if rng.random() < 0.6 else None for _ in range(300)] for j in range(4)}
+    wide["f3"] = [None if a is None or i % 5 == 0 else a + rng.gauss(0, 0.5) for i, a in enumerate(wide["f1"])]
+    wide["same"], wide["once"] = [7.0] * 300, [1.0] + [None] * 299
+    facts = spark.createDataFrame([(i, f, v) for f, vs in wide.items() for i, v in enumerate(vs)], "patient_id bigint, feature string, value double")
+    pd_ = pd.DataFrame(wide, dtype=float)
+    for method, want in (("pearson", pd_.corr()), ("spearman", pd_.rank().corr())):
+        got = {(r.a, r.b): r.rho for r in P.correlation(facts, list(wide), method).collect()}
+        for a, b in got:
+            if "same" in (a, b) or "once" in (a, b):
+                assert got[a, b] is None
+            else:
+                assert abs(got[a, b] - abs(want.loc[a, b])) < 1e-9
+        assert 6 + 4 < len(got) <= 6 + 4 + 5  # a pair without a common row is not listed
+
+
+def test_splits_keep_totals_and_shares():
+    rng = np.random.default_rng(1)
+    total = np.full(4000, 50)
+    cells = P.split_counts(rng, total, np.array([1, 0, 5, 4]))
+    assert (cells.sum(axis=1) == 50).all() and not cells[:, 1].any()
+    assert np.allclose(cells.mean(axis=0), [5, 0, 25, 20], atol=0.2) and abs(cells[:, 2].var() - 12.5) < 1
+
+
+def test_stratified_bootstrap_keeps_classes(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [("a", round(rng.gauss(y, 1), 1), y) for y in (0, 1) for _ in range(400 - 250 * y)] + [("b", 0.5, 1)] * 3 + [("c", 0.1, None)]
+    df = spark.createDataFrame(rows, "task string, score double, y int")
+    one = {}
+    for blocks in ({}, {"sample_one_in": 1, "sample_per_block": 4}):
+        whole = P.with_blocks
+        monkeypatch.setattr(P, "with_blocks", lambda vc, keys, order, blocks=blocks, whole=whole: whole(vc, keys, order, **blocks))
+        got = P.stratified_replicas(df, ["task"], 300).collect()
+        monkeypatch.setattr(P, "with_blocks", whole)
+        assert {(r.task, r.pos, r.neg) for r in got} == {("a", 150, 400), ("b", 3, 0)} and len(got) == 600
+        a = np.array([r.auc for r in got if r.task == "a"])
+        assert all(r.auc is None for r in got if r.task == "b")
+        one[bool(blocks)] = a
+    point = P.rank_auc(df, ["task"], "y", "score").where("task = 'a'").first().auc
+    loose = np.array([r.auc for r in P.bootstrap_replicas(df, ["task"], 300).where("task = 'a'").collect()])
+    for a in one.values():
+        assert abs(a.mean() - point) < 0.005 and 0.8 < a.std() / loose.std() < 1.25
+    again = [r.auc for r in P.stratified_replicas(df.repartition(7), ["task"], 300).orderBy("replica").where("task = 'a'").collect()]
+    assert again == pytest.approx(sorted_auc(P.stratified_replicas(df, ["task"], 300)))
+
+
+def sorted_auc(df):
+    return [r.auc for r in df.where("task = 'a'").orderBy("replica").collect()]
