@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from phenospark.operators.components import connected_components
-from phenospark.session import spread
+from phenospark.session import checkpointed, spread
 
 KEYS = ["patient_id", "roi"]
 BLOCK = 64
@@ -264,19 +264,63 @@ def glcm(pairs: DataFrame) -> DataFrame:
     return f.groupBy(*KEYS).agg(*[F.avg(c).alias(c) for c in names])
 
 
+def _block_runs(g: np.ndarray, own: np.ndarray, d: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of equal grey level inside a block along ``d``: flat index of the first cell, length, and whether the run goes on in a
+    neighbouring block (its rim cell has the same level)."""
+    step = int(np.dot(d, (g.shape[1] * g.shape[2], g.shape[2], 1)))
+    gf, of = g.ravel(), own.ravel()
+    home = np.flatnonzero(of)
+    first = home[~(of[home - step] & (gf[home - step] == gf[home]))]
+    last, length = first.copy(), np.ones(len(first), np.int64)
+    alive = np.arange(len(first))
+    while len(alive):
+        ahead = last[alive] + step
+        alive = alive[of[ahead] & (gf[ahead] == gf[last[alive]])]
+        last[alive] += step
+        length[alive] += 1
+    return first, length, (gf[first - step] == gf[first]) | (gf[last + step] == gf[last])
+
+
 def run_lengths(vox: DataFrame, directions: Sequence[tuple[int, int, int]] = tuple(DIRECTIONS)) -> DataFrame:
-    """(keys, dir, i, len, n): maximal runs of equal grey level. A line in any direction is at most one image edge long."""
-    dirs = F.array(*[F.struct(F.lit(k).alias("dir"), *[F.lit(v).alias(f"d{a}") for a, v in zip("zyx", d)]) for k, d in enumerate(directions)])
-    v = vox.select(*KEYS, "z", "y", "x", "g").withColumn("_d", F.explode(dirs))
-    dz, dy, dx = F.col("_d.dz"), F.col("_d.dy"), F.col("_d.dx")
-    t = F.when(dz != 0, F.col("z") * dz).when(dy != 0, F.col("y") * dy).otherwise(F.col("x") * dx)
-    v = v.withColumn("t", t).select(*KEYS, "_d.dir", "g", "t", *[(F.col(a) - F.col("t") * F.col(f"_d.d{a}")).alias(f"l{a}") for a in "zyx"])
+    """(keys, dir, i, len, n): maximal runs of equal grey level.
+
+    Runs are counted inside blocks: the one shuffle of voxels is that of the blocks with their rims. Only a run that goes on
+    beyond its block leaves it as a row, with the line it lies on; the pieces of a line, at most one per block, are joined in
+    order.
+    """
+    kt = ", ".join(f"{k} {dict(vox.dtypes)[k]}" for k in KEYS)
+    names = ["dir", "i", "len", "n", "t", "lz", "ly", "lx"]
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        g, own, _ = _grid(pdf)
+        low = pdf[["z", "y", "x"]].to_numpy(int).min(0) - 1
+        whole, parts = [], []
+        for k, d in enumerate(directions):
+            first, length, open_ = _block_runs(g, own, d)
+            level = g.ravel()[first]
+            whole.append((np.full(int((~open_).sum()), k), level[~open_], length[~open_]))
+            at = np.stack(np.unravel_index(first[open_], g.shape), axis=1) + low
+            axis = next(a for a in range(3) if d[a])
+            t = at[:, axis] * d[axis]
+            line = at - t[:, None] * np.array(d)
+            parts.append(pd.DataFrame({"dir": k, "i": level[open_], "len": length[open_], "n": 0, "t": t, "lz": line[:, 0], "ly": line[:, 1], "lx": line[:, 2]}))
+        closed = _tally(dir=np.concatenate([w[0] for w in whole]), i=np.concatenate([w[1] for w in whole]), len=np.concatenate([w[2] for w in whole]))
+        out = pd.concat([closed.reindex(columns=names), *parts], ignore_index=True)
+        out[names[4:]] = out[names[4:]].astype("Int32")
+        for k in reversed(KEYS):
+            out.insert(0, k, pdf[k].iloc[0])
+        return out
+
+    b = _blocks(vox.select(*KEYS, "z", "y", "x", "g"))
+    found = checkpointed(spread(b, *KEYS, "bz", "by", "bx").groupBy(*KEYS, "bz", "by", "bx").applyInPandas(
+        count, f"{kt}, dir int, i int, len bigint, n bigint, t int, lz int, ly int, lx int"))
     line = [*KEYS, "dir", "lz", "ly", "lx"]
     w = W.partitionBy(*line).orderBy("t")
-    new = (F.coalesce(F.col("t") - F.lag("t").over(w), F.lit(2)) != 1) | ~F.lag("g").over(w).eqNullSafe(F.col("g"))
-    v = v.withColumn("_r", F.sum(new.cast("int")).over(w))
-    runs = v.groupBy(*line, "_r").agg(F.first("g").alias("i"), F.count("*").alias("len"))
-    return runs.groupBy(*KEYS, "dir", "i", "len").agg(F.count("*").alias("n"))
+    new = ~((F.lag("t").over(w) + F.lag("len").over(w)).eqNullSafe(F.col("t")) & F.lag("i").over(w).eqNullSafe(F.col("i")))
+    pieces = found.where("n = 0").withColumn("_new", new.cast("int")).withColumn("_r", F.sum("_new").over(w))
+    runs = pieces.groupBy(*line, "_r").agg(F.first("i").alias("i"), F.sum("len").alias("len"))
+    got = runs.select(*KEYS, "dir", "i", "len", F.lit(1).cast("bigint").alias("n")).unionByName(found.where("n > 0").select(*KEYS, "dir", "i", "len", "n"))
+    return got.groupBy(*KEYS, "dir", "i", "len").agg(F.sum("n").alias("n"))
 
 
 def _size_features(t: DataFrame, k: Sequence[str], size: str, voxels: Column, pre: str) -> DataFrame:

@@ -80,14 +80,27 @@ def size_sql(src, keys, size, voxels, small, big, nu, pct):
         f"{nu}NonUniformity", pct)) + " FROM f GROUP BY 1"
 
 
-@query("X-04", S.cte("ct", G_SQL + DIRS + """, t AS (SELECT patient_id, dir, g, CASE WHEN dz <> 0 THEN z * dz WHEN dy <> 0 THEN y * dy ELSE x * dx END AS t, z, y, x, dz, dy, dx FROM g, dirs),
+RUNS = DIRS + """, t AS (SELECT patient_id, dir, g, CASE WHEN dz <> 0 THEN z * dz WHEN dy <> 0 THEN y * dy ELSE x * dx END AS t, z, y, x, dz, dy, dx FROM g, dirs),
  l AS (SELECT patient_id, dir, g, t, z - t * dz AS lz, y - t * dy AS ly, x - t * dx AS lx FROM t), e AS (SELECT *, t - row_number() OVER (PARTITION BY patient_id, dir, lz, ly, lx, g ORDER BY t) AS grp FROM l),
  rn AS (SELECT patient_id, dir, g AS i, len, count(*) AS n FROM (SELECT patient_id, dir, g, count(*) AS len FROM e GROUP BY patient_id, dir, lz, ly, lx, g, grp) GROUP BY 1, 2, 3, 4)"""
-                    + size_sql("rn", ["patient_id", "dir"], "len", "sum(n * len)", "ShortRun", "LongRun", "RunLength", "RunPercentage")))
+RUN_FEATURES = size_sql("rn", ["patient_id", "dir"], "len", "sum(n * len)", "ShortRun", "LongRun", "RunLength", "RunPercentage")
+# A volume several blocks wide, from the lines of orders: up to 900 cells along x.
+WIDE_CELLS = "SELECT l_suppkey % 2 AS patient_id, CAST(l_linenumber AS INTEGER) AS z, CAST(l_quantity % 3 AS INTEGER) AS y, CAST(l_orderkey % 900 AS INTEGER) AS x, CAST(1 + max(CASE WHEN l_discount > 0.07 THEN 1 ELSE 0 END) AS INTEGER) AS g FROM lineitem GROUP BY 1, 2, 3, 4"
+
+
+@query("X-04", S.cte("ct", G_SQL + RUNS + RUN_FEATURES))
 def x_glrlm(spark, sf):
     return rounded(X.glrlm(X.run_lengths(_grey(spark, sf))), 9)
 
 
+@query("X-04b", f"WITH g AS ({WIDE_CELLS})" + RUNS + RUN_FEATURES)
+def x_glrlm_wide(spark, sf):
+    cells = S.table(spark, sf, "lineitem").groupBy(
+        (F.col("l_suppkey") % 2).alias("patient_id"), F.col("l_linenumber").cast("int").alias("z"), (F.col("l_quantity") % 3).cast("int").alias("y"), (F.col("l_orderkey") % 900).cast("int").alias("x")).agg(
+        (1 + F.max(F.when(F.col("l_discount") > 0.07, 1).otherwise(0))).cast("int").alias("g"))
+    return rounded(X.glrlm(X.run_lengths(cells.withColumn("roi", F.lit("body")))), 9)
+
+
 @query("X-05", S.cte("ct", G_SQL.replace("+,", "+/*RECURSE*/,") + """, v AS (SELECT *, z * 1048576 + y * 1024 + x AS k FROM g),
  ed AS MATERIALIZED (SELECT v.patient_id AS p, v.k AS a, w.k AS b FROM v JOIN v w ON w.patient_id = v.patient_id AND w.g = v.g AND abs(w.z - v.z) <= 1 AND abs(w.y - v.y) <= 1 AND abs(w.x - v.x) <= 1),
  reach(p, a, b) AS (SELECT p, a, a FROM ed UNION SELECT r.p, r.a, ed.b FROM reach r JOIN ed ON ed.p = r.p AND ed.a = r.b),
