@@ -69,9 +69,12 @@ def benchmark_windows(bench: DataFrame, width: int, item_col: str, text_col: str
     return w.join(w.groupBy("item").agg(F.count_distinct("q").alias("total")), "item")
 
 
-def contaminated(docs: DataFrame, bench: DataFrame, width: int = 5, share: float = 0.8, consistent: float = 0.9, item_col: str = "item_id", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, item, n_windows, share, n_slots, n_changed) for texts that hold at least ``share`` of an item's template windows with
-    consistent placeholders; key is the hash of the text, so copies of a text are one.
+def contaminated(docs: DataFrame, bench: DataFrame, width: int = 5, share: float = 0.8, edits: int = 1, consistent: float = 0.9, item_col: str = "item_id", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, item, n_windows, share, n_slots, n_changed) for texts that hold enough of an item's template windows with consistent
+    placeholders; key is the hash of the text, so copies of a text are one.
+
+    Enough is ``share`` of them or, for items so short that a few changed words break more, all but the ``width`` windows that
+    each of ``edits`` changes may break, if that is at least half of them and three.
 
     ``n_changed`` counts placeholders with another filler than the item's. Where the two sides of a placeholder do not map
     one to one in at least ``consistent`` of the aligned windows, the match is dropped.
@@ -83,7 +86,9 @@ def contaminated(docs: DataFrame, bench: DataFrame, width: int = 5, share: float
     hits = docs.select(key, F.posexplode(windows(template_words(text), width)).alias("p", "h")).join(known, "h", "left_semi").distinct()
     hits = checkpointed(hits)
     met = hits.join(bw, "h")
-    whole = met.groupBy("key", "item", "total").agg(F.count_distinct("q").alias("n_windows")).where(F.col("n_windows") >= share * F.col("total"))
+    n = F.col("total")
+    enough = F.least(share * n, F.greatest(n - edits * width, 0.5 * n, F.least(n, F.lit(3))))
+    whole = met.groupBy("key", "item", "total").agg(F.count_distinct("q").alias("n_windows")).where(F.col("n_windows") >= enough)
     whole = checkpointed(whole)
     # fillers of the document, only for texts in question and only where an item has a placeholder
     filled = met.where(F.size("fills") > 0).join(whole.select("key", "item"), ["key", "item"], "left_semi").select("key", "item", "p", "q", "fills")

@@ -59,7 +59,7 @@ b AS MATERIALIZED (SELECT item_id, q, t[q + 1 : q + 5] AS win, r, t FROM b1 WHER
 tot AS (SELECT item_id, count(DISTINCT q) AS total FROM b GROUP BY 1),
 dp AS (SELECT doc_id, r, t, unnest(range(n - 4)) AS p FROM dw WHERE n >= 5),
 hit AS MATERIALIZED (SELECT doc_id, p, item_id, q, dp.r AS ours, b.r AS theirs, b.t AS bt FROM dp JOIN b ON dp.t[p + 1 : p + 5] = b.win),
-whole AS (SELECT doc_id, item_id, total, count(DISTINCT q) AS n_windows FROM hit JOIN tot USING (item_id) GROUP BY ALL HAVING count(DISTINCT q) >= 0.8 * total),
+whole AS (SELECT doc_id, item_id, total, count(DISTINCT q) AS n_windows FROM hit JOIN tot USING (item_id) GROUP BY ALL HAVING count(DISTINCT q) >= least(0.8 * total, greatest(total - 5, 0.5 * total, least(total, 3)))),
 pair AS (SELECT DISTINCT doc_id, item_id, bt[q + i] AS kind, q + i AS spot, theirs[q + i] AS theirs, p, ours[p + i] AS ours FROM (SELECT *, unnest([1, 2, 3, 4, 5]) AS i FROM hit JOIN whole USING (doc_id, item_id)) WHERE bt[q + i] IN ({_ANY})),
 one AS (SELECT DISTINCT doc_id, item_id, kind, spot, theirs, ours FROM pair),
 votes AS (SELECT doc_id, item_id, kind, theirs, ours, count(*) AS n FROM one GROUP BY ALL),

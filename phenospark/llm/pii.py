@@ -41,7 +41,7 @@ def candidate_spans(text: Column) -> Column:
         (s["start"] + F.length(s["value"]) - F.length(F.regexp_replace(s["value"], r"^[^\p{L}\p{N}+]++", ""))).alias("start"),
         (s["start"] + F.length(_right_cut(s["value"]))).alias("end"),
         F.regexp_replace(_right_cut(s["value"]), r"^[^\p{L}\p{N}+]++", "").alias("value")))
-    return F.filter(cut, lambda s: (F.length(digits(s["value"])) >= 4) & (s["end"] > s["start"]))
+    return F.filter(cut, lambda s: ((F.length(digits(s["value"])) >= 4) | F.contains(s["value"], F.lit("@"))) & (s["end"] > s["start"]))
 
 
 def _right_cut(value: Column) -> Column:
@@ -53,7 +53,7 @@ def find(docs: DataFrame, rounds: int = 3, min_support: int = 3, confidence: flo
     """(doc_id, base, added): per row of ``docs`` the base spans and the spans that contexts add, both
     array<struct<kind,start,end,value>>.
 
-    A pattern needs ``min_support`` different seed values and ``confidence`` to add spans; copies of a text add no support,
+    A pattern needs ``min_support`` different sure values (seeds, and what earlier rounds found) and ``confidence`` to add spans; copies of a text add no support,
     as instances are counted by value. Null texts are empty; null ids and repeated rows each keep their own row.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -86,17 +86,19 @@ def patterns_of(left: Column, right: Column) -> Column:
 
 
 def discover(seen: DataFrame, rounds: int, min_support: int, confidence: float) -> DataFrame:
-    """(key, kind, start, end, value) of unseen tokens, from occurrences (key, kind or -1, start, end, value, left, right)."""
+    """(key, kind, start, end, value) of unseen tokens, from occurrences (key, kind or -1, start, end, value, left, right).
+
+    Base entities are sure from the start; a value found with ``confidence`` in one round is sure in the next, so its other contexts
+    become patterns in their turn."""
     spot = seen.select("key", "kind", "start", "end", "value", F.xxhash64("value").alias("inst"), F.transform(patterns_of(F.col("left"), F.col("right")), lambda p: F.xxhash64(p)).alias("pats"))
     edges = checkpointed(spot.select("inst", "kind", F.explode("pats").alias("pat")).groupBy("inst", "pat").agg(F.max("kind").alias("kind")))
-    # only patterns of a seed can ever score; others are left out before the rounds
-    seeds = edges.where("kind >= 0").groupBy("pat").agg(F.count("*").alias("n")).where(F.col("n") >= min_support)
-    live = checkpointed(edges.join(seeds.select("pat"), "pat", "left_semi"))
+    # a pattern of too few values can never score; any other may come to do so in a later round
+    size = checkpointed(edges.groupBy("pat").agg(F.count("*").alias("size")).where(F.col("size") >= min_support))
+    live = checkpointed(edges.join(size, "pat", "left_semi"))
     score = live.where("kind >= 0").select("inst", "kind").distinct().withColumn("p", F.lit(1.0))
-    size = live.groupBy("pat").agg(F.count("*").alias("size"))
     for _ in range(rounds):
         hit = live.select("inst", "pat").join(score, "inst")
-        pat = hit.groupBy("pat", "kind").agg(F.sum("p").alias("mass"), F.sum(F.when(F.col("p") == 1, 1).otherwise(0)).alias("support")).join(size, "pat")
+        pat = hit.groupBy("pat", "kind").agg(F.sum("p").alias("mass"), F.count_if(F.col("p") >= confidence).alias("support")).join(size, "pat")
         pat = pat.select("pat", "kind", F.least(F.col("mass") / F.col("size"), F.lit(1.0)).alias("conf"), "support").where((F.col("support") >= min_support) & (F.col("conf") >= 0.5 * confidence))
         new = live.where("kind < 0").select("inst", "pat").join(pat, "pat").groupBy("inst", "kind").agg(
             (1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("conf"), F.lit(1e-6)))))).alias("p"))

@@ -218,6 +218,23 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert got[13].spans == "" and all(got[d].n_added == 0 for d in range(12))
 
 
+def test_found_identifiers_bring_in_others(spark):
+    """Numbers found beside seeds make a second context a pattern, which finds one more; an address without a dot is found beside
+    addresses with one."""
+    rng = random.Random(6)
+    codes = [f"555-{rng.randint(1000, 9999)}" for _ in range(6)]
+    texts = [f"{words(rng, 9)} reach me at +1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)} any day {words(rng, 5)}" for _ in range(12)]
+    texts += [f"{words(rng, 9)} reach me at {c} any day {words(rng, 5)}" for c in codes[:5]]
+    texts += [f"{words(rng, 9)} hotline number is {c} for all callers {words(rng, 5)}" for c in codes]
+    texts += [f"{words(rng, 9)} write to {words(rng, 1)}@mail{i}.example.org with questions please {words(rng, 5)}" for i in range(8)]
+    texts += [f"{words(rng, 9)} write to max@localhost with questions please {words(rng, 5)}", f"{words(rng, 9)} seen at 4711@gate in 1987"]
+    got = {r.doc_id: r for r in pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    at = lambda d, v: f"{texts[d].index(v)}:{texts[d].index(v) + len(v)}"
+    for d, c in zip(range(12, 23), [*codes[:5], *codes]):
+        assert got[d].spans == f"phone:{at(d, c)}", d
+    assert got[31].spans == f"email:{at(31, 'max@localhost')}" and got[32].spans == ""
+
+
 def test_copies_of_a_text_give_no_support(spark):
     t = "reach me at +1 (222) 555-1234 any day"
     docs = spark.createDataFrame([(i, t) for i in range(9)] + [(9, "reach me at 555-7777 any day")], "doc_id bigint, text string")
@@ -259,3 +276,15 @@ def test_line_twin_has_the_same_rules(spark):
     assert got == want
     dropped = {r[0]: r[2] for r in got}
     assert dropped[0] == 0 and dropped[1] >= 3 and long_line not in dict((r[0], r[3]) for r in got)[4] and chinese not in dict((r[0], r[3]) for r in got)[7]
+
+
+def test_edited_and_partly_quoted_items(spark):
+    """One changed word in a short item, or most of it quoted, is enough; a few common windows of a longer one are not."""
+    rng = random.Random(13)
+    item, long_item = words(rng, 15).split(), words(rng, 60).split()
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(long_item))], "item_id bigint, text string")
+    put = lambda part: f"{words(rng, 20)} {' '.join(part)} {words(rng, 20)}"
+    texts = {1: put([*item[:7], "other", *item[8:]]), 2: put(item[2:13]), 3: put(item[:9]), 4: put([*item[:4], "other", *item[5:9], "word", *item[10:]]),
+             5: put([*long_item[:20], "other", *long_item[21:]]), 6: put(long_item[:30]), 7: put([])}
+    got = decontaminate.report(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (2, 1), (5, 2)}
