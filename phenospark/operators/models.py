@@ -24,7 +24,7 @@ from phenospark.operators.batched import penalty_path
 from phenospark.operators.evaluate import binary_metrics
 from phenospark.operators.keys import to_long, to_wide
 from phenospark.operators.profile import fit_medians
-from phenospark.operators.screen import pool_binary, select_features, training_rows
+from phenospark.operators.screen import pool_binary, pool_multiclass, select_features, training_rows
 from phenospark.operators.stats import rank_auc
 from phenospark.session import checkpointed
 
@@ -367,6 +367,48 @@ def nested_loco(facts: DataFrame, ids: Sequence[str], cohort: str = "cohort", ke
     return oof, spark.createDataFrame(chosen, "fold int, feature string")
 
 
+def coupled(pair: Mapping[tuple[int, int], Column], classes: Sequence[int]) -> dict[int, Column]:
+    """Class probabilities from ``pair[a, b]`` = P(b | a or b) of one-versus-one models: 1 / (sum over others of 1 / r - (k - 2)),
+    normalised. Exact where the pairwise probabilities agree with one distribution."""
+    def raw(a: int) -> Column:
+        inverse = [1 / F.greatest(1 - pair[a, b] if (a, b) in pair else pair[b, a], F.lit(1e-12)) for b in classes if b != a]
+        return 1 / (sum(inverse[1:], inverse[0]) - (len(classes) - 2))
+
+    each = {a: raw(a) for a in classes}
+    total = sum(list(each.values())[1:], each[classes[0]])
+    return {a: v / total for a, v in each.items()}
+
+
+def nested_multiclass(facts: DataFrame, ids: Sequence[str], label: str, classes: Sequence[int], cohort: str = "cohort", keep: int = 30, cs: Sequence[float] = C_GRID,
+                      folds: int = 3, protected: Sequence[str] = ()):
+    """Leave one cohort out with several classes: screen over all classes on the training cohorts (all folds in one job), tune an L1
+    path for every pair of classes there, and couple the pairs' probabilities on the cohort left out.
+
+    Returns (out-of-fold rows with label, proba_<class>, pred; selection rows (fold, pair, feature)). ``ids`` holds the id first
+    and the label column; rows without a label are not used."""
+    spark = facts.sparkSession
+    f = checkpointed(group_folds(facts.where(F.col(label).isin(*classes)), cohort))
+    names = [r[0] for r in f.select("fold").distinct().orderBy("fold").collect()]
+    pools = checkpointed(pool_multiclass(training_rows(f, "fold", names), label, classes, ["_fold"]))
+    oof, chosen = None, []
+    for k in names:
+        sel = select_features(f.where(F.col("fold") != k), pools.where(F.col("_fold") == k), keep, protected=protected)
+        frame = checkpointed(model_frame(f, [*ids, "fold"], sel))
+        cols = feature_columns(frame)
+        inner = checkpointed(stratified_folds(frame.where(F.col("fold") != k).drop("fold"), folds, 7, y=label, id_=ids[0]))
+        pair = {}
+        for i, a in enumerate(classes):
+            for b in classes[i + 1:]:
+                path = penalty_path(inner.where(F.col(label).isin(a, b)).withColumn("y", (F.col(label) == b).cast("int")), cols, cs, id_=ids[0])
+                pair[a, b] = 1 / (1 + F.exp(-path.models.margin(int(path.final[path.best]))))
+                chosen += [(int(k), f"{a}|{b}", sel[cols.index(c)]) for c in path.kept]
+        proba = coupled(pair, list(classes))
+        best = F.array_max(F.array(*[F.struct(v.alias("p"), F.lit(-c).alias("c")) for c, v in proba.items()]))  # ties to the smaller class
+        part = frame.where(F.col("fold") == k).select(*ids, "fold", *[v.alias(f"proba_{c}") for c, v in proba.items()], (-best["c"]).alias("pred"))
+        oof = part if oof is None else oof.unionByName(part)
+    return oof, spark.createDataFrame(chosen, "fold int, pair string, feature string")
+
+
 def selection_frequency(chosen: DataFrame, features: DataFrame, folds: int) -> DataFrame:
     """Times chosen over all features, zeros included."""
     n = chosen.groupBy("feature").agg(F.count_distinct("fold").alias("times"))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from phenospark.operators.components import connected_components, component_voxels
+from phenospark.session import checkpointed
 
 VOX = ["patient_id", "z", "y", "x"]
 # Short names of the five lobes.
@@ -213,20 +214,30 @@ def diaphragm_fill(mask: DataFrame, bottom: str = "max") -> DataFrame:
 
 def box_fractal_dimension(mask: DataFrame, keys: Sequence[str], sizes: Sequence[int] | None = None, meta: DataFrame | None = None) -> DataFrame:
     """Box-counting dimension. With ``meta``: powers of two up to the smallest edge, boxes at the volume origin, null
-    below three sizes. Without: the given ``sizes``, boxes at the bounding box."""
+    below three sizes. Without: the given ``sizes``, boxes at the bounding box.
+
+    Occupied boxes form a pyramid: a size is counted from the distinct boxes of the largest smaller size that divides it, so the
+    voxels are read once and every level has fewer rows than the one below.
+    """
     keys = list(keys)
+    axes = ("z", "y", "x")
     if meta is not None:
-        k = F.floor(F.log2(F.least("nx", "ny", "nz"))).cast("int")
-        m = meta.withColumn("_k", k).select(
-            "patient_id", F.when(F.col("_k") >= 2, F.transform(F.sequence(F.lit(2), F.greatest("_k", F.lit(2))), lambda i: F.pow(F.lit(2), i).cast("int"))).alias("_sizes"))
-        v = mask.join(m, "patient_id").withColumns({"_z0": F.lit(0), "_y0": F.lit(0), "_x0": F.lit(0)})
+        top = meta.select("patient_id", F.floor(F.log2(F.least("nx", "ny", "nz"))).cast("int").alias("_k")).where("_k >= 2")
+        v = mask.join(top, "patient_id").select(*keys, F.pow(F.lit(2), F.col("_k")).cast("int").alias("_top"), *axes)
+        most = top.agg(F.max("_k")).first()[0]
+        sizes = [2**i for i in range(2, (most or 2) + 1)]
     else:
-        box = mask.groupBy(*keys).agg(F.min("z").alias("_z0"), F.min("y").alias("_y0"), F.min("x").alias("_x0"))
-        v = mask.join(box, keys).withColumn("_sizes", F.array(*[F.lit(s) for s in sizes or (2, 4, 8, 16, 32)]))
-    v = v.withColumn("s", F.explode("_sizes"))
-    cell = [F.floor((F.col(a) - F.col(f"_{a}0")) / F.col("s")).alias(f"b{a}") for a in ("z", "y", "x")]
-    n = v.select(*keys, "s", *cell).distinct().groupBy(*keys, "s").agg(F.count("*").alias("n"))
-    return n.groupBy(*keys).agg(F.when(F.count("*") >= 3, -F.regr_slope(F.ln("n"), F.ln("s"))).alias("fractal_dimension"))
+        box = mask.groupBy(*keys).agg(*[F.min(a).alias(f"_{a}0") for a in axes])
+        sizes = sorted(set(sizes or (2, 4, 8, 16, 32)))
+        v = mask.join(box, keys).select(*keys, F.lit(max(sizes)).alias("_top"), *[(F.col(a) - F.col(f"_{a}0")).alias(a) for a in axes])
+    levels, counts = {1: v}, None
+    for s in sizes:
+        below = max(b for b in levels if s % b == 0)
+        cells = levels[below].where(F.col("_top") >= s).select(*keys, "_top", *[F.floor(F.col(a) / (s // below)).alias(a) for a in axes]).distinct()
+        levels[s] = checkpointed(cells)
+        n = levels[s].groupBy(*keys).agg(F.count("*").alias("n")).withColumn("s", F.lit(s))
+        counts = n if counts is None else counts.unionByName(n)
+    return counts.groupBy(*keys).agg(F.when(F.count("*") >= 3, -F.regr_slope(F.ln("n"), F.ln("s"))).alias("fractal_dimension"))
 
 
 def small_vessel_fraction(mask: DataFrame, meta: DataFrame, roi: str = "lung_vessels", spacing: str = "in_plane") -> DataFrame:

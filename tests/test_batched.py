@@ -4,8 +4,10 @@ import math
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from phenospark.operators import batched as B
+from phenospark.operators import models as M
 
 COLS = ["f0", "f1", "f2", "f3"]
 
@@ -132,3 +134,26 @@ def test_one_class_and_no_rows(spark):
     got, models = B.bootstrap_model_auc(df.where("y = 1"), COLS, 2)
     assert all(r.auc is None for r in got.collect()) and np.isinf(models.residual).all() and not models.beta.any()
     assert B.penalty_path(df.limit(0), COLS, (1.0,)).table[0][2] == -math.inf
+
+
+def test_coupling_recovers_one_distribution(spark):
+    p = {0: 0.2, 1: 0.5, 2: 0.3}
+    pair = {(a, b): F.lit(p[b] / (p[a] + p[b])) for a in p for b in p if a < b}
+    got = spark.range(1).select(*[v.alias(f"p{k}") for k, v in M.coupled(pair, [0, 1, 2]).items()]).first()
+    assert np.allclose(list(got), [0.2, 0.5, 0.3])
+
+
+def test_three_classes_leave_one_cohort_out(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(300):
+        c = rng.randrange(3)
+        for j in range(4):
+            rows.append((i, "abc"[i % 3], c, f"g{j}", rng.gauss(3 * (c == j), 1) if j < 3 else rng.gauss(0, 1)))
+    facts = spark.createDataFrame(rows, "patient_id bigint, cohort string, label bigint, feature string, value double")
+    oof, chosen = M.nested_multiclass(facts, ["patient_id", "cohort", "label"], "label", [0, 1, 2], keep=4, cs=(0.1, 1.0), folds=2)
+    got = oof.collect()
+    assert len(got) == 300 and len({r.patient_id for r in got}) == 300
+    assert all(abs(r.proba_0 + r.proba_1 + r.proba_2 - 1) < 1e-9 for r in got)
+    assert sum(r.pred == r.label for r in got) > 240
+    assert {r.fold for r in chosen.collect()} == {0, 1, 2} and {r.pair for r in chosen.collect()} == {"0|1", "0|2", "1|2"}
