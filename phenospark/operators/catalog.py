@@ -47,13 +47,15 @@ MEANINGS = (
     ("Vessel_Tortuosity", "肺血管", "↑ 风险↑"),
     ("Vessel_", "肺血管", "—"),
     ("^CAC_Agatston$", "钙化", "CAC ↑ 风险↑"),
-    ("^CAC_Mass_mg$|^CAC_Volume_mm3$", "钙化", "↑ 风险↑"),
+    ("^CAC_Mass_mg$", "钙化", "↑ 风险↑"),
+    ("^CAC_Volume_mm3$", "钙化", "↑ 风险↑"),
     ("^EpiFat_Volume_mm3$", "心包脂肪", "↑ 风险↑"),
     ("^EpiFat_Mean_HU$", "心包脂肪", "↑(更致密) 风险↑"),
     ("^FAI_pericoronary_HU$", "心包脂肪", "FAI ↑ 风险↑"),
     ("^CardioThoracic_Ratio$", "心脏", "↑ 风险↑"),
     ("^BronchoArtery_Ratio$", "气道", "↑ 风险↑"),
-    ("^PA_Equivalent_Diameter_mm$|PA_Ao_", "肺动脉", "↑ 风险↑"),
+    ("^PA_Equivalent_Diameter_mm$", "肺动脉", "↑ 风险↑"),
+    ("PA_Ao_", "肺动脉", "↑ 风险↑"),
     ("^Aorta_", "主动脉", "↑ 风险↑"),
     ("^RV_", "心脏", "↑ 风险↑"),
     ("^LV_", "心脏", "—"),
@@ -75,6 +77,11 @@ MEANINGS = (
     ("_(glcm|glrlm|glszm|gldm|ngtdm)_", "纹理", "—"),
 )
 
+# Filters, feature classes and keywords of families; the first that a name holds counts.
+FAMILY_FILTERS = ("original", "wavelet", "log-sigma")
+FAMILY_CLASSES = ("glcm", "glrlm", "glszm", "ngtdm", "firstorder")
+FAMILY_WORDS = ("vessel", "fractal", "bv", "pi10", "tortuosity", "td", "blur", "wall", "wa_", "lobe")
+
 
 def _starts(c: Column, prefixes: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, [c.startswith(p) for p in prefixes])
@@ -106,18 +113,16 @@ def split_family(c: Column, rule: str = "airway_first") -> Column:
     return out.when(_starts(c, RADIOMICS_EXTRA), "rad").otherwise("aq")
 
 
+def _first_held(c: Column, words: Sequence[str], default: str) -> Column:
+    return F.coalesce(*[F.when(c.contains(w), w) for w in words], F.lit(default))
+
+
 def feature_family(c: Column) -> Column:
     """structure :: filter :: class for structured names, a keyword otherwise."""
-    low = F.lower(c)
     roi, rest = F.substring_index(c, "::", 1), F.substring_index(c, "::", -1)
-    filt = reduce(lambda acc, k: acc.when(rest.contains(k), k), ["wavelet", "log-sigma"],
-                  F.when(rest.contains("original"), "original")).otherwise("other")
-    cls = reduce(lambda acc, k: acc.when(low.contains(k), k), ["glrlm", "glszm", "ngtdm", "firstorder"],
-                 F.when(low.contains("glcm"), "glcm")).otherwise("shape")
     short = F.when(roi.isin(*WHOLE_ROI), roi).otherwise(F.substring_index(roi, "_", 1))
-    words = ["fractal", "bv", "pi10", "tortuosity", "td", "blur", "wall", "wa_", "lobe"]
-    key = reduce(lambda acc, k: acc.when(low.contains(k), k), words, F.when(low.contains("vessel"), "vessel"))
-    return F.when(c.contains("::"), F.concat_ws("::", short, filt, cls)).otherwise(key.otherwise("other"))
+    structured = F.concat_ws("::", short, _first_held(rest, FAMILY_FILTERS, "other"), _first_held(F.lower(c), FAMILY_CLASSES, "shape"))
+    return F.when(c.contains("::"), structured).otherwise(_first_held(F.lower(c), FAMILY_WORDS, "other"))
 
 
 def composition_group(c: Column) -> Column:
