@@ -106,7 +106,8 @@ def contaminated(docs: DataFrame, bench: DataFrame, width: int = 5, share: float
 
 
 def report(docs: DataFrame, bench: DataFrame, item_col: str = "item_id", id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """(doc_id, item_id, n_windows, share, n_slots, n_changed): one row per contaminated row of ``docs`` and item."""
+    """(doc_id, item_id, n_windows, share, n_slots, n_changed): one row per contaminated row of ``docs`` and item. Null texts hold
+    nothing; null ids and repeated rows have rows of their own; items without an id are not looked for."""
     found = checked(contaminated(docs, bench, item_col=item_col, id_col=id_col, text_col=text_col, **options))
     d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"))
     return d.join(found, "key").select("doc_id", F.col("item").alias("item_id"), F.col("n_windows"), "share", "n_slots", "n_changed")

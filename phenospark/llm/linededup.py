@@ -143,7 +143,8 @@ def cleaned(text: Column, drop: Column) -> Column:
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Per row: doc_id, number of lines, number of dropped lines, and the text that is left."""
+    """Per row: doc_id, number of lines, number of dropped lines, and the text that is left. A null text is one empty line; copies
+    of a text lose the same lines; null ids and repeated rows keep their own row."""
     drops = recurring(docs, id_col=id_col, text_col=text_col, **options)
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), text_key(F.col(text_col)).alias("key"))

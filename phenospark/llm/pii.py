@@ -110,7 +110,8 @@ def discover(seen: DataFrame, rounds: int, min_support: int, confidence: float)
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
-    """Per row: doc_id, number of base spans of each kind, digest of the base spans, and the list of all spans."""
+    """Per row: doc_id, number of base spans of each kind, digest of the base spans, and the list of all spans. Null texts are empty;
+    null ids and repeated rows keep their own row; an empty table gives none."""
     r = find(docs, **options)
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint")
     return r.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)], F.sha2(listed(F.col("base"), KINDS), 256).alias("base_sha256"),

@@ -70,7 +70,7 @@ def find(docs: DataFrame, example_owners: int = 3, id_col: str = "doc_id", text_
 
 def report(docs: DataFrame, **options) -> DataFrame:
     """Per row: doc_id, number of base spans of each kind, digest of the base spans, the list of all spans, and how many
-    of them look live or are copied examples."""
+    of them look live or are copied examples. Null texts are empty; null ids and repeated rows keep their own row."""
     r = find(docs, **options)
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint")
     is_class = lambda c: F.size(F.filter("found", lambda s: s["class"] == c)).cast("bigint")

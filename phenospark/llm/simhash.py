@@ -9,7 +9,7 @@ components with checkpointed star steps.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -81,22 +81,24 @@ def ball(bits: int, radius: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for k in range(radius + 1) for c in combinations(range(bits), k)], np.uint64)
 
 
-def links(fps: DataFrame, distance: int = 4) -> DataFrame:
-    """(u, v) with u > v: links between distinct fingerprints ``fp`` at up to ``distance`` differing bits, enough to connect
-    every pair in reach: of the fingerprints that share a variant, each is linked to the smallest.
+def links(fps: DataFrame, distance: int = 4, by: Sequence[str] = ()) -> DataFrame:
+    """(by, u, v) with u > v: links between distinct fingerprints ``fp`` at up to ``distance`` differing bits, enough to connect
+    every pair in reach: of the fingerprints that share a variant, each is linked to the smallest. ``by`` names columns that
+    keep several sets of fingerprints apart.
 
     The number of prefix bits follows the number of fingerprints, so that a prefix gets about ``SLOT`` of them; a task spells
     out variants in slices of bounded size.
     """
     radius = (distance + 1) // 2
-    n = fps.count()
+    by = list(by)
+    n = fps.count() if not by else fps.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
     high = 0
     while high < 40 and n * len(ball(high, min(radius, high))) > SLOT << high:
         high += 1
     low = 64 - high
     reach = [int(x) for x in ball(high, min(radius, high))]
     # prefix bits that differ and, for each count of them, the flips that are left for the low bits
-    sent = fps.select("fp", F.explode(F.transform(
+    sent = fps.select(*by, "fp", F.explode(F.transform(
         F.array(*[F.lit(x) for x in reach]), lambda m: F.shiftrightunsigned("fp", low).bitwiseXOR(m) if high else F.lit(0).cast("bigint"))).alias("slot"))
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
@@ -136,9 +138,10 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
             pair = np.unique(own[own != small].astype(np.int64) << 32 | small[own != small])
             u.append(fp[pair >> 32])
             v.append(fp[pair & 0xFFFFFFFF])
-        return pd.DataFrame({"u": np.concatenate(u).astype(np.int64), "v": np.concatenate(v).astype(np.int64)})
+        return pd.DataFrame({**{b: group[b].iloc[0] for b in by}, "u": np.concatenate(u).astype(np.int64), "v": np.concatenate(v).astype(np.int64)})
 
-    found = sent.groupBy("slot").applyInPandas(meet, "u bigint, v bigint").distinct()
+    kinds = dict(fps.dtypes)
+    found = sent.groupBy(*by, "slot").applyInPandas(meet, "".join(f"{b} {kinds[b]}, " for b in by) + "u bigint, v bigint").distinct()
     return found.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance)
 
 
@@ -196,28 +199,27 @@ def shingle_set(text: Column, width: int) -> Column:
     return let(F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]++"), lambda w: w != ""), hashes)
 
 
-def near_links(docs: DataFrame, similarity: float = 0.8, width: int = 5, tables: int = 4, distance: int = 4, text_col: str = "text") -> DataFrame:
-    """(u, v), u > v: text hashes of near-duplicates whose sets of ``width``-word shingles have a Jaccard similarity of at least
-    ``similarity``. Candidates are the ball-hashing links of any of ``tables`` word fingerprints; texts with equal
-    fingerprints are linked through the one with the smallest hash; each candidate is verified on whole texts. Where a
-    candidate fails, the texts that it should have connected are matched anew (:func:`rematched`)."""
+def near_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, tables: int = 4, distance: int = 4, text_col: str = "text") -> DataFrame:
+    """(key, part): text hashes that have a near-duplicate, and the smallest text hash that they are linked to.
+
+    Texts are linked if their sets of ``width``-word shingles have a Jaccard similarity of at least ``similarity``. Candidates are
+    the ball-hashing links of any of ``tables`` word fingerprints; texts with equal fingerprints are linked through the one with
+    the smallest hash; each candidate is verified on whole texts. Where a candidate fails, the texts that it should have
+    connected are matched anew (:func:`rematched`)."""
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     texts = docs.select(key.alias("key"), F.col(text_col).alias("text"))
     rows = checkpointed(texts.select("key", word_fingerprints("text", tables).alias("fps")).groupBy("key").agg(F.first("fps").alias("fps")))
-    found = None
-    for k in range(tables):
-        of = checkpointed(rows.select("key", F.col("fps")[k].alias("fp")))
-        heads = of.groupBy("fp").agg(F.min("key").alias("head"))
-        same = of.join(heads, "fp").where("key <> head").select(F.col("key").alias("u"), F.col("head").alias("v"))
-        ball_links = links(heads.select("fp"), distance)
-        near = ball_links.join(heads.select(F.col("fp").alias("u"), F.col("head").alias("a")), "u").join(
-            heads.select(F.col("fp").alias("v"), F.col("head").alias("b")), "v").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        found = same.unionByName(near) if found is None else found.unionByName(same).unionByName(near)
-    pairs = checkpointed(found.distinct())
+    of = rows.select("key", F.posexplode("fps").alias("k", "fp"))
+    heads = checkpointed(of.groupBy("k", "fp").agg(F.min("key").alias("head")))
+    same = of.join(heads, ["k", "fp"]).where("key <> head").select(F.col("key").alias("u"), F.col("head").alias("v"))
+    near = links(heads.select("k", "fp"), distance, ["k"]).join(heads.select("k", F.col("fp").alias("u"), F.col("head").alias("a")), ["k", "u"]).join(
+        heads.select("k", F.col("fp").alias("v"), F.col("head").alias("b")), ["k", "v"]).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    pairs = checkpointed(same.unionByName(near).distinct())
     asked = pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct()
     sets = checkpointed(texts.join(checked(asked), "key", "left_semi").dropDuplicates(["key"]).select("key", shingle_set(F.coalesce("text", F.lit("")), width).alias("s")))
     good = checkpointed(verified(pairs, sets, similarity))
-    return rematched(pairs, good, sets, similarity)
+    labels = spread_labels(good, []).select(F.col("node").alias("key"), F.col("component").alias("part"))
+    return rematched(pairs, checkpointed(sets.select("key").join(labels, "key", "left").withColumn("part", F.coalesce("part", "key"))), sets, similarity)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -228,11 +230,11 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def prefixes(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(component, h, key, n, slots): the shingles by which similar texts of a candidate component must meet.
+    """(component, h, key, n): the shingles by which similar texts of a candidate component must meet.
 
     With shingles in order of their texts in the component, rarest first, two sets of that similarity share one among the first
     n - ceil(similarity * n) + 1 of either. Shingles of one text alone come first and meet nobody, so only their number
-    counts. slots is the power of two from the number of texts that a shingle has.
+    counts.
     """
     all_ = members.select("component", "key").join(sets, "key").select("component", "key", F.size("s").alias("n"), F.explode("s").alias("h"))
     shared = all_.groupBy("component", "h").agg(F.count("*").alias("c")).where("c > 1")
@@ -240,46 +242,41 @@ def prefixes(members: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     w = W.partitionBy("component", "key")
     ranked = mine.withColumn("at", F.row_number().over(w.orderBy("c", "h"))).withColumn("own", F.col("n") - F.count("*").over(w))  # one text a window
     reach = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1
-    return ranked.where(F.col("at") + F.col("own") <= reach).select("component", "h", "key", "n", F.pow(2.0, F.ceil(F.log2("c"))).cast("bigint").alias("slots"))
+    return ranked.where(F.col("at") + F.col("own") <= reach).select("component", "h", "key", "n")
+
+
+def relabelled(now: DataFrame, edges: DataFrame) -> DataFrame:
+    """``now`` with the parts that ``edges`` (u, v) connect merged into the smallest."""
+    wider = spread_labels(edges, []).select(F.col("node").alias("part"), F.col("component").alias("_c"))
+    return now.join(wider, "part", "left").withColumn("part", F.coalesce("_c", "part")).drop("_c")
 
 
-def rematched(pairs: DataFrame, good: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """``good`` and links that the stars of ``pairs`` missed because the head of a star was dissimilar to two similar members.
+def rematched(pairs: DataFrame, labels: DataFrame, sets: DataFrame, similarity: float, rounds: int = 2) -> DataFrame:
+    """``labels`` (key, part) with links added that the stars of ``pairs`` missed because the head of a star was dissimilar to two
+    similar members.
 
-    Candidate components whose texts are linked to one another already are done. Texts of the others meet by prefix shingles;
-    of the texts under a shingle ever more become heads, by the hash of their key, twice as many each round, until all are
-    linked or each has been head. A round compares heads with texts of other linked groups only, so a large group of near copies,
-    which the first heads connect, never emits its pairs.
+    Parts between which a candidate failed form components; texts of a component meet by prefix shingles, rarest first, so most
+    meetings are of a few texts. In each of ``rounds``, every shingle whose texts are not yet linked has another head, with which its
+    texts of other parts are compared: at most one candidate for a text and shingle, never the pairs of a group.
     """
-    nodes = spread_labels(pairs, []).withColumnRenamed("node", "key")
-    nodes = checkpointed(nodes.unionByName(nodes.select(F.col("component").alias("key"), "component").distinct()))
-
-    def parts(links_: DataFrame) -> DataFrame:
-        return nodes.join(spread_labels(links_, []).select(F.col("node").alias("key"), F.col("component").alias("part")), "key", "left").withColumn("part", F.coalesce("part", "key"))
-
-    split = lambda df, by: df.groupBy(*by).agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select(*by)
-    now = checkpointed(parts(good))
-    members = now.join(split(now, ["component"]), "component", "left_semi")
-    if members.isEmpty():
-        return good
-    index = checkpointed(prefixes(members, sets, similarity))
-    most = index.agg(F.max("slots")).first()[0]
-    first, wide = 0, 1
-    while most is not None and first < most:
-        entries = index.join(now.select("key", "part"), "key")
-        active = entries.join(split(entries, ["component", "h"]), ["component", "h"], "left_semi").withColumn("slot", F.pmod(F.xxhash64("key", "h"), F.col("slots")))
-        heads = active.where(F.col("slot").between(first, first + wide - 1))
-        meet = heads.select("component", "h", F.col("key").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na")).join(
-            active.select("component", "h", F.col("key").alias("b"), F.col("part").alias("pb"), F.col("n").alias("nb")), ["component", "h"])
-        meet = meet.where((F.col("pa") != F.col("pb")) & (F.least("na", "nb") >= similarity * F.greatest("na", "nb")))
-        fresh = checkpointed(verified(meet.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), sets, similarity))
-        first, wide = first + wide, 2 * wide
+    part = lambda side: labels.select(F.col("key").alias(side), F.col("part").alias(f"p{side}"))
+    failed = checkpointed(pairs.join(part("u"), "u").join(part("v"), "v").where("pu <> pv").select(F.col("pu").alias("u"), F.col("pv").alias("v")).distinct())
+    if failed.isEmpty():
+        return labels
+    component = spread_labels(failed, []).select(F.col("node").alias("part"), "component")
+    component = component.unionByName(component.select(F.col("component").alias("part"), "component").distinct())
+    now = checkpointed(labels.join(component, "part"))
+    index = checkpointed(prefixes(now, sets, similarity))
+    for r in range(rounds):
+        entries = checkpointed(index.join(now.select("key", "part"), "key"))
+        head = entries.groupBy("component", "h").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min_by(
+            F.struct(F.col("key").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na")), F.xxhash64(F.lit(r), "key")).alias("head")).where("lo <> hi").select("component", "h", "head.*")
+        meet = entries.join(head, ["component", "h"]).where((F.col("pa") != F.col("part")) & (F.least("na", "n") >= similarity * F.greatest("na", "n")))
+        fresh = checkpointed(verified(meet.select(F.greatest("a", "key").alias("u"), F.least("a", "key").alias("v")).distinct(), sets, similarity))
         if not fresh.isEmpty():
-            good = checkpointed(good.unionByName(fresh))
-            now = checkpointed(parts(good))
-        elif active.isEmpty():
-            break
-    return good
+            at = lambda side: now.select(F.col("key").alias(side), F.col("part").alias(f"p{side}"))
+            now = checkpointed(relabelled(now, fresh.join(at("u"), "u").join(at("v"), "v").select(F.col("pu").alias("u"), F.col("pv").alias("v"))))
+    return labels.join(now.select("key", F.col("part").alias("_p")), "key", "left").select("key", F.coalesce("_p", "part").alias("part"))
 
 
 def one_of_each(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -287,11 +284,11 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col
     no other), then the smallest text hash. Null and empty texts are one group; of rows with equal id and text one stays."""
     names = docs.columns
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    labels = spread_labels(near_links(docs, similarity, width, text_col=text_col), []).withColumnRenamed("node", "key")
+    labels = near_groups(docs, similarity, width, text_col=text_col)
     # one row per id and text first, so that copies of a text do not meet in one task
     ids = checkpointed(docs.select(F.col(id_col).alias("id"), key.alias("key")).groupBy("key", "id").agg(F.count("*").alias("n")))
     low = ids.groupBy("key").agg(F.min("id").alias("id"))
-    groups = low.join(labels, "key", "left").withColumn("group", F.coalesce("component", "key"))
+    groups = low.join(labels, "key", "left").withColumn("group", F.coalesce("part", "key"))
     stays = groups.groupBy("group").agg(F.min_by(F.struct("id", "key"), F.struct(F.col("id").isNull(), F.col("id"), F.col("key"))).alias("s")).select("s.id", "s.key")
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(id_col).alias("id"), key.alias("key"))
     kept = d.join(stays, d["key"].eqNullSafe(stays["key"]) & d["id"].eqNullSafe(stays["id"]), "left_semi")
