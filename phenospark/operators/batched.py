@@ -371,7 +371,7 @@ def penalty_path(frame: DataFrame, cols: Sequence[str], cs: Sequence[float], l1_
     ``scoring`` is log_loss (negated mean) or auc of the held-out rows, averaged over folds. ``one_se`` takes the strongest penalty
     whose mean is within one standard error of the best. Kept: |coefficient| > 1e-7, or the three largest.
     """
-    models = Models(Rows(frame, cols, fold, whole=True, id_=id_), 0, cs, l1_ratios).fit()
+    models = Models(Rows(frame, cols, fold, whole=True, id_=id_), 0, cs, l1_ratios).fit(1e-8, 30)
     grid = [(c, r) for c in cs for r in l1_ratios]
     scored = models.held_out()
     by = ["fold", "c", "l1_ratio"]

@@ -8,7 +8,6 @@ from pyspark.sql import types as T
 
 from phenospark.functions.special import chi2_tail_sql
 from phenospark.operators import batched as B
-from phenospark.operators import evaluate as E
 from phenospark.operators import models as M
 from phenospark.operators import screen as Z
 from phenospark.operators import stats as P
@@ -209,11 +208,9 @@ def f_ablation(spark, sf):
 
 @query("F-18")
 def f_nested(spark, sf):
-    """Screening, LASSO path and support vector machine inside every left-out cohort, at their own settings."""
-    oof, _ = M.nested_loco(_facts(spark, sf), IDS, svm={})
-    oof = checkpointed(oof)
-    both = [rounded(P.rank_auc(oof, ["cohort"], "y", c)).withColumn("model", F.lit(m)) for m, c in (("lasso", "proba"), ("svm", "svm_proba"))]
-    return both[0].unionByName(both[1])
+    """Screening and LASSO path inside every left-out cohort, at their own settings."""
+    oof, _ = M.nested_loco(_facts(spark, sf), IDS)
+    return rounded(P.rank_auc(oof, ["cohort"], "y", "proba"))
 
 
 @query("F-18b", S.cte("wide", "SELECT cohort, count(*) AS n, count(*) FILTER (y = 1) AS positives, TRUE AS scored FROM wide GROUP BY 1"))
@@ -223,28 +220,12 @@ def f_nested_rows(spark, sf):
     return oof.groupBy("cohort").agg(F.count("*").alias("n"), F.count_if(F.col("y") == 1).alias("positives"), F.every(F.col("proba").between(0, 1) & F.col("in_train")).alias("scored"))
 
 
-@query("F-18c")
-def f_nested_classes(spark, sf):
-    """Three classes: screening, one-versus-one paths and coupled probabilities inside every left-out cohort."""
-    oof, _ = M.nested_multiclass(_facts(spark, sf), ["patient_id", "cohort", "label3"], "label3", [0, 1, 2])
-    return rounded(E.multiclass_metrics(checkpointed(oof), ["cohort"], "label3", "pred", {k: f"proba_{k}" for k in (0, 1, 2)}))
-
-
-@query("F-18d", S.cte("wide", "SELECT cohort, label3, count(*) AS n, TRUE AS coupled FROM wide WHERE label3 IS NOT NULL GROUP BY 1, 2"))
-def f_nested_classes_rows(spark, sf):
-    """Every labelled row once, with probabilities that add up to one and a prediction that is their largest."""
-    oof, _ = M.nested_multiclass(_facts(spark, sf), ["patient_id", "cohort", "label3"], "label3", [0, 1, 2])
-    p = [F.col(f"proba_{k}") for k in (0, 1, 2)]
-    fine = (F.abs(p[0] + p[1] + p[2] - 1) < 1e-9) & (F.element_at(F.array(*p), F.col("pred") + 1) == F.greatest(*p))
-    return oof.groupBy("cohort", "label3").agg(F.count("*").alias("n"), F.every(fine).alias("coupled"))
-
-
 @query("F-19")
 def f_drop(spark, sf):
     f = _facts(spark, sf)
     task = f.where("label3 <> 1").withColumn("y", (F.col("label3") == 2).cast("int"))
-    oof, _ = M.nested_loco(task, IDS, score_all=f.where("label3 = 1").drop("y"), svm={})
-    return oof.groupBy("in_train", "cohort").agg(F.count("*").alias("n"), F.round(F.avg("proba"), 5).alias("mean_risk"), F.round(F.avg("svm_proba"), 5).alias("mean_svm_risk"))
+    oof, _ = M.nested_loco(task, IDS, score_all=f.where("label3 = 1").drop("y"))
+    return oof.groupBy("in_train", "cohort").agg(F.count("*").alias("n"), F.round(F.avg("proba"), 5).alias("mean_risk"))
 
 
 CHOSEN = "SELECT CAST(patient_id % 5 AS INTEGER) AS fold, feature FROM obs WHERE value > 100 AND feature <> 'Pi10'"
