@@ -190,7 +190,8 @@ def voxel_to_branch(voxels: DataFrame, line: DataFrame, reach: float = 6.0) -> D
     """Nearest centre-line point within ``reach`` for every voxel: (patient, coordinates, branch, d).
 
     Space is cut into cells of edge ``reach``; each centre-line point visits its 27 cells (the small side moves),
-    so a voxel meets only points of its own and adjacent cells, and ``min_by`` combines map-side.
+    so a voxel meets only points of its own and adjacent cells. Points grow 27-fold behind the planner's back, so the join
+    is told to sort and merge: it spills, whereas a broadcast of them is held by every executor.
     """
     def cell(c):
         return F.floor(F.col(c) / reach).cast("int")
@@ -201,7 +202,7 @@ def voxel_to_branch(voxels: DataFrame, line: DataFrame, reach: float = 6.0) -> D
     for c, q in (("cz", "pz"), ("cy", "py"), ("cx", "px")):
         p = p.withColumn("_s", F.explode(steps)).withColumn(c, F.floor(F.col(q) / reach).cast("int") + F.col("_s")).drop("_s")
     d2 = sum((F.col(a) - F.col(b)) * (F.col(a) - F.col(b)) for a, b in (("z", "pz"), ("y", "py"), ("x", "px")))
-    near = v.join(p, ["patient_id", "cz", "cy", "cx"]).withColumn("d2", d2).where(F.col("d2") <= reach * reach)
+    near = v.join(p.hint("merge"), ["patient_id", "cz", "cy", "cx"]).withColumn("d2", d2).where(F.col("d2") <= reach * reach)
     best = near.groupBy("patient_id", "z", "y", "x").agg(F.min(F.struct("d2", "branch")).alias("b"))
     return best.select("patient_id", "z", "y", "x", "b.branch", F.sqrt("b.d2").alias("d"))
 
