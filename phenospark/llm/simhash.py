@@ -25,6 +25,7 @@ from phenospark.session import checkpointed
 
 SLOT = 4096
 SLICE = 1 << 21
+COMMON = 32
 
 
 def fingerprint_of(text: str | None, width: int = 4, seed: int = 42) -> int:
@@ -199,84 +200,105 @@ def shingle_set(text: Column, width: int) -> Column:
     return let(F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]++"), lambda w: w != ""), hashes)
 
 
-def near_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, tables: int = 4, distance: int = 4, text_col: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, tables: int = 1, distance: int = 4, text_col: str = "text", rounds: int = 2) -> DataFrame:
     """(key, part): text hashes that have a near-duplicate, and the smallest text hash that they are linked to.
 
-    Texts are linked if their sets of ``width``-word shingles have a Jaccard similarity of at least ``similarity``. Candidates are
-    the ball-hashing links of any of ``tables`` word fingerprints; texts with equal fingerprints are linked through the one with
-    the smallest hash; each candidate is verified on whole texts. Where a candidate fails, the texts that it should have
-    connected are matched anew (:func:`rematched`)."""
+    Texts are linked if their sets of ``width``-word shingles have a Jaccard similarity of at least ``similarity``: all such links
+    count. First candidates are the ball-hashing links of ``tables`` word fingerprints, where texts with equal fingerprints meet the
+    one with the smallest hash. Then texts meet by prefix shingles (:func:`prefix_index`): in ``rounds`` each shingle's texts meet one
+    of them, and at last all texts of a shingle that are not linked yet meet each other, which misses none. Each candidate is
+    verified on whole texts."""
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    texts = docs.select(key.alias("key"), F.col(text_col).alias("text"))
+    texts = docs.select(key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = checkpointed(texts.select("key", word_fingerprints("text", tables).alias("fps")).groupBy("key").agg(F.first("fps").alias("fps")))
     of = rows.select("key", F.posexplode("fps").alias("k", "fp"))
     heads = checkpointed(of.groupBy("k", "fp").agg(F.min("key").alias("head")))
     same = of.join(heads, ["k", "fp"]).where("key <> head").select(F.col("key").alias("u"), F.col("head").alias("v"))
     near = links(heads.select("k", "fp"), distance, ["k"]).join(heads.select("k", F.col("fp").alias("u"), F.col("head").alias("a")), ["k", "u"]).join(
         heads.select("k", F.col("fp").alias("v"), F.col("head").alias("b")), ["k", "v"]).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    pairs = checkpointed(same.unionByName(near).distinct())
-    asked = pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct()
-    sets = checkpointed(texts.join(checked(asked), "key", "left_semi").dropDuplicates(["key"]).select("key", shingle_set(F.coalesce("text", F.lit("")), width).alias("s")))
-    good = checkpointed(verified(pairs, sets, similarity))
-    labels = spread_labels(good, []).select(F.col("node").alias("key"), F.col("component").alias("part"))
-    return rematched(pairs, checkpointed(sets.select("key").join(labels, "key", "left").withColumn("part", F.coalesce("part", "key"))), sets, similarity)
 
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = checkpointed(pairs.distinct())
+        asked = pairs.select(F.col("u").alias("key")).union(pairs.select("v"))
+        return checkpointed(verified(pairs, checkpointed(shingles_of(texts, asked, width)), similarity))
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose sets have a Jaccard similarity of at least ``similarity``."""
-    j = pairs.join(sets.select(F.col("key").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("key").alias("v"), F.col("s").alias("b")), "v")
-    both = F.size(F.array_intersect("a", "b"))
-    return j.where(both >= similarity * (F.size("a") + F.size("b") - both)).select("u", "v")
-
+    good = linked(same.unionByName(near))
+    index = checkpointed(prefix_index(texts, width, similarity))
+    for r in range(rounds + 1):
+        labels = checkpointed(spread_labels(good, []).select(F.col("node").alias("key"), F.col("component").alias("part")))
+        entries = checkpointed(unlinked(index, labels))
+        if entries.isEmpty():
+            return labels
+        good = good.unionByName(linked(meetings(entries, similarity, r if r < rounds else None)))
+    return spread_labels(good, []).select(F.col("node").alias("key"), F.col("component").alias("part"))
 
-def prefixes(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(component, h, key, n): the shingles by which similar texts of a candidate component must meet.
 
-    With shingles in order of their texts in the component, rarest first, two sets of that similarity share one among the first
-    n - ceil(similarity * n) + 1 of either. Shingles of one text alone come first and meet nobody, so only their number
-    counts.
-    """
-    all_ = members.select("component", "key").join(sets, "key").select("component", "key", F.size("s").alias("n"), F.explode("s").alias("h"))
-    shared = all_.groupBy("component", "h").agg(F.count("*").alias("c")).where("c > 1")
-    mine = all_.join(shared, ["component", "h"])
-    w = W.partitionBy("component", "key")
-    ranked = mine.withColumn("at", F.row_number().over(w.orderBy("c", "h"))).withColumn("own", F.col("n") - F.count("*").over(w))  # one text a window
-    reach = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1
-    return ranked.where(F.col("at") + F.col("own") <= reach).select("component", "h", "key", "n")
+def shingles_of(texts: DataFrame, asked: DataFrame, width: int) -> DataFrame:
+    """(key, s): the shingle sets of the texts whose key is ``asked`` for."""
+    return texts.join(checked(asked.select("key").distinct()), "key", "left_semi").dropDuplicates(["key"]).select("key", shingle_set(F.col("text"), width).alias("s"))
 
 
-def relabelled(now: DataFrame, edges: DataFrame) -> DataFrame:
-    """``now`` with the parts that ``edges`` (u, v) connect merged into the smallest."""
-    wider = spread_labels(edges, []).select(F.col("node").alias("part"), F.col("component").alias("_c"))
-    return now.join(wider, "part", "left").withColumn("part", F.coalesce("_c", "part")).drop("_c")
+def reach(n: Column | str, similarity: float) -> Column:
+    """Shingles of a set of ``n``, in any order common to all sets, among which every similar set has one of its own first ones."""
+    n = F.col(n) if isinstance(n, str) else n
+    return (n - F.ceil(similarity * n - 1e-9) + 1).cast("int")
 
 
-def rematched(pairs: DataFrame, labels: DataFrame, sets: DataFrame, similarity: float, rounds: int = 2) -> DataFrame:
-    """``labels`` (key, part) with links added that the stars of ``pairs`` missed because the head of a star was dissimilar to two
-    similar members.
+def prefix_index(texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(h, key, n, at): the shingles by which similar texts must meet, of those that two texts have; ``at`` counts from 1.
 
-    Parts between which a candidate failed form components; texts of a component meet by prefix shingles, rarest first, so most
-    meetings are of a few texts. In each of ``rounds``, every shingle whose texts are not yet linked has another head, with which its
-    texts of other parts are compared: at most one candidate for a text and shingle, never the pairs of a group.
+    The common order is that of the hashes, so a text's prefix needs no counts. Where that brings more than ``COMMON`` texts
+    under a shingle, the shingles that are as frequent among those texts go to the end of the order, frequent ones last, and the
+    texts with such a shingle in their prefix are ranked anew; the prefix of any other text is the same in both orders.
+    Texts without a word share one entry.
     """
-    part = lambda side: labels.select(F.col("key").alias(side), F.col("part").alias(f"p{side}"))
-    failed = checkpointed(pairs.join(part("u"), "u").join(part("v"), "v").where("pu <> pv").select(F.col("pu").alias("u"), F.col("pv").alias("v")).distinct())
-    if failed.isEmpty():
-        return labels
-    component = spread_labels(failed, []).select(F.col("node").alias("part"), "component")
-    component = component.unionByName(component.select(F.col("component").alias("part"), "component").distinct())
-    now = checkpointed(labels.join(component, "part"))
-    index = checkpointed(prefixes(now, sets, similarity))
-    for r in range(rounds):
-        entries = checkpointed(index.join(now.select("key", "part"), "key"))
-        head = entries.groupBy("component", "h").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min_by(
-            F.struct(F.col("key").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na")), F.xxhash64(F.lit(r), "key")).alias("head")).where("lo <> hi").select("component", "h", "head.*")
-        meet = entries.join(head, ["component", "h"]).where((F.col("pa") != F.col("part")) & (F.least("na", "n") >= similarity * F.greatest("na", "n")))
-        fresh = checkpointed(verified(meet.select(F.greatest("a", "key").alias("u"), F.least("a", "key").alias("v")).distinct(), sets, similarity))
-        if not fresh.isEmpty():
-            at = lambda side: now.select(F.col("key").alias(side), F.col("part").alias(f"p{side}"))
-            now = checkpointed(relabelled(now, fresh.join(at("u"), "u").join(at("v"), "v").select(F.col("pu").alias("u"), F.col("pv").alias("v"))))
-    return labels.join(now.select("key", F.col("part").alias("_p")), "key", "left").select("key", F.coalesce("_p", "part").alias("part"))
+    def entries(first: Column) -> Column:
+        return F.when(F.col("n") == 0, F.array(F.lit(0).cast("bigint"))).otherwise(first)
+
+    sets = texts.select("key", shingle_set(F.col("text"), width).alias("s")).select("key", F.size("s").alias("n"), F.sort_array("s").alias("s"))
+    own = checkpointed(sets.select("key", "n", entries(F.slice("s", 1, reach("n", similarity))).alias("s")).groupBy("key").agg(F.first("n").alias("n"), F.first("s").alias("s")))
+    met = own.select("key", "n", F.posexplode("s").alias("at", "h")).withColumn("at", F.col("at") + 1)
+    c = F.count("*").over(W.partitionBy("h"))
+    index = checkpointed(met.withColumn("c", c).where("c > 1"))
+    crowded = index.where((F.col("c") > COMMON) & (F.col("n") > 0)).select("key").distinct()
+    if crowded.isEmpty():
+        return index.drop("c")
+    spelled = shingles_of(texts, crowded, width).select("key", F.explode("s").alias("h"))
+    frequent = checked(spelled.groupBy("h").agg(F.count("*").alias("f")).where(F.col("f") > COMMON))
+    moved = checkpointed(own.select("key", F.explode("s").alias("h")).join(frequent, "h", "left_semi").select("key").distinct())
+    whole = shingles_of(texts, moved, width).select("key", F.size("s").alias("n"), F.explode("s").alias("h")).join(frequent, "h", "left")
+    # one text a window
+    ranked = whole.withColumn("at", F.row_number().over(W.partitionBy("key").orderBy(F.coalesce("f", F.lit(0)), "h"))).where(F.col("at") <= reach("n", similarity))
+    stay = met.join(moved.withColumn("_m", F.lit(True)), "key", "left").where("_m is null")
+    columns = ["h", "key", "n", "at"]
+    return stay.select(*columns).unionByName(ranked.select(*columns)).withColumn("c", c).where("c > 1").drop("c")
+
+
+def unlinked(index: DataFrame, labels: DataFrame) -> DataFrame:
+    """``index`` with each text's ``part``, of the shingles whose texts are not all of one part."""
+    e = index.join(labels, "key", "left").withColumn("part", F.coalesce("part", "key"))
+    open_ = e.groupBy("h").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("h")
+    return e.join(open_, "h", "left_semi")
+
+
+def meetings(entries: DataFrame, similarity: float, turn: int | None) -> DataFrame:
+    """(u, v): texts of different parts under a shingle that may be similar by their sizes and by what can follow the shingle. With
+    ``turn`` a shingle's texts meet one of them, another one at each turn; without, each other."""
+    a = entries.select("h", F.col("key").alias("u"), F.col("part").alias("pu"), F.col("n").alias("nu"), F.col("at").alias("iu"))
+    b = entries.select("h", F.col("key").alias("v"), F.col("part").alias("pv"), F.col("n").alias("nv"), F.col("at").alias("iv"))
+    if turn is not None:
+        b = b.groupBy("h").agg(F.min_by(F.struct("v", "pv", "nv", "iv"), F.xxhash64(F.lit(turn), "v")).alias("b")).select("h", "b.*")
+    need = similarity / (1 + similarity) * (F.col("nu") + F.col("nv")) - 1e-9
+    may = (F.least("nu", "nv") >= similarity * F.greatest("nu", "nv") - 1e-9) & (1 + F.least(F.col("nu") - F.col("iu"), F.col("nv") - F.col("iv")) >= need)
+    order = F.col("u") > F.col("v") if turn is None else F.lit(True)
+    return a.join(b, "h").where(order & (F.col("pu") != F.col("pv")) & may).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sets have a Jaccard similarity of at least ``similarity``."""
+    j = pairs.join(sets.select(F.col("key").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("key").alias("v"), F.col("s").alias("b")), "v")
+    both = F.size(F.array_intersect("a", "b"))
+    return j.where(both >= similarity * (F.size("a") + F.size("b") - both)).select("u", "v")
 
 
 def one_of_each(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -203,3 +203,46 @@ def test_vectors_that_take_no_part(spark):
     none = multiindex.usable(vectors(spark, []))
     assert multiindex.search(none, none).count() == 0
     assert u.where(F.lit(False)).count() == 0
+
+
+def brute_groups(rows, similarity=0.8):
+    """Smallest ids by all pairs of texts that share a shingle."""
+    sets, at = {}, {}
+    for d, text in rows:
+        w = (text or "").lower().split()
+        sets[d] = {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        for x in sets[d]:
+            at.setdefault(x, []).append(d)
+    pairs = {p for ds in at.values() if len(ds) > 1 for p in itertools.combinations(ds, 2)}
+    pairs = [(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])]
+    blank = [d for d in sets if not sets[d]]
+    ids = [d for d, _ in rows]
+    spot = {d: i for i, d in enumerate(ids)}
+    return {ids[i] for i in roots(len(ids), [(spot[a], spot[b]) for a, b in [*pairs, *zip(blank, blank[1:])]])}
+
+
+def test_every_link_at_the_threshold(spark):
+    """Two pairs of these documents between 0.8 and 0.84 have fingerprints too far apart; they are links all the same."""
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    got = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute_groups(rows)
+
+
+def test_every_link_under_common_shingles(spark, monkeypatch):
+    """Texts of a shared passage and own words: most prefixes hold shingles of all texts, chains link ends that are dissimilar."""
+    rng = random.Random(12)
+    passage = [f"p{i}" for i in range(40)]
+    rows = []
+    for i in range(60):
+        own = [f"t{i}_{j}" for j in range(rng.choice((3, 8, 12, 30)))]
+        rows.append((len(rows), " ".join(passage + own)))
+        for _ in range(rng.randrange(3)):
+            own = own[:-1] + [f"c{len(rows)}"]
+            rows.append((len(rows), " ".join(passage[: rng.choice((36, 40))] + own)))
+    rows += [(len(rows) + k, t) for k, t in enumerate(("", " ", "\n ", None, "one", "One", "two"))]
+    want = brute_groups(rows)
+    assert 10 < len(want) < len(rows) - 20
+    for common in (32, 3):
+        monkeypatch.setattr(simhash, "COMMON", common)
+        got = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+        assert got == want
