@@ -26,6 +26,7 @@ from phenospark.session import checkpointed
 SLOT = 4096
 SLICE = 1 << 21
 COMMON = 32
+SPELLED = 8
 
 
 def fingerprint_of(text: str | None, width: int = 4, seed: int = 42) -> int:
@@ -206,8 +207,8 @@ def near_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, tables
     Texts are linked if their sets of ``width``-word shingles have a Jaccard similarity of at least ``similarity``: all such links
     count. First candidates are the ball-hashing links of ``tables`` word fingerprints, where texts with equal fingerprints meet the
     one with the smallest hash. Then texts meet by prefix shingles (:func:`prefix_index`): in ``rounds`` each shingle's texts meet one
-    of them, and at last all texts of a shingle that are not linked yet meet each other, which misses none. Each candidate is
-    verified on whole texts."""
+    of them, which spares pairs where many texts share a shingle, and at last all texts of a shingle that are not linked yet meet each
+    other, which misses none. Candidates whose sketches differ too much go; each other one is verified on whole texts."""
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     texts = docs.select(key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = checkpointed(texts.select("key", word_fingerprints("text", tables).alias("fps")).groupBy("key").agg(F.first("fps").alias("fps")))
@@ -216,23 +217,60 @@ def near_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, tables
     same = of.join(heads, ["k", "fp"]).where("key <> head").select(F.col("key").alias("u"), F.col("head").alias("v"))
     near = links(heads.select("k", "fp"), distance, ["k"]).join(heads.select("k", F.col("fp").alias("u"), F.col("head").alias("a")), ["k", "u"]).join(
         heads.select("k", F.col("fp").alias("v"), F.col("head").alias("b")), ["k", "v"]).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    own = checkpointed(prefixes(texts, width, similarity))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        pairs = checkpointed(pairs.distinct())
-        asked = pairs.select(F.col("u").alias("key")).union(pairs.select("v"))
-        return checkpointed(verified(pairs, checkpointed(shingles_of(texts, asked, width)), similarity))
+        pairs = checkpointed(alike(checkpointed(pairs.distinct()), own, similarity))
+        return checkpointed(verified(pairs, checkpointed(shingles_of(texts, ends(pairs), width)), similarity))
 
     good = linked(same.unionByName(near))
-    index = checkpointed(prefix_index(texts, width, similarity))
-    for r in range(rounds + 1):
+    index = checkpointed(prefix_index(texts, own, width, similarity))
+    meet = index.agg(F.avg((F.col("c") - 1) / 2)).first()[0] or 0.0  # pairs an entry, all with all
+    for turn in [*(range(rounds) if meet > COMMON / 4 else ()), None]:
         labels = checkpointed(spread_labels(good, []).select(F.col("node").alias("key"), F.col("component").alias("part")))
         entries = checkpointed(unlinked(index, labels))
         if entries.isEmpty():
             return labels
-        good = good.unionByName(linked(meetings(entries, similarity, r if r < rounds else None)))
+        good = good.unionByName(linked(meetings(entries, similarity, turn)))
     return spread_labels(good, []).select(F.col("node").alias("key"), F.col("component").alias("part"))
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    """(key): the texts of the pairs."""
+    return pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct()
+
+
+def sketch(s: Column) -> Column:
+    """Column with the counts of a set's hashes by their lowest byte, 255 at most, as 256 bytes."""
+
+    @F.pandas_udf("binary")
+    def counts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for sets in batches:
+            yield pd.Series([np.minimum(np.bincount(np.asarray(h, np.int64) & 255, minlength=256), 255).astype(np.uint8).tobytes() for h in sets], dtype=object)
+
+    return counts(s)
+
+
+def sketch_distance(a: Column, b: Column) -> Column:
+    """Column with a lower bound of the number of hashes that are in one of two sets only, from their sketches."""
+
+    @F.pandas_udf("int")
+    def differ(a: pd.Series, b: pd.Series) -> pd.Series:
+        x, y = (np.frombuffer(b"".join(v), np.uint8).reshape(len(v), 256).astype(np.int32) for v in (a, b))
+        return pd.Series(np.abs(x - y).sum(axis=1).astype(np.int32))
+
+    return differ(a, b)
+
+
+def alike(pairs: DataFrame, own: DataFrame, similarity: float) -> DataFrame:
+    """The pairs that may be similar by their sketches; similar sets of n and m hashes differ in (1 - similarity) / (1 + similarity)
+    of n + m at most."""
+    sk = own.join(checked(ends(pairs)), "key", "left_semi").select("key", "n", "sk")
+    j = pairs.join(sk.toDF("u", "nu", "su"), "u").join(sk.toDF("v", "nv", "sv"), "v")
+    most = (1 - similarity) / (1 + similarity) * (F.col("nu") + F.col("nv")) + 1e-6
+    return j.where(sketch_distance(F.col("su"), F.col("sv")) <= most).select("u", "v")
+
+
 def shingles_of(texts: DataFrame, asked: DataFrame, width: int) -> DataFrame:
     """(key, s): the shingle sets of the texts whose key is ``asked`` for."""
     return texts.join(checked(asked.select("key").distinct()), "key", "left_semi").dropDuplicates(["key"]).select("key", shingle_set(F.col("text"), width).alias("s"))
@@ -244,39 +282,44 @@ def reach(n: Column | str, similarity: float) -> Column:
     return (n - F.ceil(similarity * n - 1e-9) + 1).cast("int")
 
 
-def prefix_index(texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(h, key, n, at): the shingles by which similar texts must meet, of those that two texts have; ``at`` counts from 1.
+def prefixes(texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(key, n, s, sk): size of each text's shingle set, the first hashes by which similar texts must meet, and its sketch.
+    Texts without a word share one entry."""
+    sets = texts.select("key", shingle_set(F.col("text"), width).alias("s")).select("key", F.size("s").alias("n"), F.sort_array("s").alias("s"))
+    first = F.when(F.col("n") == 0, F.array(F.lit(0).cast("bigint"))).otherwise(F.slice("s", 1, reach("n", similarity)))
+    return sets.select("key", "n", first.alias("s"), sketch(F.col("s")).alias("sk")).groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "s", "sk")])
+
+
+def prefix_index(texts: DataFrame, own: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(h, key, n, at, c): the shingles by which similar texts must meet, of those that two texts have; ``at`` counts from 1, ``c`` is
+    the number of texts.
 
     The common order is that of the hashes, so a text's prefix needs no counts. Where that brings more than ``COMMON`` texts
-    under a shingle, the shingles that are as frequent among those texts go to the end of the order, frequent ones last, and the
-    texts with such a shingle in their prefix are ranked anew; the prefix of any other text is the same in both orders.
-    Texts without a word share one entry.
+    under a shingle, this shingle and those that are as frequent among its texts go to the end of the order, frequent ones last, and
+    the texts with such a shingle in their prefix are ranked anew; the prefix of any other text is the same in both orders. Any order
+    finds all links, so one text in ``SPELLED`` is enough to see what is frequent among them.
     """
-    def entries(first: Column) -> Column:
-        return F.when(F.col("n") == 0, F.array(F.lit(0).cast("bigint"))).otherwise(first)
-
-    sets = texts.select("key", shingle_set(F.col("text"), width).alias("s")).select("key", F.size("s").alias("n"), F.sort_array("s").alias("s"))
-    own = checkpointed(sets.select("key", "n", entries(F.slice("s", 1, reach("n", similarity))).alias("s")).groupBy("key").agg(F.first("n").alias("n"), F.first("s").alias("s")))
     met = own.select("key", "n", F.posexplode("s").alias("at", "h")).withColumn("at", F.col("at") + 1)
     c = F.count("*").over(W.partitionBy("h"))
     index = checkpointed(met.withColumn("c", c).where("c > 1"))
-    crowded = index.where((F.col("c") > COMMON) & (F.col("n") > 0)).select("key").distinct()
-    if crowded.isEmpty():
-        return index.drop("c")
-    spelled = shingles_of(texts, crowded, width).select("key", F.explode("s").alias("h"))
-    frequent = checked(spelled.groupBy("h").agg(F.count("*").alias("f")).where(F.col("f") > COMMON))
-    moved = checkpointed(own.select("key", F.explode("s").alias("h")).join(frequent, "h", "left_semi").select("key").distinct())
+    many = index.where((F.col("c") > COMMON) & (F.col("n") > 0))
+    if many.isEmpty():
+        return index
+    some = many.where(F.pmod(F.xxhash64("key"), F.lit(SPELLED)) == 0).select("key").distinct()
+    spelled = shingles_of(texts, some, width).select("key", F.explode("s").alias("h")).groupBy("h").agg((F.count("*") * SPELLED).alias("f")).where(F.col("f") > COMMON)
+    frequent = checked(spelled.unionByName(many.groupBy("h").agg(F.max("c").alias("f"))).groupBy("h").agg(F.max("f").alias("f")))
+    moved = checkpointed(own.where("n > 0").select("key", F.explode("s").alias("h")).join(frequent, "h", "left_semi").select("key").distinct())
     whole = shingles_of(texts, moved, width).select("key", F.size("s").alias("n"), F.explode("s").alias("h")).join(frequent, "h", "left")
     # one text a window
     ranked = whole.withColumn("at", F.row_number().over(W.partitionBy("key").orderBy(F.coalesce("f", F.lit(0)), "h"))).where(F.col("at") <= reach("n", similarity))
-    stay = met.join(moved.withColumn("_m", F.lit(True)), "key", "left").where("_m is null")
+    stay = met.join(checked(moved), "key", "left_anti")
     columns = ["h", "key", "n", "at"]
-    return stay.select(*columns).unionByName(ranked.select(*columns)).withColumn("c", c).where("c > 1").drop("c")
+    return stay.select(*columns).unionByName(ranked.select(*columns)).withColumn("c", c).where("c > 1")
 
 
 def unlinked(index: DataFrame, labels: DataFrame) -> DataFrame:
     """``index`` with each text's ``part``, of the shingles whose texts are not all of one part."""
-    e = index.join(labels, "key", "left").withColumn("part", F.coalesce("part", "key"))
+    e = index.drop("c").join(checked(labels), "key", "left").withColumn("part", F.coalesce("part", "key"))
     open_ = e.groupBy("h").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("h")
     return e.join(open_, "h", "left_semi")
 
@@ -312,8 +355,10 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col
     low = ids.groupBy("key").agg(F.min("id").alias("id"))
     groups = low.join(labels, "key", "left").withColumn("group", F.coalesce("part", "key"))
     stays = groups.groupBy("group").agg(F.min_by(F.struct("id", "key"), F.struct(F.col("id").isNull(), F.col("id"), F.col("key"))).alias("s")).select("s.id", "s.key")
+    # the rows that go are few, so that the texts need no shuffle
+    goes = checked(ids.join(stays, ids["key"].eqNullSafe(stays["key"]) & ids["id"].eqNullSafe(stays["id"]), "left_anti").select("id", "key"))
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(id_col).alias("id"), key.alias("key"))
-    kept = d.join(stays, d["key"].eqNullSafe(stays["key"]) & d["id"].eqNullSafe(stays["id"]), "left_semi")
+    kept = d.join(goes, d["key"].eqNullSafe(goes["key"]) & d["id"].eqNullSafe(goes["id"]), "left_anti")
     if not ids.where("n > 1").isEmpty():
         kept = kept.dropDuplicates(["key", "id"])
     return kept.select("row.*")

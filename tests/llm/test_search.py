@@ -246,3 +246,30 @@ def test_every_link_under_common_shingles(spark, monkeypatch):
         monkeypatch.setattr(simhash, "COMMON", common)
         got = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
         assert got == want
+
+
+def test_sketches_bound_the_difference(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for n, new in ((0, 0), (3, 1), (50, 5), (500, 60), (500, 400), (90000, 4000)):
+        a = np.unique(rng.integers(-(2**63), 2**63 - 1, n))
+        b = np.concatenate([a[new:], np.unique(rng.integers(-(2**63), 2**63 - 1, new))])
+        rows.append((a.tolist(), b.tolist(), len(set(a.tolist()) ^ set(b.tolist()))))
+    df = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>, n int")
+    got = df.select("n", simhash.sketch_distance(simhash.sketch(F.col("a")), simhash.sketch(F.col("b"))).alias("d")).collect()
+    assert all(r.d <= r.n for r in got) and got[2].d > 0 and got[4].d > 200
+
+
+def test_near_duplicates_store_less_than_their_texts(spark, tmp_path):
+    """Candidates that share a few shingles are told apart by sketches; their whole sets are not stored."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    sc = spark.sparkContext
+    before = sc.getCheckpointDir()
+    sc.setCheckpointDir(str(tmp_path))
+    try:
+        simhash.one_of_each(docs).count()
+    finally:
+        if before:
+            sc.setCheckpointDir(before)
+    assert sum(p.stat().st_size for p in tmp_path.rglob("part-*")) < size
