@@ -7,14 +7,17 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phenospark.functions.prefix import prefix_sums, value_counts
 from phenospark.functions.special import chi2_tail_sql, normal_two_sided_sql
-from phenospark.session import checkpointed
+from phenospark.session import by_groups, checkpointed, take
 
 TIE_CHUNK = 1024
+PAIR_BLOCK = 1 << 16
 
 
 def kaplan_meier(df: DataFrame, by: Sequence[str], time: str = "time", status: str = "status") -> DataFrame:
@@ -164,37 +167,73 @@ def ph_check(df: DataFrame, fit: dict, time: str = "time", status: str = "status
     return one.unpivot([], covs, "feature", "rho")
 
 
+def _pairs_inside(table: pa.Table, starts: np.ndarray, score: str) -> dict:
+    """Concordant, discordant and tied pairs inside each block; different scores by the highest bit in which their ranks differ."""
+    ends = np.append(starts[1:], table.num_rows)
+    value, t = table.column(score).to_numpy(), table.column("_t").to_numpy()
+    e, c = (table.column(k).to_numpy().astype(np.int64) for k in ("e", "c"))
+    out = np.zeros((3, len(starts)), np.int64)
+    for k, (a, b) in enumerate(zip(starts, ends)):
+        order = np.argsort(t[a:b], kind="stable")[::-1] + a  # latest first
+        rank, own = np.unique(value[order], return_inverse=True)
+        when = np.unique(t[order], return_inverse=True)[1]
+        for lev in range(-1, (len(rank) - 1).bit_length()):
+            group = own >> (lev + 1)
+            by = np.argsort(group, kind="stable")
+            g, w, ev, ce = group[by], when[by], e[order[by]], c[order[by]]
+            bit = own[by] >> lev & 1 if lev >= 0 else np.zeros(len(by), np.int64)
+            fresh = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (w[1:] != w[:-1]))))  # one run per group and time
+            e0, e1, c0, c1 = (np.add.reduceat(np.where(bit == side, x, 0), fresh) for x in (ev, ce) for side in (0, 1))
+            g = g[fresh]
+            head = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+            later = []
+            for n, same in ((e0 + c0, c0), (e1 + c1, c1)):
+                before = np.cumsum(n) - n
+                later.append(before - np.repeat(before[head], np.diff(np.append(head, len(g)))) + same)
+            if lev < 0:
+                out[2, k] = (e0 * later[0]).sum()
+            else:
+                out[:2, k] += (e1 * later[0]).sum(), (e0 * later[1]).sum()
+    return dict(zip(("concordant", "discordant", "tied"), out))
+
+
 def concordance_index(df: DataFrame, keys: Sequence[str], score: str, time: str = "time", status: str = "status") -> DataFrame:
     """Harrell's c with ties and censoring, exactly and without pairs.
 
-    Two different scores are told apart by the highest bit in which their dense ranks differ. Per bit level the rows that
-    share the higher bits form a group, and the pairs split by this bit are counted with running sums over time: rows
-    times log2(distinct scores), never rows squared.
+    The scores of a key are cut into blocks of about ``PAIR_BLOCK`` rows; a score with more rows is a block of its own. Pairs of
+    scores in one block, ties among them, are counted there. Two blocks are told apart by the highest bit in which their numbers differ: per bit
+    level the blocks that share the higher bits form a group, and the pairs split by this bit are counted with running sums
+    over time, of at most one row per block, time and level. Ties of a score with a block of its own are counted by running sums.
     """
     keys = list(keys)
-    df = df.where(F.col(score).isNotNull())
-    vc = value_counts(df, keys, score, {"one": F.lit(1)}).withColumn("one", F.lit(1))
-    dense = prefix_sums(vc, keys, score, ["one"]).select(*keys, score, F.col("before_one").alias("_r"))
-    bits = max(1, int(dense.agg(F.max("_r")).first()[0] or 0).bit_length())
     ev = F.col(status) == 1
-    rows = df.join(dense, [*keys, score]).groupBy(*keys, "_r", F.col(time).alias("_t")).agg(
-        F.count_if(ev).alias("e"), F.count_if(~ev).alias("c"))
-    # level -1 compares equal scores: group = the score itself
-    lv = rows.withColumn("_lev", F.explode(F.array(*[F.lit(i) for i in range(-1, bits)])))
-    grp = F.when(F.col("_lev") < 0, F.col("_r")).otherwise(F.expr("shiftright(_r, _lev + 1)"))
-    bit = F.when(F.col("_lev") < 0, 0).otherwise(F.expr("shiftright(_r, greatest(_lev, 0)) % 2").cast("int"))
-    lv = lv.withColumns({"_g": grp, "_b": bit})
-    k2 = [*keys, "_lev", "_g"]
+    rows = df.where(F.col(score).isNotNull()).groupBy(*keys, score, F.col(time).alias("_t")).agg(F.count_if(ev).alias("e"), F.count_if(~ev).alias("c"))
+    vc = value_counts(rows, keys, score, {"n": F.lit(1)})
+    at = prefix_sums(vc, keys, score, ["n"]).select(
+        *keys, score, (2 * F.floor(F.col("before_n") / PAIR_BLOCK) + (F.col("n") >= PAIR_BLOCK).cast("int")).cast("bigint").alias("_r"))
+    rows = checkpointed(rows.join(at, [*keys, score]).where(F.col("_t").isNotNull()))
+    bits = max(1, int(rows.agg(F.max("_r")).first()[0] or 0).bit_length())
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "concordant bigint", "discordant bigint", "tied bigint"])
+    inside = by_groups(rows.where("_r % 2 = 0"), [*keys, "_r"], lambda table, starts: {
+        **{k: take(table, k, starts) for k in keys}, **_pairs_inside(table, starts, score)}, schema)
+    # pairs of blocks, and ties of the scores with a block of their own
     side = lambda c, b: F.when(F.col("_b") == b, F.col(c)).otherwise(0)
-    vc = value_counts(lv, k2, "_t", {"e0": side("e", 0), "e1": side("e", 1), "n0": side("e", 0) + side("c", 0), "n1": side("e", 1) + side("c", 1)})
-    t = prefix_sums(vc, k2, "_t", ["n0", "n1"], descending=True)
-    later0 = F.col("before_n0") + F.col("n0") - F.col("e0")
-    later1 = F.col("before_n1") + F.col("n1") - F.col("e1")
-    real = F.col("_lev") >= 0
-    g = t.groupBy(*keys).agg(
-        F.sum(F.when(real, F.col("e1") * later0).otherwise(0)).alias("concordant"),
-        F.sum(F.when(real, F.col("e0") * later1).otherwise(0)).alias("discordant"),
-        F.sum(F.when(~real, F.col("e0") * later0).otherwise(0)).alias("tied"))
+    sums = {"e0": side("e", 0), "e1": side("e", 1), "n0": side("e", 0) + side("c", 0), "n1": side("e", 1) + side("c", 1)}
+    blocks = rows.groupBy(*keys, "_r", "_t").agg(F.sum("e").alias("e"), F.sum("c").alias("c"))
+    lv = blocks.withColumn("_lev", F.explode(F.array(*[F.lit(i) for i in range(bits)]))).withColumns(
+        {"_g": F.expr("shiftright(_r, _lev + 1)"), "_b": F.expr("shiftright(_r, _lev) % 2").cast("int")})
+
+    def split(v: DataFrame, groups: Sequence[str]) -> DataFrame:
+        t = prefix_sums(value_counts(v, groups, "_t", sums), groups, "_t", ["n0", "n1"], descending=True)
+        return t.withColumns({"l0": F.col("before_n0") + F.col("n0") - F.col("e0"), "l1": F.col("before_n1") + F.col("n1") - F.col("e1")})
+
+    none = F.lit(0).cast("bigint")
+    between = split(lv, [*keys, "_lev", "_g"]).groupBy(*keys).agg(F.sum(F.col("e1") * F.col("l0")).alias("concordant"), F.sum(F.col("e0") * F.col("l1")).alias("discordant"))
+    equal = split(rows.where("_r % 2 = 1").withColumn("_b", F.lit(0)), [*keys, score]).groupBy(*keys).agg(F.sum(F.col("e0") * F.col("l0")).alias("tied"))
+    parts = inside.unionByName(between.withColumn("tied", none)).unionByName(
+        equal.select(*keys, none.alias("concordant"), none.alias("discordant"), "tied"))
+    g = parts.groupBy(*keys).agg(*[F.sum(k).alias(k) for k in ("concordant", "discordant", "tied")])
     return g.withColumn("c_index", F.try_divide(F.col("concordant") + F.col("tied") / 2, F.col("concordant") + F.col("discordant") + F.col("tied")))
 
 

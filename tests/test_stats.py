@@ -104,6 +104,25 @@ def test_cox_and_concordance(spark):
     assert (got.concordant, got.discordant, got.tied) == (con, dis, tie)
 
 
+def test_concordance_in_blocks(spark, monkeypatch):
+    """Any cut into blocks counts the same pairs, and few rows for each given one, whatever the number of scores."""
+    rng = np.random.default_rng(8)
+    n = 400
+    x = np.where(rng.random(n) < 0.3, 0.5, rng.normal(size=n).round(2))
+    t, d = rng.integers(1, 30, n), rng.integers(0, 2, n)
+    df = spark.createDataFrame([(k, float(x[i]) * (1 if k == "a" else -2), int(t[i]), int(d[i])) for i in range(n) for k in "ab"], "feature string, value double, time int, status int")
+    may = (d[:, None] == 1) & ((t[None] > t[:, None]) | ((t[None] == t[:, None]) & (d[None] == 0))) & ~np.eye(n, dtype=bool)
+    con, dis, tie = (int((may & m).sum()) for m in (x[:, None] > x[None], x[:, None] < x[None], x[:, None] == x[None]))
+    for block in (4, 50, 1 << 16):
+        monkeypatch.setattr(R, "PAIR_BLOCK", block)
+        got = {r.feature: (r.concordant, r.discordant, r.tied) for r in R.concordance_index(df, ["feature"], "value").collect()}
+        assert got == {"a": (con, dis, tie), "b": (dis, con, tie)}
+    counted, plain = [], R.value_counts
+    monkeypatch.setattr(R, "value_counts", lambda df, *a, **k: counted.append(df.count()) or plain(df, *a, **k))
+    R.concordance_index(df, ["feature"], "value").collect()
+    assert sum(counted) <= 2 * df.count()
+
+
 def test_folds_and_ridge_optimum(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(300, 2))
