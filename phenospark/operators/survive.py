@@ -99,14 +99,15 @@ def _newton_sums(t: DataFrame, keys: Sequence[str], n_cov: int, ties: str) -> Da
 
 def cox_univariate(facts: DataFrame, key: str = "feature", value: str = "value", time: str = "time", status: str = "status",
                    ties: str = "efron", rounds: int = 8, concordance: bool = False) -> DataFrame:
-    """One Cox model per feature, all in the same Newton rounds: coefficient, se, hazard ratio with interval, p."""
+    """One Cox model per feature, all in the same Newton rounds: coefficient, se, hazard ratio with interval, p. The coefficients, one
+    row per feature, are broadcast, so that no round shuffles the rows by feature."""
     x = facts.where(F.col(value).isNotNull())
     st = x.groupBy(key).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s")).where("_s > 0")
-    x = x.join(st, key).select(key, time, status, ((F.col(value) - F.col("_m")) / F.col("_s")).alias("_x"))
+    x = x.join(F.broadcast(st), key).select(key, time, status, ((F.col(value) - F.col("_m")) / F.col("_s")).alias("_x"))
     x = x.persist()  # read once per round; given back below
     beta = st.select(key, "_s", F.lit(0.0).alias("b"))
     for i in range(rounds):
-        rows = x.join(beta.select(key, "b"), key).withColumn("_bx", F.col("b") * F.col("_x")).withColumn("_w", F.exp("_bx"))
+        rows = x.join(F.broadcast(beta.select(key, "b")), key).withColumn("_bx", F.col("b") * F.col("_x")).withColumn("_w", F.exp("_bx"))
         sums = _newton_sums(_risk_sums(rows, [key], ["_x"], time, status, None), [key], 1, ties)
         # one row per feature
         step = beta.select(key, "_s", "b").join(sums, key).select(key, "_s", (F.col("b") + F.try_divide("g_0", "h_0_0")).alias("b"), F.abs(F.try_divide("g_0", "h_0_0")).alias("_d"), "h_0_0", "loglik", "events")

@@ -123,6 +123,16 @@ def test_concordance_in_blocks(spark, monkeypatch):
     assert sum(counted) <= 2 * df.count()
 
 
+def test_cox_rounds_leave_the_rows_where_they_are(spark, monkeypatch):
+    """The coefficients go to the rows: no join of a round shuffles the rows by feature."""
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([("ab"[i % 2], float(rng.normal()), int(rng.integers(1, 9)), int(i % 3 > 0)) for i in range(90)], "feature string, value double, time int, status int")
+    plans, plain = [], R._risk_sums
+    monkeypatch.setattr(R, "_risk_sums", lambda rows, *a: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or plain(rows, *a))
+    R.cox_univariate(df).collect()
+    assert plans and all("BroadcastHashJoin" in p and "SortMergeJoin" not in p for p in plans)
+
+
 def test_folds_and_ridge_optimum(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(300, 2))
