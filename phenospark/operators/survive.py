@@ -126,28 +126,31 @@ def cox_univariate(facts: DataFrame, key: str = "feature", value: str = "value",
 
 
 def cox_multivariate(df: DataFrame, covs: Sequence[str], time: str = "time", status: str = "status", strata: str | None = None,
-                     start: str | None = None, ties: str = "efron", rounds: int = 12) -> dict:
+                     start: str | None = None, ties: str = "efron", rounds: int = 12, first: Sequence[float] | None = None) -> dict:
     """Several covariates; strata have their own risk sets, ``start`` gives delayed entry. Each round brings p*p sums to
-    the driver, nothing else. Returns names, coefficients, covariance and log-likelihoods."""
+    the driver, nothing else. Returns names, coefficients, covariance, log-likelihoods and the number of rounds. ``first`` is where the
+    rounds begin instead of at zero; there is no log-likelihood of the empty model then."""
     covs, p = list(covs), len(covs)
     cent = df.agg(*[F.avg(c) for c in covs]).first()
     keys = [strata] if strata else []
     x = df.select(*keys, time, status, *([start] if start else []), *[(F.col(c) - F.lit(m)).alias(c) for c, m in zip(covs, cent)])
-    x = x.persist()  # read once per round; given back below
-    b, ll0 = np.zeros(p), None
-    for _ in range(rounds):
+    if not df.is_cached:
+        x.persist()  # read once per round; given back below
+    b, ll0 = np.zeros(p) if first is None else np.array(first, float), None
+    for done in range(1, rounds + 1):
         bx = sum((F.lit(float(v)) * F.col(c) for v, c in zip(b[1:], covs[1:])), F.lit(float(b[0])) * F.col(covs[0]))
         rows = x.withColumn("_bx", bx).withColumn("_w", F.exp("_bx"))
         r = _newton_sums(_risk_sums(rows, keys, covs, time, status, start), [], p, ties).first()
         g = np.array([r[f"g_{i}"] for i in range(p)])
         h = np.array([[r[f"h_{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)])
-        ll0 = r["loglik"] if ll0 is None else ll0
+        ll0 = r["loglik"] if ll0 is None and first is None else ll0
         step = np.linalg.solve(h, g)
         b = b + step
         if np.abs(step).max() < 1e-9:
             break
-    x.unpersist()
-    return {"names": covs, "coef": b, "cov": np.linalg.inv(h), "loglik": r["loglik"], "loglik0": ll0, "events": r["events"]}
+    if not df.is_cached:
+        x.unpersist()
+    return {"names": covs, "coef": b, "cov": np.linalg.inv(h), "loglik": r["loglik"], "loglik0": ll0, "events": r["events"], "rounds": done}
 
 
 def cox_table(spark, fit: dict) -> DataFrame:
@@ -242,16 +245,23 @@ def risk_group(df: DataFrame, score: str, cut: float) -> DataFrame:
     return df.withColumn("risk_group", F.when(F.col(score) > cut, 1).otherwise(-1))
 
 
-def backward_aic(df: DataFrame, covs: Sequence[str], **kw) -> list[dict]:
-    """Stepwise removal by AIC (few covariates): the path of models, best last."""
+def backward_aic(df: DataFrame, covs: Sequence[str], time: str = "time", status: str = "status", strata: str | None = None,
+                 start: str | None = None, **kw) -> list[dict]:
+    """Stepwise removal by AIC (few covariates): the path of models, best last. The rows are read once and kept for all models; a
+    smaller model begins at the coefficients of the larger one."""
     aic = lambda f: -2 * f["loglik"] + 2 * len(f["names"])
-    fit = cox_multivariate(df, covs, **kw)
-    path = [{"names": list(fit["names"]), "aic": aic(fit)}]
-    while len(path[-1]["names"]) > 1:
-        now = path[-1]["names"]
-        tries = [cox_multivariate(df, [c for c in now if c != d], **kw) for d in now]
-        best = min(tries, key=aic)
-        if aic(best) >= path[-1]["aic"]:
-            break
-        path.append({"names": list(best["names"]), "aic": aic(best)})
+    df = df.select(*dict.fromkeys([*covs, time, status, *([strata] if strata else []), *([start] if start else [])])).persist()
+    try:
+        best = cox_multivariate(df, covs, time, status, strata, start, **kw)
+        path = [{"names": list(best["names"]), "aic": aic(best), "rounds": best["rounds"]}]
+        while len(path[-1]["names"]) > 1:
+            now = dict(zip(best["names"], best["coef"]))
+            tries = [cox_multivariate(df, [c for c in now if c != d], time, status, strata, start, first=[b for c, b in now.items() if c != d], **kw) for d in now]
+            smaller = min(tries, key=aic)
+            if aic(smaller) >= path[-1]["aic"]:
+                break
+            best = smaller
+            path.append({"names": list(best["names"]), "aic": aic(best), "rounds": best["rounds"]})
+    finally:
+        df.unpersist()
     return path

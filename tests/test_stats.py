@@ -133,6 +133,18 @@ def test_cox_rounds_leave_the_rows_where_they_are(spark, monkeypatch):
     assert plans and all("BroadcastHashJoin" in p and "SortMergeJoin" not in p for p in plans)
 
 
+def test_smaller_models_begin_at_the_larger_one(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 3))
+    t, d = np.ceil(20 * rng.exponential(np.exp(-1.5 * x[:, 0]))).astype(int), (rng.random(200) < 0.8).astype(int)
+    df = spark.createDataFrame([(float(x[i, 0]), float(x[i, 1]), float(x[i, 2]), int(t[i]), int(d[i])) for i in range(200)], "a double, b double, c double, time int, status int")
+    path = R.backward_aic(df, ["a", "b", "c"])
+    assert [p["names"] for p in path] == [["a", "b", "c"], ["a", "c"]]
+    whole = R.cox_multivariate(df, ["a", "c"])
+    assert abs(path[1]["aic"] - (4 - 2 * whole["loglik"])) < 1e-7
+    assert path[1]["rounds"] < whole["rounds"]
+
+
 def test_folds_and_ridge_optimum(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(300, 2))
