@@ -59,7 +59,7 @@ def io_patient_number(spark, sf):
 def io_branches(spark, sf):
     root = sinks.scratch_dir(spark, "branches")
     b = S.branch(spark, sf).withColumn("folder", F.concat(F.col("patient_id"), F.lit("_branches")))
-    b.select("folder", "generation", "WA_pct").repartition("folder").write.partitionBy("folder").csv(root, header=True)
+    sinks.write_folders_csv(b.select("folder", "generation", "WA_pct"), root, "folder")
     side = S.table(spark, sf, "supplier").select(
         F.col("s_suppkey").cast("string").alias("patient"), (F.col("s_suppkey") * 2).alias("num_measured"))
     df = tables.read_branch_metrics(spark, root, "generation INT, WA_pct DOUBLE", side)

@@ -71,12 +71,15 @@ def patient_number(info: Column) -> Column:
 
 def read_branch_metrics(spark: SparkSession, root: str, schema: str, sidecars: DataFrame | None = None,
                         glob: str = "*.csv", pattern: str = r"([^/=]+?)(?:_[a-z]+)?/[^/]*$") -> DataFrame:
-    """Per-patient branch tables below ``root``; the patient comes from the path, side information joins left."""
+    """Per-patient branch tables below ``root``; the patient comes from the path, side information joins left.
+
+    ``pattern`` sees the last folder and the file name only: a search over the whole path costs more per row than its parsing.
+    """
     df = (
         spark.read.schema(schema)
         .option("header", True).option("pathGlobFilter", glob).option("recursiveFileLookup", True)
         .csv(root)
-        .withColumn("patient", F.regexp_extract(F.col("_metadata.file_path"), pattern, 1))
+        .withColumn("patient", F.regexp_extract(F.substring_index(F.col("_metadata.file_path"), "/", -2), pattern, 1))
     )
     return df if sidecars is None else df.join(sidecars, "patient", "left")
 
