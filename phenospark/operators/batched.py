@@ -17,15 +17,20 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from phenospark.functions.prefix import prefix_sums, value_counts
+from phenospark.functions.prefix import prefix_sums, value_counts, with_blocks
 from phenospark.operators.keys import to_long
-from phenospark.session import checkpointed
+from phenospark.session import stored_for_passes
 
 CHUNK = 4096
+CELLS = 1 << 18  # sums over this many (row, model) cells at a time stay in the caches
 # Poisson(1) distribution function in 32 bits: a draw is the number of steps at or under a hash.
 STEPS = [math.floor(2**32 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(12)]
+_AT = np.array(STEPS, np.uint32)
+_UPPER = np.searchsorted(_AT, np.arange(1 << 16, dtype=np.uint32) << np.uint32(16), side="right").astype(float)  # draws by the upper half of a hash
+_SPLIT = np.isin(np.arange(1 << 16), _AT >> np.uint32(16))  # upper halves within which a step lies
 
 
 # ---- resampling weights ---------------------------------------------------------------------------------------------------------------
@@ -41,8 +46,16 @@ def draws(keys: np.ndarray, replicas: np.ndarray, seed: int) -> np.ndarray:
     """Rows x replicas of Poisson(1) counts that depend on key, replica and seed only."""
     k = keys.astype(np.int64).view(np.uint64)
     start = mix32(k & np.uint64(0xFFFFFFFF) ^ mix32((k >> np.uint64(32)) + np.uint64(seed) & np.uint64(0xFFFFFFFF)))
-    h = mix32(start[:, None] + replicas.astype(np.uint64)[None] * np.uint64(0x9E3779B9) & np.uint64(0xFFFFFFFF))
-    return np.searchsorted(np.array(STEPS, np.uint64), h, side="right").astype(float)
+    h = start.astype(np.uint32)[:, None] + (replicas.astype(np.uint64) * np.uint64(0x9E3779B9)).astype(np.uint32)[None]
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):  # mix32 in 32 bits, which wrap
+        h ^= h >> np.uint32(shift)
+        h *= np.uint32(factor)
+    h ^= h >> np.uint32(16)
+    upper = h >> np.uint32(16)
+    out = _UPPER[upper]
+    close = _SPLIT[upper]
+    out[close] = np.searchsorted(_AT, h[close], side="right")
+    return out
 
 
 # ---- rows -------------------------------------------------------------------------------------------------------------------------------
@@ -55,7 +68,8 @@ class Rows:
         key = F.col(id_) if dict(frame.dtypes)[id_] == "bigint" else F.xxhash64(id_)
         part = F.lit(-2) if fold is None else F.col(fold).cast("int")
         self.cols = list(cols)
-        self.df = checkpointed(frame.where(F.col(y).isNotNull()).select(key.alias("key"), F.col(y).cast("int").alias("y"), part.alias("fold"), *[F.col(c).cast("double").alias(c) for c in self.cols]))
+        kept = frame.where(F.col(y).isNotNull()).select(key.alias("key"), F.col(y).cast("int").alias("y"), part.alias("fold"), *[F.col(c).cast("double").alias(c) for c in self.cols])
+        self.df = stored_for_passes(kept, "key")
         stats = self.df.agg(F.collect_set("fold").alias("folds"), *[F.avg(c).alias(f"m_{c}") for c in self.cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in self.cols]).first()
         self.folds = sorted(f for f in stats["folds"] if f >= 0)
         self.held = [*self.folds, *([-1] if whole or not self.folds else [])]
@@ -82,7 +96,7 @@ class Rows:
 
     def tally(self, step: Callable[..., np.ndarray], n: int, width: int) -> np.ndarray:
         """The n x width sums of ``step(x, y, fold, key)`` over blocks of rows; x is on the common scale, missing cells are NaN."""
-        center, spread, chunk = self.center, self.spread, CHUNK
+        center, spread, chunk = self.center, self.spread, min(CHUNK, max(256, CELLS // max(n, 1)))
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((n, width))
@@ -169,25 +183,29 @@ class Models:
         """Loss, gradient and Gram matrix of the models ``which`` at ``beta``, on their own scales: one pass over the rows."""
         p, t = self.p, self._affine(which)
         raw = np.einsum("mij,mj->mi", t, beta)
-        sets, reps, cw, held, median, weights = self.set[which], np.maximum(self.replica[which], 0), self.class_w[which], self.rows.held, self.rows.median, self._weights()
+        sets, cw, held, median, weights = self.set[which], self.class_w[which], self.rows.held, self.rows.median, self._weights()
         iu, ju = np.triu_indices(p + 1)
+        different, back = np.unique(np.maximum(self.replica[which], 0), return_inverse=True)
 
         def step(x, y, fold, key):
             out = np.zeros((len(raw), 1 + p + 1 + len(iu)))
+            drawn = weights(key, different)
             for s in np.unique(sets):
-                inside = fold != held[s]
-                xs = x[inside]
-                if not len(xs):
+                inside = np.flatnonzero(fold != held[s])
+                if not len(inside):
                     continue
-                ys, a = y[inside], np.column_stack([np.ones(len(xs)), np.where(np.isnan(xs), median[s], xs)])
+                xs, ys = x[inside], y[inside]
+                a = np.column_stack([np.ones(len(xs)), np.where(np.isnan(xs), median[s], xs)])
                 m = np.flatnonzero(sets == s)
-                different, back = np.unique(reps[m], return_inverse=True)
-                w = weights(key[inside], different)[:, back] * cw[m][:, ys].T
+                own = drawn[inside]
+                w = (own if len(m) == len(different) and (back[m] == np.arange(len(m))).all() else own[:, back[m]]) * np.ascontiguousarray(cw[m].T)[ys]
                 z = a @ raw[m].T
-                prob = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
-                out[m, 0] = (w * (np.logaddexp(0, z) - ys[:, None] * z)).sum(axis=0)
-                out[m, 1:p + 2] = (w * (prob - ys[:, None])).T @ a
-                out[m, p + 2:] = (w * prob * (1 - prob)).T @ (a[:, iu] * a[:, ju])
+                e = np.exp(-np.abs(z))
+                r = 1 / (1 + e)
+                loss = np.maximum(z, 0.0) - np.log(r) - ys[:, None] * z
+                out[m, 0] = np.einsum("ij,ij->j", w, loss)
+                out[m, 1:p + 2] = (w * (np.where(z >= 0, r, e * r) - ys[:, None])).T @ a
+                out[m, p + 2:] = (w * (e * r * r)).T @ (a[:, iu] * a[:, ju])
             return out
 
         got = self.rows.tally(step, len(raw), 1 + p + 1 + len(iu))
@@ -238,9 +256,15 @@ class Models:
 
     def fit(self, tol: float = 1e-9, max_passes: int = 60) -> Models:
         """Newton steps for all models at once until each is stationary to ``tol``; a step that does not lower a model's objective is
-        halved. A model without rows of both classes keeps coefficients of zero and a residual of infinity."""
+        halved. Replicas start where the model of all rows once ended, which takes few sums. A model without rows of both classes
+        keeps coefficients of zero and a residual of infinity."""
         live = np.flatnonzero((self.class_n > 0).all(axis=1))
         base = np.zeros_like(self.beta)
+        if self.replicas > 1:
+            cs, ratios = list(dict.fromkeys(self.c)), list(dict.fromkeys(self.l1_ratio))
+            plain = Models(self.rows, 0, cs, ratios, self.balanced, self.seed).fit(tol, max_passes)
+            at = {k: i for i, k in enumerate(zip(plain.set, plain.c, plain.l1_ratio))}
+            base[live] = plain.beta[[at[k] for k in zip(self.set[live], self.c[live], self.l1_ratio[live])]]
         value, aim = np.full(len(base), np.inf), base.copy()
         t = np.ones(len(base))
         while len(live) and self.passes < max_passes:
@@ -273,14 +297,15 @@ class Models:
         terms = [F.coalesce(F.col(c), F.lit(float(f))) * float(b) for c, f, b in zip(self.rows.cols, fill, coef[1:]) if b != 0]
         return sum(terms, F.lit(float(coef[0])))
 
-    def held_out(self) -> DataFrame:
-        """(replica, c, l1_ratio, fold, key, y, w, score): every row under the models that did not see its fold; w is its count in the
-        replica, rows drawn zero times are left out. Linear in rows x replicas x penalties."""
+    def held_out(self, only: Sequence[str] | None = None) -> DataFrame:
+        """(replica, c, l1_ratio, fold, key, y, w, score), or ``only`` some of these: every row under the models that did not see its
+        fold; w is its count in the replica, rows drawn zero times are left out. Linear in rows x replicas x penalties."""
         rows, p, weights = self.rows, self.p, self._weights()
         raw = np.einsum("mij,mj->mi", self._affine(np.arange(len(self.beta))), self.beta)
         sets, reps, cs, ratios, held, median = self.set, self.replica, self.c, self.l1_ratio, rows.held, rows.median
         center, spread = rows.center, rows.spread
-        names = ["replica", "c", "l1_ratio", "fold", "key", "y", "w", "score"]
+        kinds = {"replica": "int", "c": "double", "l1_ratio": "double", "fold": "int", "key": "bigint", "y": "int", "w": "double", "score": "double"}
+        names = list(only or kinds)
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -294,17 +319,29 @@ class Models:
                         score = np.column_stack([np.ones(len(i)), np.where(np.isnan(x[i]), median[s], x[i])]) @ raw[m].T
                         w = weights(key[i], np.maximum(reps[m], 0))
                         r, k = np.nonzero(w)
-                        cells = [reps[m][k].astype(np.int32), cs[m][k], ratios[m][k], fold[i][r].astype(np.int32), key[i][r].astype(np.int64), y[i][r].astype(np.int32), w[r, k], score[r, k]]
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], names)
+                        cells = {"replica": lambda: reps[m].astype(np.int32)[k], "c": lambda: cs[m][k], "l1_ratio": lambda: ratios[m][k],
+                                 "fold": lambda: fold[i].astype(np.int32)[r], "key": lambda: key[i].astype(np.int64)[r],
+                                 "y": lambda: y[i].astype(np.int32)[r], "w": lambda: w[r, k], "score": lambda: score[r, k]}
+                        yield pa.RecordBatch.from_arrays([pa.array(cells[n]()) for n in names], names)
 
-        return rows.df.mapInArrow(work, "replica int, c double, l1_ratio double, fold int, key bigint, y int, w double, score double")
+        return rows.df.mapInArrow(work, ", ".join(f"{n} {kinds[n]}" for n in names))
 
 
 def weighted_aucs(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Exact AUC per key of rows (y, w, score), all keys in one job."""
+    """Exact AUC per key of rows (y, w, score), all keys in one job.
+
+    Sums run inside blocks of scores; a block leaves one row, and earlier blocks count as a whole. So the counts are read once: the
+    scores behind them are costly, and a join of rows with totals would compute them again for each side."""
+    keys = list(keys)
     pos, neg = (F.when(F.col("y") == k, F.col("w")).otherwise(0.0) for k in (1, 0))
-    t = prefix_sums(value_counts(scored, keys, "score", {"pos": pos, "neg": neg}), keys, "score", ["neg"])
-    return t.groupBy(*keys).agg(F.try_divide(F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg")).alias("auc"))
+    counts = value_counts(scored, keys, "score", {"pos": pos, "neg": neg}).drop("_h")
+    b = with_blocks(counts, keys, "score", rows=scored)
+    inside = W.partitionBy(*keys, "_block").orderBy("score").rowsBetween(W.unboundedPreceding, -1)
+    b = b.withColumn("_below", F.coalesce(F.sum("neg").over(inside), F.lit(0.0)))
+    b = b.groupBy(*keys, "_block").agg(F.sum(F.col("pos") * (F.col("_below") + F.col("neg") / 2)).alias("_won"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    earlier = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)  # at most MAX_BLOCKS rows per key
+    b = b.withColumn("_won", F.col("_won") + F.col("pos") * F.coalesce(F.sum("neg").over(earlier), F.lit(0.0)))
+    return b.groupBy(*keys).agg(F.try_divide(F.sum("_won"), F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
 # ---- resampled models -------------------------------------------------------------------------------------------------------------------
@@ -316,7 +353,7 @@ def bootstrap_model_auc(frame: DataFrame, cols: Sequence[str], replicas: int = 2
     are those of the training rows of each (replica, fold). A replica without both classes has a null AUC.
     """
     models = Models(Rows(frame, cols, fold, id_=id_), replicas, (c,), seed=seed).fit()
-    return weighted_aucs(models.held_out(), ["replica"]), models
+    return weighted_aucs(models.held_out(["replica", "y", "w", "score"]), ["replica"]), models
 
 
 def bootstrap_interval(aucs: DataFrame) -> DataFrame:
