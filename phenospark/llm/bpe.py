@@ -13,12 +13,12 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-CACHE = 120_000
+CACHE = 60_000
 ROWS = 500
 CACHED_BYTES = 64
 SCHEMA = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
@@ -229,37 +229,44 @@ def _encoder(model: dict) -> Encoder:
 
 def encoded(spark, tokens: list[bytes], pattern: str, text: Column | str = "text") -> Column:
     """Column with the ids of each text and the digests of :func:`digests`; a null or empty text has no ids."""
-    held = spark.sparkContext.broadcast({"tokens": tokens, "pattern": pattern})
-
-    @F.pandas_udf("ids array<int>, " + SCHEMA)
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        e = _encoder(held.value)
-        for texts in batches:
-            for at in range(0, len(texts), ROWS):
-                yield _digested(e, texts.iloc[at: at + ROWS], True)
-
-    return encode(F.col(text) if isinstance(text, str) else text)
-
-
-def _digested(e: Encoder, texts: pd.Series, with_ids: bool) -> pd.DataFrame:
-    rows = []
-    for t in texts:
-        ids = e.encode(t or "")
-        rows.append((ids.astype(np.int32), len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(e.decode(ids.tolist())).hexdigest()))
-    out = pd.DataFrame(rows, columns=["ids", "n_tokens", "ids_sha256", "decoded_sha256"])
-    return out if with_ids else out.drop(columns="ids")
+    return _column(spark, tokens, pattern, text, True)
 
 
 def digests(spark, tokens: list[bytes], pattern: str, text: Column | str = "text") -> Column:
     """Column with the number of ids, the SHA-256 of the ids as little-endian 32-bit integers, and the SHA-256 of the bytes that
     decoding the ids gives back. A null text is an empty one."""
+    return _column(spark, tokens, pattern, text, False)
+
+
+def _column(spark, tokens: list[bytes], pattern: str, text: Column | str, with_ids: bool) -> Column:
     held = spark.sparkContext.broadcast({"tokens": tokens, "pattern": pattern})
 
-    @F.pandas_udf(SCHEMA)
-    def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        e = _encoder(held.value)
-        for texts in batches:
-            for at in range(0, len(texts), ROWS):
-                yield _digested(e, texts.iloc[at: at + ROWS], False)
+    @F.arrow_udf(("ids array<int>, " if with_ids else "") + SCHEMA)
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from _in_slices(_encoder(held.value), batches, with_ids)
+
+    return encode(F.col(text) if isinstance(text, str) else text)
+
 
-    return digest(F.col(text) if isinstance(text, str) else text)
+def _in_slices(e: Encoder, batches: Iterator[pa.Array], with_ids: bool) -> Iterator[pa.Array]:
+    """Results of ``ROWS`` rows at a time; a batch is let go before the next one is read."""
+    for texts in batches:
+        for at in range(0, len(texts), ROWS):
+            yield _digested(e, texts.slice(at, ROWS), with_ids)
+        texts = None
+
+
+def _digested(e: Encoder, texts: pa.Array, with_ids: bool) -> pa.StructArray:
+    """The result of a few rows; only their texts are Python strings at a time."""
+    ids, sums, decoded = [], [], []
+    for t in texts:
+        got = e.encode(t.as_py() or "")
+        ids.append(got)
+        sums.append(hashlib.sha256(got).hexdigest())
+        decoded.append(hashlib.sha256(e.decode(got.tolist())).hexdigest())
+    sizes = np.array([len(x) for x in ids])
+    out = {"n_tokens": pa.array(sizes, pa.int64()), "ids_sha256": pa.array(sums, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
+    if with_ids:
+        ends = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+        out = {"ids": pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids).astype(np.int32)))} | out
+    return pa.StructArray.from_arrays(list(out.values()), list(out))

@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -75,3 +77,27 @@ def test_hard_rows(spark):
             assert r.r["ids"] == ids and r.r["n_tokens"] == len(ids)
             assert r.r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
             assert r.r["decoded_sha256"] == hashlib.sha256(text[r.doc_id].encode()).hexdigest()
+
+
+def test_batches_are_not_held():
+    """Neither a batch that is done nor all texts of a batch as Python strings."""
+    e, size = bpe.Encoder(V, P.PATTERN), 4_000
+    base = pa.total_allocated_bytes()
+
+    def batches():
+        for k in range(3):
+            assert pa.total_allocated_bytes() - base < 2_000_000
+            yield pa.array([f"{'the ' * 1000}{k} {i}" for i in range(size)])
+
+    e.encode("the " * 1000)
+    tracemalloc.start()
+    rows = 0
+    for out in bpe._in_slices(e, batches(), False):
+        rows += len(out)
+        out = None
+        if rows % size == bpe.ROWS:  # the texts of a batch have just been made
+            tracemalloc.reset_peak()
+        elif rows % size:
+            assert tracemalloc.get_traced_memory()[1] < 8_000_000
+    tracemalloc.stop()
+    assert rows == 3 * size
