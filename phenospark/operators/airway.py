@@ -115,23 +115,21 @@ def wall_profile(wall: DataFrame, keys: Sequence[str], distance: str = "d", hu:
     bins = int(round(reach / width))
     at = F.least(F.floor(F.col(distance) / width + 1e-9), F.lit(bins - 1))
     seen = wall.where(F.col(distance).between(0, reach)).groupBy(*keys, at.cast("int").alias("bin")).agg(F.avg(hu).alias("mean_hu"))
-    full = seen.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bin", "mean_hu"))).alias("_p")).select(
-        *keys, "_p", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
-    ).select(*keys, "bin", F.try_element_at("_p", F.col("bin")).alias("seen"))
-    w = W.partitionBy(*keys).orderBy("bin")
-    mark = F.when(F.col("seen").isNotNull(), F.struct("bin", "seen"))
-    prev = F.last(mark, True).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
-    nxt = F.first(mark, True).over(w.rowsBetween(W.currentRow, W.unboundedFollowing))
-    # beyond the outermost observed bins the line through the two nearest observed bins goes on
-    pts = F.array_sort(F.collect_list(mark).over(W.partitionBy(*keys)))
-    out = full.select(*keys, "bin", "seen", prev.alias("p"), nxt.alias("n"), pts.alias("pts"))
-    n_pts = F.size("pts")
-    a = F.when(F.col("p").isNull(), F.get("pts", F.lit(0))).when(F.col("n").isNull(), F.get("pts", n_pts - 2)).otherwise(F.col("p"))
-    b = F.when(F.col("p").isNull(), F.get("pts", F.lit(1))).when(F.col("n").isNull(), F.get("pts", n_pts - 1)).otherwise(F.col("n"))
-    out = out.select(*keys, "bin", "seen", a.alias("a"), b.alias("b"))
-    line = F.col("a.seen") + (F.col("b.seen") - F.col("a.seen")) * F.try_divide(
-        (F.col("bin") - F.col("a.bin")).cast("double"), F.col("b.bin") - F.col("a.bin"))
-    return out.select(*keys, "bin", F.coalesce("seen", line).alias("hu"))
+    pts = F.array_sort(F.collect_list(F.when(F.col("mean_hu").isNotNull(), F.struct("bin", F.col("mean_hu").alias("seen")))))
+    n = F.size("_p")
+
+    def part(j):
+        """Bins from seen bin ``j - 1`` up to before seen bin ``j``, on the line through both; beyond the outermost seen bins the
+        line through the two nearest seen bins goes on."""
+        at = F.greatest(F.lit(0), F.least(j - 1, n - 2))
+        a, b, own = F.get("_p", at), F.get("_p", at + 1), F.get("_p", j - 1)
+        lo, hi = F.coalesce(own["bin"], F.lit(0)), F.coalesce(F.get("_p", j)["bin"] - 1, F.lit(bins - 1))
+        line = lambda i: a["seen"] + (b["seen"] - a["seen"]) * F.try_divide((i - a["bin"]).cast("double"), b["bin"] - a["bin"])
+        filled = F.transform(F.sequence(lo, hi), lambda i: F.struct(i.alias("bin"), F.when(own["bin"] == i, own["seen"]).otherwise(line(i)).alias("hu")))
+        return F.when(lo <= hi, filled).otherwise(F.slice(filled, 1, 0))
+
+    whole = F.flatten(F.transform(F.sequence(F.lit(0), n), part))
+    return seen.groupBy(*keys).agg(pts.alias("_p")).select(*keys, F.inline(whole))
 
 
 def fwhm_wall_thickness(profile: DataFrame, keys: Sequence[str], width: float = 0.2, lung_default: float = -850.0) -> DataFrame:
@@ -179,7 +177,7 @@ def profile_pca(profile: DataFrame, keys: Sequence[str], bins: int = 25, k: int
 
     wide = profile.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("bin", "hu"))).alias("_p"))
     wide = wide.where((F.size("_p") == bins) & ~F.exists("_p", lambda s: s["hu"].isNull()))
-    vec = wide.select(*keys, array_to_vector(F.transform("_p", lambda s: s["hu"])).alias("v"))
+    vec = checkpointed(wide.select(array_to_vector(F.transform("_p", lambda s: s["hu"])).alias("v")))  # the fit reads it several times
     model = PCA(k=k, inputCol="v", outputCol="s").fit(vec)
     sd = model.transform(vec).agg(F.stddev_samp(vector_to_array("s")[0]).alias("pca_first_pc_std"))
     shares = [float(x) for x in model.explainedVariance]

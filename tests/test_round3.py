@@ -8,6 +8,7 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
+from phenospark.operators import airway as A
 from phenospark.operators import batched as B
 from phenospark.operators import filters as L
 from phenospark.operators import models as M
@@ -91,3 +92,36 @@ def test_wavelet_energy_is_that_of_the_rows(spark):
     for r in sums:
         for band in ("LLL", "HLH", "HHH"):
             assert abs(r[band] - sum(v * v for v in whole[r["z"], r["y"]][band])) < 1e-9
+
+
+def test_profiles_fill_gaps(spark):
+    rows = {1: {3: 10.0, 4: 12.0, 8: 4.0}, 2: {5: 7.0}, 3: {0: 1.0, 24: 25.0}, 4: {2: None}, 5: {0: 3.0, 1: None, 2: 5.0}}
+    wall = spark.createDataFrame([(k, b * 0.2 + 0.1, v) for k, p in rows.items() for b, v in p.items()], "k int, d double, hu double")
+    got = {(r.k, r.bin): r.hu for r in A.wall_profile(wall, ["k"]).collect()}
+    assert len(got) == 25 * len(rows)
+    for k, p in rows.items():
+        seen = sorted((b, v) for b, v in p.items() if v is not None)
+        for i in range(25):
+            if i in dict(seen):
+                want = dict(seen)[i]
+            elif len(seen) < 2:
+                want = None
+            else:
+                at = min(max(sum(b <= i for b, _ in seen) - 1, 0), len(seen) - 2)
+                (a, u), (b, v) = seen[at: at + 2]
+                want = u + (v - u) * ((i - a) / (b - a))
+            assert got[k, i] == want
+
+
+def test_profile_pca_reads_its_rows_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        read.add(1)
+        return v
+
+    wall = spark.range(2000).selectExpr("id % 40 AS k", "(id DIV 40) % 25 * 0.2 + 0.1 AS d", "CAST(hash(id) % 100 AS DOUBLE) AS v")
+    got = A.profile_pca(A.wall_profile(wall.withColumn("hu", counted("v")).drop("v"), ["k"]), ["k"]).collect()
+    assert len(got) == 1 and got[0].pca_explained_1 > 0
+    assert read.value == 2000
