@@ -12,7 +12,9 @@ each model by the weighted moments of its own training rows.
 from __future__ import annotations
 
 import math
+import threading
 from collections.abc import Callable, Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from phenospark.functions.prefix import prefix_sums, value_counts, with_blocks
-from phenospark.operators.keys import to_long
+from phenospark.functions.prefix import value_counts, with_blocks
 from phenospark.session import stored_for_passes
 
 CHUNK = 4096
@@ -58,63 +59,257 @@ def draws(keys: np.ndarray, replicas: np.ndarray, seed: int) -> np.ndarray:
     return out
 
 
+# ---- medians ----------------------------------------------------------------------------------------------------------------------------
+
+class Medians(NamedTuple):
+    """Sets x columns: values present, and of both middle values (one and the same if their number is odd) the value, the number of
+    smaller values and of equal ones."""
+
+    n: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    low_before: np.ndarray
+    high_before: np.ndarray
+    low_n: np.ndarray
+    high_n: np.ndarray
+
+
+def _ordered(v: np.ndarray) -> np.ndarray:
+    """Doubles as unsigned integers in the same order."""
+    u = (v + 0.0).view(np.uint64)
+    return np.where(u >> np.uint64(63), ~u, u | np.uint64(1 << 63))
+
+
+def fold_medians(df: DataFrame, cols: Sequence[str], held: Sequence[int], folds: Sequence[str] | None = None, first: int = 12, more: int = 8, few: int = 256) -> Medians:
+    """Exact middle values of columns over the rows outside each fold of ``held``, from a stored frame (fold, columns).
+
+    ``folds`` names the fold column of each of ``cols``, among which a column may come again; rows without a fold take no part.
+
+    A pass counts, per column and fold, the values by the leading bits of their ordered form, the next pass only those that share
+    the bits of a middle value; when ``few`` are left, all bits at once. Three or four passes, whose counts alone leave the tasks:
+    no value is shuffled or sorted."""
+    m = len(cols)
+    folds = list(folds or ["fold"] * m)
+    names = list(dict.fromkeys([*folds, *cols]))
+    place, by = [names.index(c) for c in cols], [names.index(c) for c in folds]
+    known, todo = first, {(j, 0, 0) for j in range(m)}  # column, leading bits and their number
+    state = {(s, j, h): [0, 0, 0, 0] for s in range(len(held)) for j in range(m) for h in (0, 1)}  # rank left, before, equal, bits
+    n = np.zeros((len(held), m), np.int64)
+    start = True
+    while todo:
+        cells = sorted(todo)
+
+        def work(batches: Iterator[pa.RecordBatch], cells=cells, shift=np.uint64(64 - known)) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                keys: dict[int, tuple] = {}
+                for c, (j, bits, had) in enumerate(cells):
+                    if j not in keys:
+                        v, f = (b.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (place[j], by[j]))
+                        there = ~np.isnan(v) & ~np.isnan(f)
+                        keys = {j: (_ordered(v[there]), *np.unique(f[there].astype(np.int32), return_inverse=True))}  # cells go by column
+                    key, of, f = keys[j]
+                    if not len(of):
+                        continue
+                    if had:
+                        same = key >> np.uint64(64 - had) == np.uint64(bits)
+                        key, f = key[same], f[same]
+                    at, back = np.unique(key >> shift, return_inverse=True)
+                    got = np.bincount(back * len(of) + f, minlength=len(at) * len(of))
+                    some = np.flatnonzero(got)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), c, np.int32)), pa.array(of[some % len(of)].astype(np.int32)),
+                                                      pa.array(at[some // len(of)].view(np.int64)), pa.array(got[some])], ["c", "fold", "at", "n"])
+
+        got = df.select(*names).mapInArrow(work, "c int, fold int, at bigint, n bigint").groupBy("c", "fold", "at").agg(F.sum("n").alias("n")).toPandas()
+        cell, fold, at, num = got["c"].to_numpy(), got["fold"].to_numpy(), got["at"].to_numpy().astype(np.int64).view(np.uint64), got["n"].to_numpy()
+        order = np.lexsort((at, cell))
+        cell, fold, at, num = cell[order], fold[order], at[order], num[order]
+        most, moved = 0, {}
+        for c, (j, bits, had) in enumerate(cells):
+            mine = slice(*np.searchsorted(cell, [c, c + 1]))
+            values, back = np.unique(at[mine], return_inverse=True)
+            for s, h in enumerate(held):
+                sums = np.cumsum(np.bincount(back, np.where(fold[mine] == h, 0, num[mine]), len(values)).astype(np.int64))
+                if start:
+                    n[s, j] = sums[-1] if len(sums) else 0
+                if not n[s, j]:
+                    continue
+                for half in (0, 1):
+                    x = state[s, j, half]
+                    if start:
+                        x[0] = (n[s, j] - 1) // 2 if half == 0 else n[s, j] // 2
+                    elif x[3] != bits:
+                        continue
+                    i = int(np.searchsorted(sums, x[0], "right"))
+                    below = int(sums[i - 1]) if i else 0
+                    moved[s, j, half] = [x[0] - below, x[1] + below, int(sums[i]) - below, int(values[i])]
+                    most = max(most, moved[s, j, half][2])
+        state |= moved
+        if known == 64:
+            break
+        start, todo = False, {(j, x[3], known) for (_, j, _), x in moved.items()}
+        known = 64 if most <= few else min(64, known + more)
+
+    def grid(i: int, half: int) -> np.ndarray:
+        return np.array([[state[s, j, half][i] for j in range(m)] for s in range(len(held))], np.uint64).reshape(len(held), m)
+
+    def value(half: int) -> np.ndarray:
+        u = grid(3, half)
+        return np.where(n > 0, np.where(u >> np.uint64(63), u & np.uint64((1 << 63) - 1), ~u).view(float), np.nan)
+
+    return Medians(n, value(0), value(1), *(grid(i, half).astype(np.int64) for i in (1, 2) for half in (0, 1)))
+
+
 # ---- rows -------------------------------------------------------------------------------------------------------------------------------
 
+class SharedPasses:
+    """Sums over one stored frame (key, y, ...) for several threads: when each of them waits for sums, one job computes them all.
+
+    The frame is read once instead of once per thread, and the driver plans and keeps one job instead of one per thread. ``readers``
+    are served by at most ``workers`` threads; each must call :meth:`leave` when it is done."""
+
+    def __init__(self, df: DataFrame, readers: int, workers: int):
+        self.df, self._left, self._workers = df, readers, workers
+        self._waiting: list[dict] = []
+        self._turn = threading.Condition()
+
+    def tally(self, columns: Sequence[str], skip: tuple[str, int], work: Callable[..., np.ndarray], n: int, width: int) -> np.ndarray:
+        """n x width sums of ``work(key, y, fold, x)`` over blocks of rows; ``columns`` are the fold and those of x, rows where ``skip``
+        holds take no part."""
+        ask = {"columns": list(columns), "skip": skip, "work": work, "n": n, "width": width}
+        with self._turn:
+            self._waiting.append(ask)
+            self._run()
+            self._turn.wait_for(lambda: "got" in ask or "error" in ask)
+        if "error" in ask:
+            raise ask["error"]
+        return ask["got"]
+
+    def leave(self) -> None:
+        with self._turn:
+            self._left -= 1
+            self._run()
+
+    def _run(self) -> None:
+        if not self._waiting or len(self._waiting) < min(self._workers, self._left):
+            return
+        asked, self._waiting = self._waiting, []
+        try:
+            for ask, got in zip(asked, self._sums(asked)):
+                ask["got"] = got
+        except Exception as e:
+            for ask in asked:
+                ask["error"] = e
+        self._turn.notify_all()
+
+    def _sums(self, asked: list[dict]) -> list[np.ndarray]:
+        names = list(dict.fromkeys(c for a in asked for c in (a["skip"][0], *a["columns"])))
+        plan = [(names.index(a["skip"][0]), a["skip"][1], [names.index(c) for c in a["columns"]], a["work"], a["n"], a["width"]) for a in asked]
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            totals = [np.zeros((n, width)) for *_, n, width in plan]
+            for b in batches:
+                key, y, *cols = (b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns))
+                for total, (held, out, (fold, *xs), step, _, _) in zip(totals, plan):
+                    of = cols[held] != out
+                    total += step(key[of], y[of], cols[fold][of], np.column_stack([cols[i][of] for i in xs]))
+            yield _summed(totals)
+
+        got = _added(self.df.select("key", "y", *names).mapInArrow(work, "model int, v array<double>"), [(a["n"], a["width"]) for a in asked])
+        return got
+
+
+def _summed(totals: Sequence[np.ndarray]) -> pa.RecordBatch:
+    """Tables of sums as rows (model, v), without the rows that are zero; models are numbered through all tables."""
+    some = [np.flatnonzero(t.any(axis=1)) for t in totals]
+    first = np.cumsum([0, *(len(t) for t in totals)])
+    ends = np.cumsum(np.concatenate([[0], *(np.full(len(k), t.shape[1]) for k, t in zip(some, totals))]))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([k + a for k, a in zip(some, first)]).astype(np.int32)), pa.ListArray.from_arrays(
+        pa.array(ends.astype(np.int32)), pa.array(np.concatenate([t[k].ravel() for k, t in zip(some, totals)])))], ["model", "v"])
+
+
+def _added(parts: DataFrame, shapes: Sequence[tuple[int, int]]) -> list[np.ndarray]:
+    """The tables that the rows of all tasks add up to."""
+    got = parts.select("model", F.posexplode("v").alias("at", "v")).groupBy("model", "at").agg(F.sum("v").alias("v")).toPandas()
+    model, at, v = (got[c].to_numpy() for c in ("model", "at", "v"))
+    out, first = [], 0
+    for n, width in shapes:
+        t, mine = np.zeros((n, width)), (model >= first) & (model < first + n)
+        t[model[mine] - first, at[mine]] = v[mine]
+        out.append(t)
+        first += n
+    return out
+
+
+class View(NamedTuple):
+    """How a training set reads a shared frame: the columns of its fold and of its features, the rows it does not see, its folds, a
+    center and spread of its features, and their medians outside each fold and over all, in their own units."""
+
+    passes: SharedPasses
+    fold: str
+    columns: Sequence[str]
+    skip: tuple[str, int]
+    folds: Sequence[int]
+    center: np.ndarray
+    spread: np.ndarray
+    median: np.ndarray
+
+
 class Rows:
     """A stored frame of (key, y, fold, f0, f1, ...) for shared passes, and the training sets that its folds define: one per
-    fold, without its rows, and with ``whole`` one of all rows. A row without a label belongs to no set."""
+    fold, without its rows, and with ``whole`` one of all rows. A row without a label belongs to no set. With a ``view`` the frame is stored already and its
+    sums are taken in the passes that it shares."""
 
-    def __init__(self, frame: DataFrame, cols: Sequence[str], fold: str | None = "fold", whole: bool = False, id_: str = "patient_id", y: str = "y"):
+    def __init__(self, frame: DataFrame, cols: Sequence[str], fold: str | None = "fold", whole: bool = False, id_: str = "patient_id", y: str = "y", view: View | None = None):
         key = F.col(id_) if dict(frame.dtypes)[id_] == "bigint" else F.xxhash64(id_)
         part = F.lit(-2) if fold is None else F.col(fold).cast("int")
         self.cols = list(cols)
         kept = frame.where(F.col(y).isNotNull()).select(key.alias("key"), F.col(y).cast("int").alias("y"), part.alias("fold"), *[F.col(c).cast("double").alias(c) for c in self.cols])
+        self.view = view
+        if view is not None:
+            self.df, self.folds, self.center, self.spread = kept, list(view.folds), view.center, view.spread
+            self.held = [*self.folds, *([-1] if whole else [])]
+            self.median = (view.median[:len(self.held)] - self.center) / self.spread
+            return
         self.df = stored_for_passes(kept, "key")
-        stats = self.df.agg(F.collect_set("fold").alias("folds"), *[F.avg(c).alias(f"m_{c}") for c in self.cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in self.cols]).first()
+        stats = self.df.agg(F.collect_set("fold").alias("folds"), *[F.avg(c).alias(f"m_{c}") for c in self.cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in self.cols],
+                            *[F.count_if(F.col(c).isNull() | F.isnan(c)).alias(f"g_{c}") for c in self.cols]).first()
         self.folds = sorted(f for f in stats["folds"] if f >= 0)
         self.held = [*self.folds, *([-1] if whole or not self.folds else [])]
         # a common scale for all models, for the sake of rounding only
         self.center = np.array([stats[f"m_{c}"] or 0.0 for c in self.cols])
         self.spread = np.array([stats[f"s_{c}"] or 1.0 for c in self.cols])
-        self.median = self._medians()
+        self.median = self._medians([c for c in self.cols if stats[f"g_{c}"]])
 
-    def _medians(self) -> np.ndarray:
-        """Training medians per set and column on the common scale, from one table of distinct values with their counts by fold."""
-        gaps = [c for c, n in self.df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in self.cols]).first().asDict().items() if n]
+    def _medians(self, gaps: Sequence[str]) -> np.ndarray:
+        """Training medians per set and column on the common scale, of the columns with gaps."""
         out = np.zeros((len(self.held), len(self.cols)))
         if gaps:
-            counts = value_counts(to_long(self.df.select("fold", *gaps), ["fold"], gaps), ["feature", "fold"], "value").drop("_h")
-            sets = F.explode(F.array(*[F.struct(F.lit(s).alias("s"), F.lit(h).alias("h")) for s, h in enumerate(self.held)]))
-            per = counts.select("*", sets.alias("x")).where("fold <> x.h").groupBy(F.col("x.s").alias("s"), "feature", "value").agg(F.sum("n").alias("n"))
-            pre = prefix_sums(per, ["s", "feature"], "value", ["n"])
-            at = lambda pos: F.max(F.when((F.col("before_n") <= pos) & (pos < F.col("before_n") + F.col("n")), F.col("value")))
-            half = (F.col("total_n") - 1) / 2
-            for r in pre.groupBy("s", "feature").agg(((at(F.floor(half)) + at(F.ceil(half))) / 2).alias("m")).collect():
-                j = self.cols.index(r["feature"])
-                out[r["s"], j] = (r["m"] - self.center[j]) / self.spread[j]
+            at = [self.cols.index(c) for c in gaps]
+            med = fold_medians(self.df.select("fold", *gaps), gaps, self.held)
+            out[:, at] = np.where(med.n > 0, ((med.low + med.high) / 2 - self.center[at]) / self.spread[at], 0.0)
         return out
 
     def tally(self, step: Callable[..., np.ndarray], n: int, width: int) -> np.ndarray:
         """The n x width sums of ``step(x, y, fold, key)`` over blocks of rows; x is on the common scale, missing cells are NaN."""
         center, spread, chunk = self.center, self.spread, min(CHUNK, max(256, CELLS // max(n, 1)))
 
+        def block(key: np.ndarray, y: np.ndarray, fold: np.ndarray, raw: np.ndarray) -> np.ndarray:
+            total, x = np.zeros((n, width)), (raw - center) / spread
+            for a in range(0, len(y), chunk):
+                s = slice(a, a + chunk)
+                total += step(x[s], y[s], fold[s], key[s])
+            return total
+
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((n, width))
             for b in batches:
                 key, y, fold = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-                x = (np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(3, b.num_columns)]) - center) / spread
-                for a in range(0, len(y), chunk):
-                    s = slice(a, a + chunk)
-                    total += step(x[s], y[s], fold[s], key[s])
-            some = np.flatnonzero(total.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.ListArray.from_arrays(
-                pa.array(np.arange(0, len(some) * width + 1, width, dtype=np.int32)), pa.array(total[some].ravel()))], ["model", "v"])
-
-        parts = self.df.mapInArrow(work, "model int, v array<double>").select("model", F.posexplode("v").alias("at", "v"))
-        got = parts.groupBy("model", "at").agg(F.sum("v").alias("v")).toPandas()
-        out = np.zeros((n, width))
-        out[got["model"].to_numpy(), got["at"].to_numpy()] = got["v"].to_numpy()
-        return out
+                total += block(key, y, fold, np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(3, b.num_columns)]))
+            yield _summed([total])
+
+        if self.view is not None:
+            return self.view.passes.tally([self.view.fold, *self.view.columns], self.view.skip, block, n, width)
+        return _added(self.df.mapInArrow(work, "model int, v array<double>"), [(n, width)])[0]
 
 
 # ---- models -----------------------------------------------------------------------------------------------------------------------------
@@ -402,13 +597,14 @@ class Path:
 
 
 def penalty_path(frame: DataFrame, cols: Sequence[str], cs: Sequence[float], l1_ratios: Sequence[float] = (1.0,), scoring: str = "log_loss", one_se: bool = False,
-                 fold: str = "fold", id_: str = "patient_id") -> Path:
+                 fold: str = "fold", id_: str = "patient_id", view: View | None = None) -> Path:
     """L1 or elastic-net logistic regression tuned over ``fold``: every fold, penalty and mixture is fitted in the same passes.
 
     ``scoring`` is log_loss (negated mean) or auc of the held-out rows, averaged over folds. ``one_se`` takes the strongest penalty
-    whose mean is within one standard error of the best. Kept: |coefficient| > 1e-7, or the three largest.
+    whose mean is within one standard error of the best. Kept: |coefficient| > 1e-7, or the three largest. A frame with
+    a ``view`` is read in shared passes.
     """
-    models = Models(Rows(frame, cols, fold, whole=True, id_=id_), 0, cs, l1_ratios).fit(1e-8, 30)
+    models = Models(Rows(frame, cols, fold, whole=True, id_=id_, view=view), 0, cs, l1_ratios).fit(1e-8, 30)
     grid = [(c, r) for c in cs for r in l1_ratios]
     scored = models.held_out()
     by = ["fold", "c", "l1_ratio"]
